@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sources", "columns")
+MODULES = ("sources", "columns", "outliers", "graphs")
 
 
 def load() -> None:

@@ -120,7 +120,7 @@ def standardized(spark, sf_dir):
     """The fifth feature is constant, and so becomes 0."""
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *LINEITEM_FEATURES)
     items = items.withColumn("constant", F.lit(7.0))
-    scaled = fit_scaler(items, [*LINEITEM_FEATURES, "constant"]).scaled()
+    scaled = fit_scaler(items, [*LINEITEM_FEATURES, "constant"]).columns()
     return items.select(
         "l_orderkey", "l_linenumber", *[F.round(c, 6).alias(f"z{i}") for i, c in enumerate(scaled)]
     )
@@ -310,7 +310,7 @@ _SHORT = """CASE WHEN x >= 100 THEN format('{:.0f}', x) WHEN x >= 10 THEN regexp
 
 @query(
     "f11_seconds_to_text",
-    f"""WITH t AS (SELECT event_id, (event_id % 7) * 1000.0 + event_id % 50 AS long, user_id + 1 AS whole FROM events),
+    f"""WITH t AS (SELECT event_id, (event_id % 7) * 1000 + event_id % 50 AS long, user_id + 1 AS whole FROM events),
         u AS (SELECT event_id, long, whole, whole / 1000.0 AS short FROM t)
         SELECT event_id,
           CASE WHEN long >= 60 THEN concat_ws(' ',

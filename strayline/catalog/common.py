@@ -64,7 +64,7 @@ def flagged_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = items.select(
         "l_orderkey",
         F.col("l_linenumber").alias("prediction"),
-        F.array(*fit_scaler(items, LINEITEM_FEATURES).scaled()).alias("point"),
+        fit_scaler(items, LINEITEM_FEATURES).vector().alias("point"),
     )
     joined = scaled.join(group_centers(scaled, "prediction", "point"), "prediction")
     return detect_outliers(joined, point="point", row_id=None, width=len(LINEITEM_FEATURES))

@@ -8,9 +8,6 @@ written out term by term, so that they stay inside whole-stage codegen; the
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +20,24 @@ def width_of(df: DataFrame, vector: str) -> int:
     return row["n"]
 
 
-def elements(vector: Column | str, width: int) -> list[Column]:
-    column = F.col(vector) if isinstance(vector, str) else vector
-    return [F.get(column, F.lit(i)).cast("double") for i in range(width)]
+def name_sql(column: str) -> str:
+    """A column path as SQL text, each part quoted."""
+    return ".".join(f"`{part}`" for part in column.split("."))
+
+
+def element_sql(vector: str, width: int) -> list[str]:
+    """SQL text of each element as a double."""
+    return [f"cast(get({name_sql(vector)}, {i}) AS double)" for i in range(width)]
+
+
+def number_sql(value: float) -> str:
+    return f"{float(value)!r}D"
 
 
-def squared_distance(a: Column | str, b: Column | str, width: int | None = None) -> Column:
+def squared_distance(a: str, b: str, width: int | None = None) -> Column:
     if width is not None:
-        terms = [(x - y) * (x - y) for x, y in zip(elements(a, width), elements(b, width))]
-        return reduce(add, terms, F.lit(0.0))
+        pairs = zip(element_sql(a, width), element_sql(b, width))
+        return F.expr(" + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in pairs))
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
         F.lit(0.0),
@@ -39,7 +45,7 @@ def squared_distance(a: Column | str, b: Column | str, width: int | None = None)
     )
 
 
-def euclidean_distance(a: Column | str, b: Column | str, width: int | None = None) -> Column:
+def euclidean_distance(a: str, b: str, width: int | None = None) -> Column:
     return F.sqrt(squared_distance(a, b, width))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import clustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer
@@ -12,10 +14,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayline.functions.vectors import squared_distance
+from strayline.functions.vectors import element_sql, number_sql, squared_distance
 from strayline.lineage import BROADCAST_LIMIT_BYTES, bounded_broadcast
 from strayline.operators.features import standardize
 
+# Up to this many numbers the centers are written into the expression.
+EXPRESSION_LIMIT = 128
+
 ALGORITHMS = {
     "gaussianmixture": clustering.GaussianMixture,
     "kmeans": clustering.KMeans,
@@ -88,23 +93,40 @@ def nearest_center(
     df: DataFrame, centers: Sequence[Sequence[float]], point: str = "scaled_features",
     output: str = "prediction",
 ) -> DataFrame:
-    """Number of the closest given center, the lowest one on ties.
+    """Number of the closest given center, the lowest one on ties; no join.
 
-    The centers are part of the expression: no join at all, and one codegen pass
-    over the rows.
+    A few short centers become part of the expression, inside codegen. Larger
+    ones, whose code would be too long, are compared in Arrow batches.
     """
     width = len(centers[0])
     if len(centers) * width * 8 > BROADCAST_LIMIT_BYTES:
-        raise ValueError("too many centers to hold in an expression")
-    candidates = [
-        F.struct(
-            squared_distance(point, F.array(*[F.lit(float(x)) for x in c]), width).alias("d2"),
-            F.lit(i).alias("i"),
-        )
-        for i, c in enumerate(centers)
-    ]
-    best = F.least(*candidates) if len(candidates) > 1 else candidates[0]
-    return df.withColumn(output, best["i"])
+        raise ValueError("too many centers to send to every task")
+    if len(centers) * width > EXPRESSION_LIMIT:
+        return df.withColumn(output, _nearest_in_batches(centers)(F.col(point)))
+    terms = element_sql(point, width)
+    candidates = []
+    for i, center in enumerate(centers):
+        gaps = [f"({x} - {number_sql(c)})" for x, c in zip(terms, center)]
+        squares = " + ".join(f"{g} * {g}" for g in gaps)
+        candidates.append(f"struct({squares} AS d2, {i} AS i)")
+    best = f"least({', '.join(candidates)})" if len(candidates) > 1 else candidates[0]
+    return df.withColumn(output, F.expr(f"{best}.i"))
+
+
+def _nearest_in_batches(centers: Sequence[Sequence[float]]):
+    fixed = np.asarray(centers, dtype=float)
+
+    @F.pandas_udf("int")
+    def closest(points: pd.Series) -> pd.Series:
+        found = pd.Series(None, index=points.index, dtype="Int32")
+        known = points.notna()
+        if known.any():
+            rows = np.stack(points[known].to_numpy())
+            squares = np.stack([((rows - c) ** 2).sum(axis=1) for c in fixed], axis=1)
+            found[known] = squares.argmin(axis=1)
+        return found
+
+    return closest
 
 
 def sweep(

@@ -14,7 +14,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayline.functions.vectors import elements, width_of
+from strayline.functions.vectors import element_sql, name_sql, number_sql, width_of
 from strayline.roles import as_names
 
 # The casts a table step may make.
@@ -87,38 +87,48 @@ def nonzero_entries(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     )
 
 
-def feature_columns(df: DataFrame, features: str | Iterable[str]) -> list[Column]:
-    """The features as double columns, from names or from one array column."""
+def feature_sql(df: DataFrame, features: str | Iterable[str]) -> list[str]:
+    """SQL text of each feature as a double, from names or from one array column."""
     names = as_names(features)
     if len(names) == 1 and dict(df.dtypes)[names[0]].startswith("array"):
-        return elements(names[0], width_of(df, names[0]))
-    return [F.col(c).cast("double") for c in names]
+        return element_sql(names[0], width_of(df, names[0]))
+    return [f"cast({name_sql(c)} AS double)" for c in names]
+
+
+def _array(terms: Iterable[str]) -> Column:
+    return F.expr(f"array({', '.join(terms)})")
 
 
 def assemble(df: DataFrame, features: str | Iterable[str], output: str = "features") -> DataFrame:
     """Add the features as one ARRAY<DOUBLE> column."""
-    return df.withColumn(output, F.array(*feature_columns(df, features)))
+    return df.withColumn(output, _array(feature_sql(df, features)))
 
 
 @dataclass(frozen=True)
 class Scaler:
-    """Per-feature statistics of a table, and the scaled columns they give."""
+    """Per-feature statistics of a table, and the scaled features they give."""
 
-    columns: tuple[Column, ...]
+    terms: tuple[str, ...]
     means: tuple[float, ...]
     stds: tuple[float, ...]
     lows: tuple[float, ...]
     highs: tuple[float, ...]
 
-    def scaled(self, standardize: bool = True) -> list[Column]:
-        """``(x - mean) / sample deviation``; constant features become 0."""
+    def _scaled_sql(self, standardize: bool) -> list[str]:
         if not standardize:
-            return list(self.columns)
+            return list(self.terms)
         return [
-            (c - F.lit(mean)) / F.lit(std) if std else c * F.lit(0.0)
-            for c, mean, std in zip(self.columns, self.means, self.stds)
+            f"({x} - {number_sql(mean)}) / {number_sql(std)}" if std else f"{x} * 0D"
+            for x, mean, std in zip(self.terms, self.means, self.stds)
         ]
 
+    def columns(self, standardize: bool = True) -> list[Column]:
+        """``(x - mean) / sample deviation``; constant features become 0."""
+        return [F.expr(x) for x in self._scaled_sql(standardize)]
+
+    def vector(self, standardize: bool = True) -> Column:
+        return _array(self._scaled_sql(standardize))
+
     def ranges(self, standardize: bool = True) -> list[float]:
         spans = [high - low for low, high in zip(self.lows, self.highs)]
         if not standardize:
@@ -128,26 +138,22 @@ class Scaler:
 
 def fit_scaler(df: DataFrame, features: str | Iterable[str]) -> Scaler:
     """One pass over the table; only one row per feature reaches the driver."""
-    columns = feature_columns(df, features)
-
-    def statistics(c: Column) -> list[Column]:
-        return [F.avg(c), F.stddev_samp(c), F.min(c), F.max(c)]
-
-    if len(columns) <= WIDE_AGGREGATE_LIMIT:
-        row = df.agg(*[s.alias(f"s{i}_{j}") for i, c in enumerate(columns)
-                       for j, s in enumerate(statistics(c))]).first()
-        found = [row[i * 4 : i * 4 + 4] for i in range(len(columns))]
+    terms = feature_sql(df, features)
+    statistics = ("avg", "stddev_samp", "min", "max")
+    if len(terms) <= WIDE_AGGREGATE_LIMIT:
+        row = df.agg(*[F.expr(f"{s}({x})") for x in terms for s in statistics]).first()
+        found = [row[i * 4 : i * 4 + 4] for i in range(len(terms))]
     else:
         rows = (
-            df.select(F.posexplode(F.array(*columns)).alias("position", "value"))
+            df.select(F.posexplode(_array(terms)).alias("position", "value"))
             .groupBy("position")
-            .agg(*[s.alias(f"s{j}") for j, s in enumerate(statistics(F.col("value")))])
+            .agg(*[F.expr(f"{s}(value)") for s in statistics])
             .collect()
         )
         found = [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["position"])]
     numbers = [tuple(0.0 if v is None else float(v) for v in values) for values in found]
     means, stds, lows, highs = zip(*numbers)
-    return Scaler(tuple(columns), means, stds, lows, highs)
+    return Scaler(tuple(terms), means, stds, lows, highs)
 
 
 def standardize(
@@ -159,7 +165,7 @@ def standardize(
     """Add the scaled features as one ARRAY<DOUBLE> column."""
     if not enabled:
         return assemble(df, features, output)
-    return df.withColumn(output, F.array(*fit_scaler(df, features).scaled()))
+    return df.withColumn(output, fit_scaler(df, features).vector())
 
 
 def known_label(df: DataFrame, label: str) -> Column:

@@ -56,9 +56,9 @@ def similarity_edges(
     # A hair wider than the bound, so that rounding cannot part a pair by two cells.
     radius = radius_of(sigma, tol) * (1 + 1e-9) if tol < 1 else 0.0
     axes = _grid_axes(scaler.ranges(standardize), radius) if radius > 0 else []
-    width = len(scaler.columns)
+    width = len(scaler.terms)
     vectors = df.select(
-        F.col(id_col).cast("bigint").alias("id"), F.array(*scaler.scaled(standardize)).alias("v")
+        F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v")
     )
     cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(f"c{i}") for i, a in enumerate(axes)]
     rows = vectors.select("id", "v", *cells)
