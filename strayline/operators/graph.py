@@ -9,14 +9,16 @@ import itertools
 import math
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayline.functions.vectors import rbf_weight, squared_distance
+from strayline.lineage import cut
 from strayline.operators.features import fit_scaler
 from strayline.operators.skew import salted_join
 
-# Rows of one block: what a row of the other side is compared with in one key.
+# Rows of one block, on average.
 BLOCK_ROWS = 512
 GRID_DIMENSIONS = 3
 
@@ -44,11 +46,11 @@ def similarity_edges(
     """All pairs ``src >= dst`` with weight ``exp(-|x - y|^2 / sigma^2) > tol``.
 
     Exact. The tolerance bounds the distance of a pair, so space is cut into
-    cells one radius wide and a row only meets rows of its own and the adjacent
-    cells. Adjacent cells are taken in one direction, so no pair comes twice.
-    A cell with more than ``block_rows`` rows is split into blocks by hash: the
-    right side is spread over the blocks, the left side copied to each of them.
-    The distance test is part of the join condition, so only edges leave it.
+    cells one radius wide and rows only meet rows of their own and the adjacent
+    cells, taken in one direction so that no pair comes twice. Rows of a cell are
+    packed into blocks of about ``block_rows`` by hash, so a crowded cell becomes
+    many blocks. Joined pairs of blocks, each of bounded size, are spread over
+    the cluster and compared in Arrow batches; only edges leave the comparison.
     """
     if not tol > 0:
         raise ValueError("tol must be above 0: without a bound every pair is an edge")
@@ -56,84 +58,112 @@ def similarity_edges(
     # A hair wider than the bound, so that rounding cannot part a pair by two cells.
     radius = radius_of(sigma, tol) * (1 + 1e-9) if tol < 1 else 0.0
     axes = _grid_axes(scaler.ranges(standardize), radius) if radius > 0 else []
-    width = len(scaler.terms)
     vectors = df.select(
         F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v")
-    )
+    ).filter("id IS NOT NULL AND v IS NOT NULL")
     cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(f"c{i}") for i, a in enumerate(axes)]
-    rows = vectors.select("id", "v", *cells)
-    keys = [f"c{i}" for i in range(len(axes))]
-
-    blocks = _block_counts(rows, keys, block_rows)
-    block = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
-    if keys:
-        right = rows.join(blocks.filter("_blocks > 1"), keys, "left").withColumn(
-            "_blocks", F.coalesce("_blocks", F.lit(1))
-        )
-        right = right.select(*keys, block.alias("_block"), F.col("id").alias("r_id"), F.col("v").alias("r_v"))
-        left = _towards_neighbours(rows, keys).join(blocks, keys)
-    else:
-        n_blocks = F.lit(blocks)
-        right = rows.withColumn("_blocks", n_blocks).select(
-            block.alias("_block"), F.col("id").alias("r_id"), F.col("v").alias("r_v")
+    # Without a useful axis the whole table is one cell.
+    rows = vectors.select("id", "v", *(cells or [F.lit(0).cast("bigint").alias("c0")]))
+    keys = [f"c{i}" for i in range(max(1, len(axes)))]
+
+    counts = (
+        rows.groupBy(*keys)
+        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
+    )
+    blocks = (
+        rows.join(counts.filter("_blocks > 1"), keys, "left")
+        .withColumn(
+            "_block", F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
         )
-        left = rows.withColumn("_own", F.lit(True)).withColumn("_blocks", n_blocks)
-    left = left.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
-        F.col("id").alias("l_id"),
-        F.col("v").alias("l_v"),
-        "_own",
+        .groupBy(*keys, "_block")
+        .agg(F.collect_list(F.struct("id", "v")).alias("_members"))
+        .select(*keys, "_block", F.col("_members.id").alias("ids"), F.flatten("_members.v").alias("vs"))
     )
-    squared = squared_distance("l_v", "r_v", width)
-    weight = rbf_weight(squared, sigma)
-    near = (weight > F.lit(tol)) & (~F.col("_own") | (F.col("l_id") >= F.col("r_id")))
-    matched = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_block"]]
-    condition = near
-    for m in matched:
-        condition = m & condition
-    return (
-        left.alias("l")
-        .join(right.alias("r"), condition)
+    right = blocks.withColumnsRenamed({"ids": "r_ids", "vs": "r_vs"})
+    left = (
+        _towards_neighbours(blocks, keys, len(axes))
+        .join(counts, keys)
         .select(
-            F.greatest("l_id", "r_id").alias("src"),
-            F.least("l_id", "r_id").alias("dst"),
-            weight.alias("weight"),
+            *keys,
+            F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
+            "_own",
+            F.col("_from").alias("l_block"),
+            F.col("ids").alias("l_ids"),
+            F.col("vs").alias("l_vs"),
         )
+        .filter("NOT _own OR l_block >= _block")
+    )
+    same = F.col("_own") & (F.col("l_block") == F.col("_block"))
+    pairs = left.join(right, [*keys, "_block"]).select(
+        same.alias("same"), "l_ids", "l_vs", "r_ids", "r_vs"
+    )
+    return pairs.mapInArrow(
+        _edge_finder(len(scaler.terms), float(sigma), float(tol)),
+        "src bigint, dst bigint, weight double",
     )
 
 
-def _block_counts(rows: DataFrame, keys: list[str], block_rows: int):
-    """Blocks per cell as a table, or of the whole table as a number."""
-    if not keys:
-        return max(1, math.ceil(rows.count() / block_rows))
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    blocks = F.ceil(F.col("_rows") / block_rows).cast("int").alias("_blocks")
-    return counted.select(*keys, blocks)
-
-
-def _towards_neighbours(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row once for its own cell and once for every later adjacent cell."""
+def _edge_finder(width: int, sigma: float, tol: float):
+    """The Arrow function that compares joined pairs of blocks."""
+    bound = -math.log(tol) * sigma**2 if tol < 1 else 0.0
+
+    def compare(same: bool, l_ids, l_vs, r_ids, r_vs):
+        a, b = l_vs.reshape(-1, width), r_vs.reshape(-1, width)
+        middle = a.mean(axis=0)
+        p, q = a - middle, b - middle
+        p2, q2 = (p * p).sum(axis=1), (q * q).sum(axis=1)
+        rough = p2[:, None] + q2[None, :] - 2.0 * (p @ q.T)
+        # The fast form above is only a filter, with room for its rounding.
+        room = 1e-9 * (1.0 + p2.max() + q2.max())
+        near = rough <= bound + room
+        if same:
+            near &= l_ids[:, None] >= r_ids[None, :]
+        i, j = np.nonzero(near)
+        gaps = a[i] - b[j]
+        weight = np.exp(-np.einsum("ij,ij->i", gaps, gaps) / sigma**2)
+        kept = weight > tol
+        x, y = l_ids[i[kept]], r_ids[j[kept]]
+        return np.maximum(x, y), np.minimum(x, y), weight[kept]
+
+    def numbers(column, row: int):
+        return column[row].values.to_numpy(zero_copy_only=False)
+
+    def find(batches):
+        for batch in batches:
+            same, *columns = batch.columns
+            for row in range(batch.num_rows):
+                src, dst, weight = compare(same[row].as_py(), *[numbers(c, row) for c in columns])
+                if len(src):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(src), pa.array(dst), pa.array(weight)], ["src", "dst", "weight"]
+                    )
+
+    return find
+
+
+def _towards_neighbours(blocks: DataFrame, keys: list[str], n_axes: int) -> DataFrame:
+    """Each block once for its own cell and once for every later adjacent cell."""
     origin = (0,) * len(keys)
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=len(keys)) if s >= origin]
+    around = itertools.product((-1, 0, 1), repeat=n_axes) if n_axes else [origin]
     targets = F.array(
         *[
             F.struct(
                 *[(F.col(k) + F.lit(d)).alias(k) for k, d in zip(keys, step)],
                 F.lit(step == origin).alias("_own"),
             )
-            for step in steps
+            for step in around
+            if step >= origin
         ]
     )
-    return rows.select("id", "v", F.inline(targets))
+    return blocks.select(F.col("_block").alias("_from"), "ids", "vs", F.inline(targets))
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
     """Both directions of every edge of a triangle, the diagonal once."""
-    flipped = edges.filter(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"
-    )
-    return edges.select("src", "dst", "weight").unionByName(flipped)
+    there = F.struct("src", "dst")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))
+    return edges.select(F.inline(ways), "weight")
 
 
 def symmetric_graph(
@@ -150,10 +180,10 @@ def symmetric_graph(
 
 def mean_symmetric(entries: DataFrame) -> DataFrame:
     """Mirror every entry and average what meets in one cell."""
-    flipped = entries.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    there = F.struct("src", "dst")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return (
-        entries.select("src", "dst", "weight")
-        .unionByName(flipped)
+        entries.select(F.inline(F.array(there, back)), "weight")
         .groupBy("src", "dst")
         .agg(F.avg("weight").alias("weight"))
     )
@@ -200,13 +230,15 @@ def transition_matrix(edges: DataFrame, normalization: str = "row_stochastic") -
     ``row_stochastic`` divides the whole symmetric matrix by column sums, then by
     row sums, and gives every entry. ``folded`` does the same to the stored
     triangle, with sums that count each entry for both its ends, and gives a
-    triangle that is mirrored on use.
+    triangle that is mirrored on use. The entries are read several times, so they
+    are written out first.
     """
     if normalization == "row_stochastic":
-        full = mirrored(edges)
+        full = cut(mirrored(edges))
         by_column = _divided(full, _sums(full, "dst"), "dst")
         return _divided(by_column, _sums(by_column, "src"), "src")
     if normalization == "folded":
+        edges = cut(edges)
         by_column = _divided(edges, degrees(edges), "dst")
         return _divided(by_column, degrees(by_column), "src")
     raise ValueError(f"unknown normalization {normalization!r}")
