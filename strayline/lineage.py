@@ -39,9 +39,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget how it was made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once and go on from the written table.
+
+    Unlike ``checkpoint``, the table is computed a single time, later reads are
+    pruned to their columns, and its real size is known to the optimizer.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

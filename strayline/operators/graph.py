@@ -94,7 +94,11 @@ def similarity_edges(
         .filter("NOT _own OR l_block >= _block")
     )
     same = F.col("_own") & (F.col("l_block") == F.col("_block"))
-    pairs = left.join(right, [*keys, "_block"]).select(
+    # Small in bytes but long in work: a fixed number of partitions keeps Spark
+    # from merging them by size.
+    n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = left.repartition(n_partitions, *keys, "_block")
+    pairs = spread.join(right, [*keys, "_block"]).select(
         same.alias("same"), "l_ids", "l_vs", "r_ids", "r_vs"
     )
     return pairs.mapInArrow(

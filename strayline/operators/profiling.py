@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,13 @@ def table_size(df: DataFrame) -> DataFrame:
     )
 
 
-def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
-    """Count rows where each condition holds while the table is being used.
+def counters(df: DataFrame, **conditions: Column) -> DataFrame:
+    """Rows, and rows where each named condition holds, in one pass.
 
-    The counts are ready in ``observation.get`` after the first action.
+    An ``Observation`` would count during another job, but once a session has
+    used one, models that hold on to the session no longer reach the executors.
     """
-    observation = Observation(name)
-    sums = [
-        F.coalesce(F.sum(F.when(condition, 1).otherwise(0)), F.lit(0)).alias(counter)
-        for counter, condition in counters.items()
-    ]
-    return df.observe(observation, F.count(F.lit(1)).alias("n_rows"), *sums), observation
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(condition).alias(name) for name, condition in conditions.items()],
+    )

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 HOT_KEY_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_ROWS) -> DataFrame | None:
     """Keys with more than ``limit`` rows and into how many parts to split each.
 
-    Counts are combined before the shuffle, and at most ``rows / limit`` keys
-    are left. The result is kept and counted, so the joins that use it are
-    planned on its real size.
+    None when there are none. Counts are combined before the shuffle, and at most
+    ``rows / limit`` keys are left. The result is kept and counted, so the joins
+    that use it are planned on its real size.
     """
     found = (
         df.groupBy(*keys)
@@ -25,12 +25,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_ROWS) -> D
         .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    found.count()
-    return found
+    if found.count():
+        return found
+    found.unpersist()
+    return None
 
 
-def salted(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Sequence[str]) -> DataFrame:
+def salted(
+    df: DataFrame, keys: Sequence[str], hot: DataFrame | None, spread_by: Sequence[str]
+) -> DataFrame:
     """Add ``_salt``: a part number for rows of hot keys, 0 for all others."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
     part = F.pmod(F.xxhash64(*spread_by), F.col("_parts")).cast("int")
     return (
         df.join(hot, list(keys), "left")
@@ -39,8 +45,10 @@ def salted(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Sequen
     )
 
 
-def replicated(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+def replicated(df: DataFrame, keys: Sequence[str], hot: DataFrame | None) -> DataFrame:
     """One copy of each row per part of its key, under ``_salt``."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
     last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
     return (
         df.join(hot, list(keys), "left")
@@ -56,18 +64,19 @@ def salted_join(
     spread_by: Sequence[str],
     how: str = "inner",
     hot: DataFrame | None = None,
+    counted: bool = False,
 ) -> DataFrame:
     """Join on ``keys`` where the left side may be skewed (inner or left joins).
 
     Rows of a hot left key are spread over parts and only the right rows of such
-    keys are copied. Without hot keys this is the plain join. ``hot`` saves
-    counting the same keys again.
+    keys are copied. Without hot keys this is the plain join. ``hot`` with
+    ``counted`` saves counting the same keys again.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only the left side may be spread")
-    if hot is None:
+    if not counted:
         hot = hot_keys(left, keys)
-    if hot.isEmpty():
+    if hot is None:
         return left.join(right, list(keys), how)
     return (
         salted(left, keys, hot, spread_by)
