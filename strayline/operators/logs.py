@@ -13,8 +13,7 @@ _LINE = r"^(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d{3}):([^:]*):([^:]*):(.*)$"
 def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``ts, type, function, parts`` of each log line.
 
-    ``parts`` maps the names of the first two ``key:value`` pieces, which ` - `
-    separates. Lines without two such pieces are dropped.
+    ``parts`` maps the first two ``key:value`` pieces, which `` - `` separates. Lines without two such pieces are dropped.
     """
     pieces = F.split(F.regexp_extract(column, _LINE, 4), " - ")
     parsed = lines.select(
@@ -28,14 +27,12 @@ def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     )
     is_pair = r"^[^:]+:[^:]*$"
     whole = parsed.filter(F.col("_first").rlike(is_pair) & F.col("_second").rlike(is_pair))
-    entries = [
-        F.struct(F.trim(F.split(c, ":")[0]).alias("k"), F.split(c, ":")[1].alias("v"))
-        for c in ("_first", "_second")
-    ]
-    different = F.filter(
-        F.array(*entries), lambda e: ~((e["k"] == entries[1]["k"]) & (e["v"] != entries[1]["v"]))
-    )
-    parts = F.map_from_entries(F.array_distinct(different))
+    first, second = [F.split(c, ":") for c in ("_first", "_second")]
+    names = [F.trim(F.get(pair, F.lit(0))) for pair in (first, second)]
+    values = [F.get(pair, F.lit(1)) for pair in (first, second)]
+    # Of two equal names the later one holds.
+    both = F.create_map(names[0], values[0], names[1], values[1])
+    parts = F.when(names[0] == names[1], F.create_map(names[1], values[1])).otherwise(both)
     return whole.select("ts", "type", "function", parts.alias("parts"))
 
 
@@ -57,7 +54,7 @@ def timings(records: DataFrame) -> DataFrame:
     halves = F.split(part("Training model time"), r"±|\+-")
     training = records.filter(part("Training model time").isNotNull()).select(
         iteration,
-        to_seconds(halves[0]).alias("mean"),
+        to_seconds(F.get(halves, F.lit(0))).alias("mean"),
         to_seconds(F.regexp_extract(F.get(halves, F.lit(1)), r"^(.*?) per", 1)).alias("std"),
     )
     return (
