@@ -2,63 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayline.functions.durations import to_seconds
+from strayline.lineage import cut
 
-_LINE = r"^(\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d{3}):([^:]*):([^:]*):(.*)$"
+# Start of a line: a timestamp of 23 characters, then level and function.
+_LINE = r"^\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d{3}:[^:]*:[^:]*:"
+_TIMESTAMP_LENGTH = 23
 
 
 def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``ts, type, function, parts`` of each log line.
 
-    ``parts`` maps the first two ``key:value`` pieces, which `` - `` separates. Lines without two such pieces are dropped.
+    ``parts`` maps the first two ``key:value`` pieces, which `` - `` separates.
+    Lines without two such pieces are dropped.
     """
-    pieces = F.split(F.regexp_extract(column, _LINE, 4), " - ")
-    parsed = lines.select(
-        F.try_to_timestamp(
-            F.regexp_extract(column, _LINE, 1), F.lit("yyyy-MM-dd HH:mm:ss,SSS")
-        ).cast("timestamp_ntz").alias("ts"),
-        F.regexp_extract(column, _LINE, 2).alias("type"),
-        F.regexp_extract(column, _LINE, 3).alias("function"),
-        F.get(pieces, F.lit(0)).alias("_first"),
-        F.get(pieces, F.lit(1)).alias("_second"),
-    )
-    is_pair = r"^[^:]+:[^:]*$"
-    whole = parsed.filter(F.col("_first").rlike(is_pair) & F.col("_second").rlike(is_pair))
-    first, second = [F.split(c, ":") for c in ("_first", "_second")]
-    names = [F.trim(F.get(pair, F.lit(0))) for pair in (first, second)]
-    values = [F.get(pair, F.lit(1)) for pair in (first, second)]
+    text = F.col(column)
+    after = F.split(F.substring(text, _TIMESTAMP_LENGTH + 2, 1 << 30), ":", 3)
+    pieces = F.split(F.get(after, F.lit(2)), " - ")
+    pairs = [F.split(F.get(pieces, F.lit(i)), ":") for i in (0, 1)]
+    names = [F.trim(F.get(pair, F.lit(0))) for pair in pairs]
+    values = [F.get(pair, F.lit(1)) for pair in pairs]
     # Of two equal names the later one holds.
     both = F.create_map(names[0], values[0], names[1], values[1])
     parts = F.when(names[0] == names[1], F.create_map(names[1], values[1])).otherwise(both)
-    return whole.select("ts", "type", "function", parts.alias("parts"))
+    are_pairs = (F.size(pairs[0]) == 2) & (F.size(pairs[1]) == 2)
+    time = F.try_to_timestamp(F.substring(text, 1, _TIMESTAMP_LENGTH), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
+    return lines.filter(text.rlike(_LINE)).filter(are_pairs).select(
+        time.cast("timestamp_ntz").alias("ts"),
+        F.get(after, F.lit(0)).alias("type"),
+        F.get(after, F.lit(1)).alias("function"),
+        parts.alias("parts"),
+    )
 
 
 def timings(records: DataFrame) -> DataFrame:
     """One row per iteration from its partition, data and training-time records.
 
-    ``mean`` and ``std`` are seconds, parted by ``±`` or ``+-``.
+    ``mean`` and ``std`` are seconds, parted by ``±`` or ``+-``. The records are
+    read by three sides of the join, so their numbers are worked out once and
+    written before.
     """
-    part = lambda name: F.try_element_at("parts", F.lit(name))
-    iteration = F.trim(part("Iteration")).alias("Iteration")
-    first_number = lambda c: F.regexp_extract(c, r"\d+", 0).try_cast("bigint")
-    partitions = records.filter(part("Number of partions").isNotNull()).select(
-        "ts", "type", "function", iteration,
-        first_number(part("Number of partions")).alias("partitions"),
-    )
-    data = records.filter(part("data").isNotNull()).select(
-        iteration, first_number(part("data")).alias("n")
-    )
+
+    def part(name: str) -> Column:
+        return F.try_element_at("parts", F.lit(name))
+
+    def first_number(text: Column) -> Column:
+        return F.regexp_extract(text, r"\d+", 0).try_cast("bigint")
+
     halves = F.split(part("Training model time"), r"±|\+-")
-    training = records.filter(part("Training model time").isNotNull()).select(
-        iteration,
-        to_seconds(F.get(halves, F.lit(0))).alias("mean"),
-        to_seconds(F.regexp_extract(F.get(halves, F.lit(1)), r"^(.*?) per", 1)).alias("std"),
+    deviation = F.regexp_extract(F.get(halves, F.lit(1)), r"^(.*?) per", 1)
+    numbers = cut(
+        records.select(
+            "ts",
+            "type",
+            "function",
+            F.trim(part("Iteration")).alias("Iteration"),
+            part("Number of partions").isNotNull().alias("_has_partitions"),
+            first_number(part("Number of partions")).alias("partitions"),
+            part("data").isNotNull().alias("_has_data"),
+            first_number(part("data")).alias("n"),
+            part("Training model time").isNotNull().alias("_has_time"),
+            to_seconds(F.get(halves, F.lit(0))).alias("mean"),
+            to_seconds(deviation).alias("std"),
+        )
     )
+    partitions = numbers.filter("_has_partitions")
+    data = numbers.filter("_has_data").select("Iteration", "n")
+    training = numbers.filter("_has_time").select("Iteration", "mean", "std")
     return (
-        partitions.join(data, "Iteration")
+        partitions.select("ts", "type", "function", "Iteration", "partitions")
+        .join(data, "Iteration")
         .join(training, "Iteration")
         .select("ts", "type", "function", "Iteration", "mean", "std", "n", "partitions")
     )
