@@ -81,8 +81,8 @@ y{i} AS MATERIALIZED (SELECT y0.id, label, y0.c, CASE WHEN label IS NULL THEN co
 
 
 BEST_SQL = """,
-best AS (SELECT id, CAST(list_position(s, list_max(s)) - 1 AS DOUBLE) AS new_label, s
-         FROM (SELECT id, list(round(y, 9) ORDER BY c) AS s FROM {} GROUP BY id))"""
+best AS (SELECT id, CAST(list_position(r, list_max(r)) - 1 AS DOUBLE) AS new_label, s
+         FROM (SELECT id, list(y ORDER BY c) AS s, list(round(y, 9) ORDER BY c) AS r FROM {} GROUP BY id))"""
 
 
 @query("j06_similarity_edges", f"WITH {EDGES_SQL} SELECT src, dst, round(w, 6) AS weight FROM edges")

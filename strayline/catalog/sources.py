@@ -236,7 +236,7 @@ def double_helix(spark, sf_dir):
 _SPRINGS_SQL = f"""
 WITH g AS (SELECT n_regionkey AS k, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1),
 o AS (SELECT k, n, row_number() OVER (ORDER BY k) - 1 AS s, sum(n) OVER (ORDER BY k) - n AS start FROM g),
-p AS (SELECT CAST(start + i AS BIGINT) AS id, s, k + i * 3.0 / (n - 1) AS z
+p AS (SELECT CAST(start + i AS BIGINT) AS id, s, k + CASE WHEN n > 1 THEN i * 3.0 / (n - 1) ELSE 0 END AS z
       FROM o, LATERAL (SELECT unnest(range(n)) AS i)),
 r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY {unit_hash_sql('id', 5)}) <= 2 AS drawn FROM p)
 SELECT id, CASE WHEN drawn THEN CAST(s AS DOUBLE) END AS label,
