@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayline.operators.outliers import detect_outliers, group_centers
+from strayline.operators.outliers import attach_centers, detect_outliers, group_centers
 from strayline.operators.features import fit_scaler
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ WIDTH = 64
 
 def centered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = vectors(spark, sf_dir)
-    return points.join(group_centers(points, "prediction", "point"), "prediction")
+    return attach_centers(points, group_centers(points, "prediction", "point"))
 
 
 def flagged(spark: SparkSession, sf_dir: str, row_id: str | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def flagged_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("prediction"),
         fit_scaler(items, LINEITEM_FEATURES).vector().alias("point"),
     )
-    joined = scaled.join(group_centers(scaled, "prediction", "point"), "prediction")
+    joined = attach_centers(scaled, group_centers(scaled, "prediction", "point"))
     return detect_outliers(joined, point="point", row_id=None, width=len(LINEITEM_FEATURES))
 
 

@@ -23,6 +23,7 @@ from strayline.operators.metrics import confusion_matrix, error_counts, error_ra
 from strayline.operators.outliers import (
     add_distance,
     add_percentage_distance,
+    attach_centers,
     boundary_histogram,
     boundary_profile,
     cluster_report,
@@ -242,13 +243,13 @@ def summary(spark, sf_dir):
        FROM lineitem JOIN s ON l_linenumber = k""",
 )
 def attach_moments(spark, sf_dir):
-    """Component moments joined to their rows; Spark broadcasts what is small enough."""
+    """Component moments joined to their rows."""
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
     items = items.withColumnRenamed("l_linenumber", "prediction")
     moments = items.groupBy("prediction").agg(
         F.avg("l_quantity").alias("mean"), F.var_samp("l_quantity").alias("variance")
     )
-    return items.join(moments, "prediction").select(
+    return attach_centers(items, moments).select(
         "l_orderkey", "prediction", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance")
     )
 

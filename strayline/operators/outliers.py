@@ -1,8 +1,7 @@
 """Distance outliers per cluster: boundaries, flags, reports and histograms.
 
 Everything that depends on a whole cluster comes from one small aggregate,
-joined back by cluster. Partial aggregation makes a huge cluster harmless, and
-Spark broadcasts the aggregate when its size allows.
+joined back by cluster. Partial aggregation makes a huge cluster harmless.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayline.functions.vectors import euclidean_distance, percentage_distance
+from strayline.lineage import cut
 from strayline.operators.features import shift_clusters
 from strayline.operators.row_ids import add_row_id
 
@@ -29,8 +29,12 @@ def group_centers(df: DataFrame, cluster: str, point: str, output: str = "center
 
 
 def attach_centers(df: DataFrame, centers: DataFrame, cluster: str = "prediction") -> DataFrame:
-    """Add each row's own center. Spark broadcasts the centers when small enough."""
-    return df.join(centers, cluster)
+    """Add each row's own center.
+
+    The centers are worked out and written first: Spark then knows their size
+    when it plans, and broadcasts them, if small, without shuffling the rows.
+    """
+    return df.join(cut(centers), cluster)
 
 
 def add_distance(
@@ -57,8 +61,11 @@ def cluster_bounds(
 
 
 def with_bounds(df: DataFrame, bounds: DataFrame, cluster: str, *columns: str) -> DataFrame:
-    """Join columns of ``cluster_bounds`` to the rows, a NULL cluster included."""
-    renamed = bounds.select(F.col(cluster).alias("_cluster"), *columns)
+    """Join columns of a per-cluster table to the rows, a NULL cluster included.
+
+    As with centers, the table is written first and joined by its known size.
+    """
+    renamed = cut(bounds.select(F.col(cluster).alias("_cluster"), *columns))
     return df.join(renamed, F.col(cluster).eqNullSafe(F.col("_cluster"))).drop("_cluster")
 
 
