@@ -13,6 +13,11 @@ _LINE = r"^\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d{3}:[^:]*:[^:]*:"
 _TIMESTAMP_LENGTH = 23
 
 
+def _once(value: Column) -> Column:
+    """Work a value out once: what reads it later cannot repeat its expression."""
+    return F.explode(F.array(value))
+
+
 def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``ts, type, function, parts`` of each log line.
 
@@ -20,21 +25,26 @@ def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     Lines without two such pieces are dropped.
     """
     text = F.col(column)
+    time = F.try_to_timestamp(F.substring(text, 1, _TIMESTAMP_LENGTH), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
     after = F.split(F.substring(text, _TIMESTAMP_LENGTH + 2, 1 << 30), ":", 3)
-    pieces = F.split(F.get(after, F.lit(2)), " - ")
-    pairs = [F.split(F.get(pieces, F.lit(i)), ":") for i in (0, 1)]
-    names = [F.trim(F.get(pair, F.lit(0))) for pair in pairs]
-    values = [F.get(pair, F.lit(1)) for pair in pairs]
+    fields = lines.filter(text.rlike(_LINE)).select(time.alias("ts"), _once(after).alias("_after"))
+    pieces = F.split(F.get("_after", F.lit(2)), " - ", 3)
+    pairs = F.transform(F.slice(pieces, 1, 2), lambda piece: F.split(piece, ":"))
+    paired = fields.select("ts", "_after", _once(pairs).alias("_pairs")).filter(
+        (F.size("_pairs") == 2)
+        & (F.size(F.get("_pairs", F.lit(0))) == 2)
+        & (F.size(F.get("_pairs", F.lit(1))) == 2)
+    )
+    names = [F.trim(F.get(F.get("_pairs", F.lit(i)), F.lit(0))) for i in (0, 1)]
+    values = [F.get(F.get("_pairs", F.lit(i)), F.lit(1)) for i in (0, 1)]
     # Of two equal names the later one holds.
     both = F.create_map(names[0], values[0], names[1], values[1])
     parts = F.when(names[0] == names[1], F.create_map(names[1], values[1])).otherwise(both)
-    are_pairs = (F.size(pairs[0]) == 2) & (F.size(pairs[1]) == 2)
-    time = F.try_to_timestamp(F.substring(text, 1, _TIMESTAMP_LENGTH), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
-    return lines.filter(text.rlike(_LINE)).filter(are_pairs).select(
-        time.cast("timestamp_ntz").alias("ts"),
-        F.get(after, F.lit(0)).alias("type"),
-        F.get(after, F.lit(1)).alias("function"),
-        parts.alias("parts"),
+    return paired.select(
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.get("_after", F.lit(0)).alias("type"),
+        F.get("_after", F.lit(1)).alias("function"),
+        _once(parts).alias("parts"),
     )
 
 
