@@ -29,7 +29,7 @@ def to_seconds(text: Column | str) -> Column:
     names = F.regexp_extract_all(column, F.lit(_QUANTITY), F.lit(2))
     parts = F.zip_with(numbers, names, lambda n, u: n.try_cast("double") * F.try_element_at(units, u))
     total = F.aggregate(parts, F.lit(0.0), lambda acc, part: acc + part)
-    return F.when(F.size(numbers) > 0, total)
+    return F.when(column.rlike(_QUANTITY), total)
 
 
 def _three_digits(value: Column) -> Column:
