@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -33,9 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The one folder that holds all scratch tables of this application."""
+    return f"{shared_dir(spark).rstrip('/')}/strayline-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every scratch table this application has written.
+
+    Call it when no DataFrame that came from ``cut`` is needed any more. It also
+    runs when the driver's Python ends, if the session still lives then.
+    """
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(context._jsc.hadoopConfiguration()).delete(root, True)
+
+
+_OWNED: set[str] = set()
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        release(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path under the application's scratch folder that nothing else uses."""
+    root = scratch_root(spark)
+    if root not in _OWNED:
+        _OWNED.add(root)
+        atexit.register(_release_at_exit, spark)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
