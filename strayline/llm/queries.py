@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from strayline.llm import exact, mixing, secrets, sharding
+from strayline.llm import exact, mixing, packing, secrets, sharding
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
+#: The tokenizer's file; its place is a parameter of the operator.
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op1_packing")
+def op1_packing(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    return packing.pack_documents(documents(spark, sf_dir), path, ids=False)
+
 
 @query(
     "op3_mixing",
