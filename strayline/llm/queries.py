@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strayline.llm import exact, mixing, packing, secrets, sharding
+from strayline.llm import exact, mixing, packing, quality_rules, secrets, sharding
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
@@ -17,6 +17,11 @@ def op1_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), path, ids=False)
 
 
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.judged(documents(spark, sf_dir))
+
+
 @query(
     "op3_mixing",
     r"""
