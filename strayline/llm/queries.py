@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strayline.llm import exact, mixing, packing, quality_rules, secrets, sharding
+from strayline.llm import exact, language, mixing, packing, quality_rules, secrets, sharding
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
@@ -70,6 +70,12 @@ def op7_secrets(spark, sf_dir):
     return secrets.scan_documents(documents(spark, sf_dir))
 
 
+@query("op8_language")
+def op8_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return language.identify(docs, language.learn(docs))
+
+
 @query("op9_sharding")
 def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
