@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strayline.llm import exact, language, mixing, packing, quality_rules, secrets, sharding
+from strayline.llm import exact, interpolation, language, mixing, packing, quality_rules, secrets, sharding
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
@@ -65,6 +65,11 @@ def op4_exact(spark, sf_dir):
     return exact.exact_groups(documents(spark, sf_dir))
 
 
+@query("op5_interpolation")
+def op5_interpolation(spark, sf_dir):
+    return interpolation.score_documents(documents(spark, sf_dir))
+
+
 @query("op7_secrets")
 def op7_secrets(spark, sf_dir):
     return secrets.scan_documents(documents(spark, sf_dir))
