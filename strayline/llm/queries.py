@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strayline.llm import exact, interpolation, language, mixing, packing, quality_rules, secrets, sharding
+from strayline.llm import exact, interpolation, kneser_ney, language, mixing, packing, quality_rules, secrets, sharding
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
@@ -85,4 +85,10 @@ def op8_language(spark, sf_dir):
 def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
+@query("op10_kneser_ney")
+def op10_kneser_ney(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return kneser_ney.judged(documents(spark, sf_dir), kneser_ney.trusted_ids(labels))
+
+
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
