@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strayline.llm import exact, interpolation, kneser_ney, language, mixing, packing, quality_rules, secrets, sharding
+from strayline.llm import dartminhash, exact, interpolation, kneser_ney, language, mixing, packing, quality_rules, secrets, sharding
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
@@ -70,6 +70,11 @@ def op5_interpolation(spark, sf_dir):
     return interpolation.score_documents(documents(spark, sf_dir))
 
 
+@query("op6_dartminhash")
+def op6_dartminhash(spark, sf_dir):
+    return dartminhash.near_classes(documents(spark, sf_dir))
+
+
 @query("op7_secrets")
 def op7_secrets(spark, sf_dir):
     return secrets.scan_documents(documents(spark, sf_dir))
