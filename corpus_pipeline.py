@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strayline.lineage import cut
+from strayline.llm.dartminhash import drop_near_copies
 from strayline.llm.exact import drop_exact_copies
+from strayline.llm.kneser_ney import keep_good, trusted_ids
 from strayline.llm.mixing import emit_mix
+from strayline.llm.packing import pack_documents
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under trusted text is that of good ones."""
+    return keep_good(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,13 +24,32 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for."""
     return emit_mix(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every sequence, with its token ids."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("exact dedup", exact_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
+#: Trained models, signatures and token ids are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
