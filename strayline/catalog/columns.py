@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from strayline.catalog.common import (
+    unit_hash_sql,
     FLAGGED_SQL,
     LINEITEM_FEATURES,
     VECTORS_SQL,
@@ -256,12 +257,16 @@ def distinct_rows(spark, sf_dir):
 @query(
     "f05_prior_product",
     "WITH " + VECTORS_SQL + """
-SELECT vec_id, round(v[1] * 0.5, 6) AS s0, round(v[2] * 0.3, 6) AS s1, round(v[3] * 0.2, 6) AS s2 FROM e""",
+SELECT vec_id, p - 1 AS class, round(x * (p / 2080.0::DOUBLE), 6) AS score
+FROM (SELECT vec_id, unnest(v) AS x, CAST(generate_subscripts(v, 1) AS INT) AS p FROM e)""",
 )
 def prior_product(spark, sf_dir):
-    scores = F.slice("point", 1, 3)
-    weighed = vectors(spark, sf_dir).withColumn("w", scale_by(scores, [0.5, 0.3, 0.2]))
-    return weighed.select("vec_id", *[F.round(F.get("w", F.lit(i)), 6).alias(f"s{i}") for i in range(3)])
+    """All 64 values of a vector as scores, class i with a prior of (i + 1) / 2080."""
+    priors = [(i + 1) / 2080.0 for i in range(64)]
+    weighed = vectors(spark, sf_dir).withColumn("w", scale_by("point", priors))
+    return weighed.select("vec_id", F.posexplode("w").alias("class", "x")).select(
+        "vec_id", "class", F.round("x", 6).alias("score")
+    )
 
 
 @query(
@@ -277,9 +282,14 @@ def one_hot_rows(spark, sf_dir):
     return rows.select("doc_id", F.get("scores", F.lit(0)).alias("s0"), F.get("scores", F.lit(1)).alias("s1"))
 
 
-@query("f09_jitter")
+@query(
+    "f09_jitter",
+    f"""SELECT p_partkey, p_size + {unit_hash_sql('p_partkey', 8)} AS p_size, p_retailprice + {unit_hash_sql('p_partkey', 9)} AS p_retailprice
+        FROM part""",
+)
 def jitter(spark, sf_dir):
-    return jittered(table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], 7)
+    part = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
+    return jittered(part, ["p_size", "p_retailprice"], 7, ["p_partkey"])
 
 
 @query(

@@ -23,7 +23,7 @@ from strayline.operators.propagation import (
     propagation_step,
     without_clamped,
 )
-from strayline.operators.generative import class_count
+from strayline.operators.generative import class_counts
 from strayline.operators.metrics import label_counts
 
 SIGMA, TOL, CLASSES = 0.6, 0.01, 10
@@ -357,9 +357,7 @@ def priors(spark, sf_dir):
 @query("a13_class_count", "SELECT l_linestatus, CAST(count(DISTINCT l_linenumber) AS BIGINT) AS k FROM lineitem GROUP BY 1")
 def classes(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem", "l_linestatus", "l_linenumber")
-    statuses = [r[0] for r in items.select("l_linestatus").distinct().orderBy("l_linestatus").collect()]
-    rows = [(s, class_count(items.filter(F.col("l_linestatus") == s), "l_linenumber")) for s in statuses]
-    return spark.createDataFrame(rows, "l_linestatus string, k bigint")
+    return class_counts(items, "l_linenumber", "l_linestatus")
 
 
 @query("a14_label_counts", "SELECT label, count(*) AS count FROM embeddings GROUP BY label")

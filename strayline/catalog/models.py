@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from strayline.catalog.common import LINEITEM_FEATURES, query, table, vectors
+from strayline.lineage import cut
 from strayline.operators.classification import (
     cross_validate,
     fold_metrics,
@@ -27,7 +28,7 @@ from strayline.operators.generative import (
     majority_label,
     supervised_baseline,
 )
-from strayline.operators.metrics import summary_curves
+from strayline.operators.metrics import classifier_curves
 from strayline.operators.sampling import hash_split
 from strayline.plans import classification, cleaning, semisupervised
 from strayline.roles import Roles
@@ -106,6 +107,20 @@ def cleaning_job(spark, sf_dir):
     return result.report.agg(F.sum("amount").alias("rows"))
 
 
+@query("m07_mixture_job", "SELECT p_partkey, TRUE AS is_measured, TRUE AS is_judged FROM part")
+def mixture_job(spark, sf_dir):
+    """The job as it is by default: a mixture, its components' distances and flags."""
+    roles = Roles.of("p_partkey", "p_type", PART_FEATURES)
+    rows = cleaning.run(table(spark, sf_dir, "part"), roles, k=3, seed=1, maxIter=10).rows
+    gaps = [F.pow(F.get("scaled_features", F.lit(i)) - F.get("centers", F.lit(i)), 2) for i in range(2)]
+    beyond = F.col("distance") > F.col("computed_boundary")
+    return rows.select(
+        "p_partkey",
+        (F.abs(F.col("distance") - F.sqrt(gaps[0] + gaps[1])) < 1e-9).alias("is_measured"),
+        ((F.size("covariance") == 2) & (F.col("is_outlier") == beyond.cast("int"))).alias("is_judged"),
+    )
+
+
 @query("m08_logistic_regression")
 def logistic_regression(spark, sf_dir):
     train, test = hash_split(orders(spark, sf_dir), "o_orderkey", 0.8, 8)
@@ -124,19 +139,22 @@ def validated(spark, sf_dir):
     pipeline = make_pipeline(ORDER_FEATURES, "finished", maxIter=5)
     grid = make_grid(pipeline.getStages()[-1], {"regParam": (0.01, 0.1)}, steps=2)
     evaluator = BinaryClassificationEvaluator(labelCol="finished")
-    model = cross_validate(pipeline, orders(spark, sf_dir).persist(), evaluator, grid, n_folds=2)
+    model = cross_validate(pipeline, cut(orders(spark, sf_dir)), evaluator, grid, n_folds=2)
     return fold_metrics(spark, model)
 
 
 @query("m11_summary_curves")
 def curves(spark, sf_dir):
-    model = make_pipeline(ORDER_FEATURES, "finished", maxIter=5).fit(orders(spark, sf_dir))
-    return summary_curves(model.stages[-1].summary)["roc"]
+    """All five curves of a fitted classifier and its area, over every scored row."""
+    rows = orders(spark, sf_dir)
+    scored = make_pipeline(ORDER_FEATURES, "finished", maxIter=5).fit(rows).transform(rows)
+    probability = F.get(vector_to_array("probability"), F.lit(1)).alias("probability")
+    return classifier_curves(scored.select("finished", probability), "finished", "probability")
 
 
 @query("m12_model_sweep")
 def model_sweep(spark, sf_dir):
-    return sweep(parts(spark, sf_dir).persist(), "kmeans", (2, 3), (5, 10), seed=1)
+    return sweep(cut(parts(spark, sf_dir)), "kmeans", (2, 3), (5, 10), seed=1)
 
 
 def _labelled(spark, sf_dir):
@@ -176,11 +194,11 @@ def classification_job(spark, sf_dir):
 
 @query("m15_semisupervised_job", "SELECT vec_id, TRUE AS is_labelled FROM embeddings")
 def semisupervised_job(spark, sf_dir):
-    """The job with its own defaults, two classes and four features."""
+    """The job with two classes over all 64 features."""
     label = F.when(F.col("vec_id") % 3 == 0, (F.col("prediction") % 2).cast("double"))
     rows = vectors(spark, sf_dir).select(
-        "vec_id", label.alias("label"), *[F.get("point", F.lit(i)).alias(f"f{i}") for i in range(4)]
+        "vec_id", label.alias("label"), *[F.get("point", F.lit(i)).alias(f"f{i}") for i in range(64)]
     )
-    roles = Roles.of("vec_id", "label", [f"f{i}" for i in range(4)])
-    filled = semisupervised.run(rows, roles)
+    roles = Roles.of("vec_id", "label", [f"f{i}" for i in range(64)])
+    filled = semisupervised.run(rows, roles, sigma=0.6, standardize=False)
     return filled.select("vec_id", F.col("new_label").isin(0.0, 1.0).alias("is_labelled"))

@@ -17,6 +17,7 @@ from strayline.catalog.common import (
     table,
     vectors,
 )
+from strayline.lineage import cut
 from strayline.operators.clustering import nearest_center, own_center_distance
 from strayline.operators.features import fit_scaler
 from strayline.operators.metrics import confusion_matrix, error_counts, error_rate
@@ -257,15 +258,12 @@ def attach_moments(spark, sf_dir):
 @query(
     "j02_attach_center",
     "WITH " + VECTORS_SQL + """
-SELECT vec_id, label AS prediction, round(c[1], 6) AS c0, round(c[64], 6) AS c63 FROM e JOIN c USING (label)""",
+SELECT vec_id, label AS prediction, CAST(generate_subscripts(c, 1) - 1 AS INT) AS position, round(unnest(c), 6) AS center
+FROM e JOIN c USING (label)""",
 )
 def attach_center(spark, sf_dir):
-    return centered(spark, sf_dir).select(
-        "vec_id",
-        "prediction",
-        F.round(F.get("centers", F.lit(0)), 6).alias("c0"),
-        F.round(F.get("centers", F.lit(63)), 6).alias("c63"),
-    )
+    own = centered(spark, sf_dir).select("vec_id", "prediction", F.posexplode("centers").alias("position", "c"))
+    return own.select("vec_id", "prediction", "position", F.round("c", 6).alias("center"))
 
 
 @query(
@@ -275,7 +273,7 @@ SELECT vec_id, label AS prediction, round(list_distance(v, c), 6) AS distance FR
 )
 def center_distance(spark, sf_dir):
     points = vectors(spark, sf_dir)
-    centers = group_centers(points, "prediction", "point")
+    centers = cut(group_centers(points, "prediction", "point"))
     measured = own_center_distance(points, centers, centers.count(), WIDTH, "point")
     return measured.select("vec_id", "prediction", F.round("distance", 6).alias("distance"))
 

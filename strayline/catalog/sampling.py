@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from strayline.catalog.common import LINEITEM_FEATURES, query, table, unit_hash_sql, vectors
@@ -23,10 +25,28 @@ from strayline.plans import experiment
 from strayline.roles import Roles
 
 
-@query("x01_enlarge")
+def _copies_sql(draw: str, mean: float) -> str:
+    """SQL twin of ``poisson_copies``."""
+    edges, term, total = [], math.exp(-mean), math.exp(-mean)
+    while total < 1 - 1e-16 and len(edges) < mean + 40 * (1 + math.sqrt(mean)):
+        edges.append(repr(total) + "::DOUBLE")
+        term *= mean / len(edges)
+        total += term
+    return f"len(list_filter([{', '.join(edges)}], lambda x: x <= {draw}))"
+
+
+_COPY = "(CAST(p_partkey AS VARCHAR) || '|' || CAST(c AS VARCHAR))"
+
+
+@query(
+    "x01_enlarge",
+    f"""SELECT p_partkey, p_size + {unit_hash_sql(_COPY, 2)} AS p_size, p_retailprice + {unit_hash_sql(_COPY, 3)} AS p_retailprice
+        FROM (SELECT *, unnest(range(1, 1 + {_copies_sql(unit_hash_sql('p_partkey', 1), 1.0)})) AS c FROM part)
+        UNION ALL SELECT p_partkey, p_size, p_retailprice FROM part""",
+)
 def enlarged(spark, sf_dir):
     part = table(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice")
-    return enlarge(part, 2 * part.count(), ["p_size", "p_retailprice"], seed=1)
+    return enlarge(part, 2 * part.count(), ["p_size", "p_retailprice"], 1, ["p_partkey"])
 
 
 @query(
@@ -71,10 +91,18 @@ def fractions(spark, sf_dir):
     return label_fractions(rows, "label", per_label={1: 0.2, 2: 0.4}).join(fixed, "label")
 
 
-@query("x05_stratified_sample")
+_LINE_KEY = "(CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR))"
+
+
+@query(
+    "x05_stratified_sample",
+    f"""SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem
+        WHERE {unit_hash_sql(_LINE_KEY, 5)} < CASE l_returnflag WHEN 'A' THEN 0.1 WHEN 'N' THEN 0.2 WHEN 'R' THEN 0.3 ELSE 0 END""",
+)
 def stratified(spark, sf_dir):
     flags = {"A": 0.1, "N": 0.2, "R": 0.3}
-    return stratified_sample(table(spark, sf_dir, "lineitem"), "l_returnflag", flags, 5)
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    return stratified_sample(rows, "l_returnflag", flags, 5, ["l_orderkey", "l_linenumber"])
 
 
 @query(
@@ -93,29 +121,41 @@ def split_at_random(spark, sf_dir):
     return train.unionByName(test).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x07_sample_with_replacement")
+@query(
+    "x07_sample_with_replacement",
+    f"""SELECT l_orderkey, l_linenumber, l_quantity
+        FROM (SELECT *, unnest(range({_copies_sql(unit_hash_sql(_LINE_KEY, 7), 0.1)})) FROM lineitem)""",
+)
 def with_replacement(spark, sf_dir):
-    return bernoulli_with_replacement(table(spark, sf_dir, "lineitem"), 0.1, 7)
+    rows = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    return bernoulli_with_replacement(rows, 0.1, 7, ["l_orderkey", "l_linenumber"])
 
 
 @query("x08_experiment")
 def experiment_runs(spark, sf_dir):
-    """Half the table and all of it, a tenth of the labels known."""
+    """Half the table and all of it, a tenth of the labels known, two runs each."""
     rows = vectors(spark, sf_dir).select(
         F.col("vec_id").alias("id"),
         F.col("prediction").alias("label"),
-        *[F.get("point", F.lit(i)).alias(f"f{i}") for i in range(4)],
+        *[F.get("point", F.lit(i)).alias(f"f{i}") for i in range(64)],
     )
     n = rows.count()
-    roles = Roles.of("id", "label", [f"f{i}" for i in range(4)])
-    return experiment.run(rows, roles, [n // 2, n], 0.1, sigma=0.5, max_iters=2, truth="label")
+    roles = Roles.of("id", "label", [f"f{i}" for i in range(64)])
+    found = experiment.run(
+        rows, roles, [n // 2, n], 0.1, runs=2, sigma=0.6, max_iters=2, standardize=False, truth="label"
+    )
+    return experiment.run_statistics(found).drop("mean_seconds", "std_seconds")
 
 
-@query("x09_repartition_sweep")
+@query(
+    "x09_repartition_sweep",
+    "SELECT unnest([8, 80]) AS partitions, (SELECT count(*) FROM lineitem) AS n_rows",
+)
 def sweep(spark, sf_dir):
+    """Rows of each run of the sweep; its seconds are for ``bench.py``."""
     items = table(spark, sf_dir, "lineitem", *LINEITEM_FEATURES)
     job = lambda df: df.select(fit_scaler(df, LINEITEM_FEATURES).vector().alias("v"))
-    return experiment.repartition_sweep(items, job, [8, 80])
+    return experiment.repartition_sweep(items, job, [8, 80]).drop("seconds")
 
 
 @query(

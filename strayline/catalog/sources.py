@@ -191,7 +191,7 @@ def declared_schema(spark, sf_dir):
 
 @query("g01_gaussian_clusters")
 def gaussian_clusters(spark, sf_dir):
-    """As many rows per cluster as the table has per label, around its first three mean values."""
+    """As many rows per cluster as the table has per label, around its mean vector."""
     points = vectors(spark, sf_dir)
     centers = group_centers(points, "prediction", "point").join(
         points.groupBy("prediction").count(), "prediction"
@@ -200,9 +200,9 @@ def gaussian_clusters(spark, sf_dir):
     return synthetic.gaussian_clusters(
         spark,
         [r["count"] for r in rows],
-        [r["centers"][:3] for r in rows],
-        [[0.1] * 3 for _ in rows],
-        features=3,
+        [r["centers"] for r in rows],
+        [[0.1] * 64 for _ in rows],
+        features=[f"f{i}" for i in range(64)],
     )
 
 

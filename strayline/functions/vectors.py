@@ -7,17 +7,28 @@ written out term by term, so that they stay inside whole-stage codegen; the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def known_width(df: DataFrame, vector: str) -> int | None:
+    """Dimensions of the vectors, None without any; rows that do not agree are an error."""
+    size = F.when(F.col(vector).isNotNull(), F.size(vector))
+    least, most = df.agg(F.min(size), F.max(size)).first()
+    if least != most:
+        raise ValueError(f"column {vector!r} holds vectors of {least} to {most} dimensions")
+    return most
+
+
 def width_of(df: DataFrame, vector: str) -> int:
-    """Dimensions of the first non-null vector; all rows must agree."""
-    row = df.select(F.size(vector).alias("n")).filter(F.col(vector).isNotNull()).first()
-    if row is None:
+    """Dimensions of the vectors; a column without one is an error, too."""
+    width = known_width(df, vector)
+    if width is None:
         raise ValueError(f"column {vector!r} holds no vector")
-    return row["n"]
+    return width
 
 
 def name_sql(column: str) -> str:
@@ -31,7 +42,8 @@ def element_sql(vector: str, width: int) -> list[str]:
 
 
 def number_sql(value: float) -> str:
-    return f"{float(value)!r}D"
+    value = float(value)
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
 
 
 def squared_distance(a: str, b: str, width: int | None = None) -> Column:
@@ -54,10 +66,6 @@ def percentage_distance(distance: Column | str, max_distance: Column) -> Column:
     return (max_distance - column) / F.lit(100.0)
 
 
-def rbf_weight(squared: Column, sigma: float) -> Column:
-    return F.exp(-squared / F.lit(float(sigma) ** 2))
-
-
 def scale_by(scores: Column | str, priors: Sequence[float]) -> Column:
     """Element-wise product of a score vector and fixed priors."""
     return F.zip_with(scores, F.array(*[F.lit(float(p)) for p in priors]), lambda s, p: s * p)

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayline.functions.vectors import element_sql, number_sql, squared_distance
-from strayline.lineage import BROADCAST_LIMIT_BYTES, bounded_broadcast
+from strayline.lineage import BROADCAST_LIMIT_BYTES, bounded_broadcast, cut
 from strayline.operators.features import standardize
 
-# Up to this many numbers the centers are written into the expression.
+# Up to this many numbers the centers are written into the expression. The plan
+# changes with the number of centers, the answer does not.
 EXPRESSION_LIMIT = 128
 
 ALGORITHMS = {
@@ -65,20 +66,22 @@ def center_table(spark: SparkSession, centers: Sequence[Sequence[float]]) -> Dat
 
 
 def model_centers(spark: SparkSession, model) -> DataFrame:
+    """Cluster number and center; of a mixture the covariance, too."""
     if hasattr(model, "gaussiansDF"):
-        return component_table(spark, model).select("prediction", "centers")
+        return component_table(spark, model).drop("weight")
     return center_table(spark, model.clusterCenters())
 
 
 def apply_model(model, df: DataFrame) -> DataFrame:
-    """Score prepared rows and attach each row's own center."""
+    """Score prepared rows and attach each row's own center, of a mixture the covariance, too."""
     spark = df.sparkSession
     if hasattr(model, "gaussiansDF"):
         k, width = len(model.weights), model.numFeatures
     else:
         centers = model.clusterCenters()
         k, width = len(centers), len(centers[0])
-    centers = bounded_broadcast(model_centers(spark, model), k, 8 * width + 16)
+    numbers = width + width * width if hasattr(model, "gaussiansDF") else width
+    centers = bounded_broadcast(model_centers(spark, model), k, 8 * numbers + 16)
     return model.transform(df).join(centers, "prediction")
 
 
@@ -93,14 +96,17 @@ def nearest_center(
     df: DataFrame, centers: Sequence[Sequence[float]], point: str = "scaled_features",
     output: str = "prediction",
 ) -> DataFrame:
-    """Number of the closest given center, the lowest one on ties; no join.
+    """Number of the closest given center, the lowest one on ties; NULL for an unknown point.
 
-    A few short centers become part of the expression, inside codegen. Larger
-    ones, whose code would be too long, are compared in Arrow batches.
+    A point with a NULL or NaN element is unknown, too. A few short centers become
+    part of the expression, inside codegen. Larger ones, whose code would be too
+    long, are compared in Arrow batches. Of centers that are too large for every
+    task, one block after the other is, and each point keeps its best so far.
     """
     width = len(centers[0])
-    if len(centers) * width * 8 > BROADCAST_LIMIT_BYTES:
-        raise ValueError("too many centers to send to every task")
+    block = max(1, BROADCAST_LIMIT_BYTES // (8 * width))
+    if len(centers) > block:
+        return _nearest_in_blocks(df, centers, point, output, block)
     if len(centers) * width > EXPRESSION_LIMIT:
         return df.withColumn(output, _nearest_in_batches(centers)(F.col(point)))
     terms = element_sql(point, width)
@@ -110,7 +116,39 @@ def nearest_center(
         squares = " + ".join(f"{g} * {g}" for g in gaps)
         candidates.append(f"struct({squares} AS d2, {i} AS i)")
     best = f"least({', '.join(candidates)})" if len(candidates) > 1 else candidates[0]
-    return df.withColumn(output, F.expr(f"{best}.i"))
+    known = " AND ".join(f"{x} IS NOT NULL AND NOT isnan({x})" for x in terms)
+    return df.withColumn(output, F.expr(f"CASE WHEN {known} THEN {best}.i END"))
+
+
+def _known(points: pd.Series) -> tuple[pd.Series, np.ndarray]:
+    """Which points have no unknown element, and those points."""
+    known = points.map(lambda p: p is not None and not pd.isna(np.asarray(p, dtype=float)).any()).astype(bool)
+    rows = np.stack([np.asarray(p, dtype=float) for p in points[known]]) if known.any() else np.zeros((0, 1))
+    return known, rows
+
+
+def _nearest_in_blocks(df: DataFrame, centers, point: str, output: str, block: int) -> DataFrame:
+    """The closest of very many centers: a pass over the points per block of centers."""
+    best = df.withColumn("_best", F.lit(None).cast("struct<gap: double, number: int>"))
+    for start in range(0, len(centers), block):
+        fixed = np.asarray(centers[start : start + block], dtype=float)
+        best = cut(best.withColumn("_best", F.least("_best", _closest(fixed, start)(F.col(point)))))
+    return best.withColumn(output, F.col("_best.number")).drop("_best")
+
+
+def _closest(fixed: np.ndarray, start: int):
+    @F.pandas_udf("struct<gap: double, number: int>")
+    def closest(points: pd.Series) -> pd.DataFrame:
+        found = pd.DataFrame({"gap": None, "number": None}, index=points.index, dtype=object)
+        known, rows = _known(points)
+        if known.any():
+            squares = np.stack([((rows - c) ** 2).sum(axis=1) for c in fixed], axis=1)
+            at = squares.argmin(axis=1)
+            found.loc[known, "gap"] = squares[np.arange(len(rows)), at]
+            found.loc[known, "number"] = at + start
+        return found.astype({"gap": "float64", "number": "Int32"})
+
+    return closest
 
 
 def _nearest_in_batches(centers: Sequence[Sequence[float]]):
@@ -119,9 +157,8 @@ def _nearest_in_batches(centers: Sequence[Sequence[float]]):
     @F.pandas_udf("int")
     def closest(points: pd.Series) -> pd.Series:
         found = pd.Series(None, index=points.index, dtype="Int32")
-        known = points.notna()
+        known, rows = _known(points)
         if known.any():
-            rows = np.stack(points[known].to_numpy())
             squares = np.stack([((rows - c) ** 2).sum(axis=1) for c in fixed], axis=1)
             found[known] = squares.argmin(axis=1)
         return found
@@ -151,10 +188,17 @@ def sweep(
 
 
 def topics(
-    df: DataFrame, text: str, k: int = 10, max_iter: int = 10, vocabulary: int = 1 << 16, seed: int = 0
+    df: DataFrame, text: str, k: int = 10, max_iter: int = 10, vocabulary: int | None = None, seed: int = 0
 ) -> DataFrame:
-    """Topic of each text by LDA on its words: adds ``topic`` and ``topic_weights``."""
+    """Topic of each text by LDA on its words: adds ``topic`` and ``topic_weights``.
+
+    Every word counts: the vocabulary is as large as the number of different words,
+    unless a caller names a smaller one and gives up the rarest words. The model
+    holds ``k`` numbers per word on the driver, as LDA in MLlib does.
+    """
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+").transform(df)
+    if vocabulary is None:
+        vocabulary = max(1, words.select(F.explode("_words")).distinct().count())
     counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary)
     counted = counter.fit(words).transform(words)
     lda = clustering.LDA(

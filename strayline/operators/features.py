@@ -25,11 +25,14 @@ ALLOWED_CASTS = {
     "string": ("double", "int"),
 }
 
+# The types a column may be cast to.
 CAST_TARGETS = ("string", "int", "float", "double", "boolean")
 
 # Up to this many features the statistics are one wide aggregate; beyond, one
-# aggregate over exploded positions, whose code stays small.
+# aggregate over exploded positions, whose code stays small. The rows are the same.
 WIDE_AGGREGATE_LIMIT = 16
+# The same for plain means, which need less code.
+WIDE_MEANS_LIMIT = 128
 
 
 def cast_column(df: DataFrame, column: str, target: str) -> DataFrame:
@@ -137,17 +140,20 @@ class Scaler:
 
 
 def fit_scaler(df: DataFrame, features: str | Iterable[str]) -> Scaler:
-    """One pass over the table; only one row per feature reaches the driver."""
+    """One pass over the table; only one row per feature reaches the driver.
+
+    NaN is an unknown value like NULL: statistics are those of the known ones.
+    """
     terms = feature_sql(df, features)
     statistics = ("avg", "stddev_samp", "min", "max")
     if len(terms) <= WIDE_AGGREGATE_LIMIT:
-        row = df.agg(*[F.expr(f"{s}({x})") for x in terms for s in statistics]).first()
+        row = df.agg(*[F.expr(f"{s}(nullif({x}, double('nan')))") for x in terms for s in statistics]).first()
         found = [row[i * 4 : i * 4 + 4] for i in range(len(terms))]
     else:
         rows = (
             df.select(F.posexplode(_array(terms)).alias("position", "value"))
             .groupBy("position")
-            .agg(*[F.expr(f"{s}(value)") for s in statistics])
+            .agg(*[F.expr(f"{s}(nullif(value, double('nan')))") for s in statistics])
             .collect()
         )
         found = [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["position"])]

@@ -24,9 +24,13 @@ from strayline.roles import as_names
 REGULARISATIONS = [0.1, 0.01]
 
 
+def class_counts(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Number ``k`` of distinct known labels, in the whole table or per group."""
+    return df.filter(known_label(df, label)).groupBy(*by).agg(F.countDistinct(label).alias("k"))
+
+
 def class_count(df: DataFrame, label: str) -> int:
-    """Number of distinct known labels."""
-    return df.filter(known_label(df, label)).agg(F.countDistinct(label)).first()[0]
+    return class_counts(df, label).first()["k"]
 
 
 def _evaluator(k: int, label: str):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strayline.lineage import cut
 from strayline.operators.features import fit_scaler
-from strayline.operators.skew import salted_join
+from strayline.operators.skew import hot_keys, replicated, salted, salted_join
 
 # Rows of one block, on average.
 BLOCK_ROWS = 512
@@ -47,7 +47,8 @@ def similarity_edges(
 
     Exact. The tolerance bounds the distance of a pair, so space is cut into
     cells one radius wide and rows only meet rows of their own and the adjacent
-    cells, taken in one direction so that no pair comes twice. Rows of a cell are
+    cells, taken in one direction so that no pair comes twice. A row without an id or
+    with a NULL or NaN feature is near to nothing and has no edge. Rows of a cell are
     packed into blocks of about ``block_rows`` by hash, so a crowded cell becomes
     many blocks. Joined pairs of blocks, each of bounded size, are spread over
     the cluster and compared in Arrow batches; only edges leave the comparison.
@@ -60,7 +61,7 @@ def similarity_edges(
     axes = _grid_axes(scaler.ranges(standardize), radius) if radius > 0 else []
     vectors = df.select(
         F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v")
-    ).filter("id IS NOT NULL AND v IS NOT NULL")
+    ).filter("id IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
     cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(f"c{i}") for i, a in enumerate(axes)]
     # Without a useful axis the whole table is one cell.
     rows = vectors.select("id", "v", *(cells or [F.lit(0).cast("bigint").alias("c0")]))
@@ -209,12 +210,21 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def matrix_product(a: DataFrame, b: DataFrame, symmetric: bool = False) -> DataFrame:
-    """``C = A x B`` over entries; ``symmetric`` mirrors and averages A first."""
+    """``C = A x B`` over entries; ``symmetric`` mirrors and averages A first.
+
+    An inner key with very many entries on either side is split on that side, and
+    only its partners are copied.
+    """
     left = mean_symmetric(a) if symmetric else a
     left = left.select(F.col("src"), F.col("dst").alias("_inner"), F.col("weight").alias("_a"))
     right = b.select(F.col("src").alias("_inner"), F.col("dst"), F.col("weight").alias("_b"))
+    keys, hot = ["_inner"], hot_keys(right, ["_inner"])
+    if hot is not None:
+        right = salted(right, ["_inner"], hot, ["dst"]).withColumnRenamed("_salt", "_part")
+        left = replicated(left, ["_inner"], hot).withColumnRenamed("_salt", "_part")
+        keys = ["_inner", "_part"]
     return (
-        salted_join(left, right, ["_inner"], spread_by=["src"])
+        salted_join(left, right, keys, spread_by=["src"])
         .groupBy("src", "dst")
         .agg(F.sum(F.col("_a") * F.col("_b")).alias("weight"))
     )
@@ -239,11 +249,11 @@ def transition_matrix(edges: DataFrame, normalization: str = "row_stochastic") -
     """
     if normalization == "row_stochastic":
         full = cut(mirrored(edges))
-        by_column = _divided(full, _sums(full, "dst"), "dst")
+        by_column = cut(_divided(full, _sums(full, "dst"), "dst"))
         return _divided(by_column, _sums(by_column, "src"), "src")
     if normalization == "folded":
         edges = cut(edges)
-        by_column = _divided(edges, degrees(edges), "dst")
+        by_column = cut(_divided(edges, degrees(edges), "dst"))
         return _divided(by_column, degrees(by_column), "src")
     raise ValueError(f"unknown normalization {normalization!r}")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strayline.functions.durations import to_seconds
 from strayline.lineage import cut
 
+# The log format and, below, the names of its fields, misspelling included.
 # Start of a line: a timestamp of 23 characters, then level and function.
 _LINE = r"^\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2},\d{3}:[^:]*:[^:]*:"
 _TIMESTAMP_LENGTH = 23
@@ -21,25 +22,28 @@ def _once(value: Column) -> Column:
 def split_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """``ts, type, function, parts`` of each log line.
 
-    ``parts`` maps the first two ``key:value`` pieces, which `` - `` separates.
-    Lines without two such pieces are dropped.
+    ``parts`` maps every ``key:value`` piece; `` - `` separates them. Lines with
+    fewer than two such pieces are dropped, and so are those whose first two are not
+    of that kind. Of pieces with one name the last one holds.
     """
     text = F.col(column)
     time = F.try_to_timestamp(F.substring(text, 1, _TIMESTAMP_LENGTH), F.lit("yyyy-MM-dd HH:mm:ss,SSS"))
     after = F.split(F.substring(text, _TIMESTAMP_LENGTH + 2, 1 << 30), ":", 3)
     fields = lines.filter(text.rlike(_LINE)).select(time.alias("ts"), _once(after).alias("_after"))
-    pieces = F.split(F.get("_after", F.lit(2)), " - ", 3)
-    pairs = F.transform(F.slice(pieces, 1, 2), lambda piece: F.split(piece, ":"))
-    paired = fields.select("ts", "_after", _once(pairs).alias("_pairs")).filter(
-        (F.size("_pairs") == 2)
-        & (F.size(F.get("_pairs", F.lit(0))) == 2)
-        & (F.size(F.get("_pairs", F.lit(1))) == 2)
+    pieces = F.split(F.get("_after", F.lit(2)), " - ", -1)
+    pairs = F.transform(pieces, lambda piece: F.split(piece, ":"))
+    pair = lambda p: F.size(p) == 2
+    paired = (
+        fields.select("ts", "_after", _once(pairs).alias("_all"))
+        .filter((F.size("_all") >= 2) & pair(F.get("_all", F.lit(0))) & pair(F.get("_all", F.lit(1))))
+        .select("ts", "_after", _once(F.filter("_all", pair)).alias("_pairs"))
     )
-    names = [F.trim(F.get(F.get("_pairs", F.lit(i)), F.lit(0))) for i in (0, 1)]
-    values = [F.get(F.get("_pairs", F.lit(i)), F.lit(1)) for i in (0, 1)]
-    # Of two equal names the later one holds.
-    both = F.create_map(names[0], values[0], names[1], values[1])
-    parts = F.when(names[0] == names[1], F.create_map(names[1], values[1])).otherwise(both)
+    name = lambda p: F.trim(F.get(p, F.lit(0)))
+    later = lambda p, i: F.exists(
+        F.slice("_pairs", i + 2, F.size("_pairs")), lambda q: name(q) == name(p)
+    )
+    last = F.filter("_pairs", lambda p, i: ~later(p, i))
+    parts = F.map_from_entries(F.transform(last, lambda p: F.struct(name(p), F.get(p, F.lit(1)))))
     return paired.select(
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         F.get("_after", F.lit(0)).alias("type"),

@@ -11,14 +11,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayline.functions.vectors import euclidean_distance, percentage_distance
+from strayline.functions.vectors import euclidean_distance, known_width, percentage_distance
 from strayline.lineage import cut
-from strayline.operators.features import shift_clusters
+from strayline.operators.features import WIDE_MEANS_LIMIT, shift_clusters
 from strayline.operators.row_ids import add_row_id
 
 
 def group_centers(df: DataFrame, cluster: str, point: str, output: str = "centers") -> DataFrame:
-    """Mean vector of each cluster."""
+    """Mean vector of each cluster.
+
+    Up to ``WIDE_MEANS_LIMIT`` dimensions a row adds to one buffer per cluster;
+    beyond, positions are exploded. The vectors of a table have one length.
+    """
+    width = known_width(df, point)
+    if width is not None and width <= WIDE_MEANS_LIMIT:
+        each = [F.avg(F.get(point, F.lit(i))) for i in range(width)]
+        return df.groupBy(cluster).agg(F.array(*each).alias(output))
     means = (
         df.select(cluster, F.posexplode(point).alias("_position", "_value"))
         .groupBy(cluster, "_position")
@@ -29,12 +37,12 @@ def group_centers(df: DataFrame, cluster: str, point: str, output: str = "center
 
 
 def attach_centers(df: DataFrame, centers: DataFrame, cluster: str = "prediction") -> DataFrame:
-    """Add each row's own center.
+    """Add each row's own center, that of a NULL cluster included.
 
     The centers are worked out and written first: Spark then knows their size
     when it plans, and broadcasts them, if small, without shuffling the rows.
     """
-    return df.join(cut(centers), cluster)
+    return with_bounds(df, centers, cluster, *[c for c in centers.columns if c != cluster])
 
 
 def add_distance(
@@ -196,8 +204,13 @@ def distance_histogram(
     distance: str = "distance",
     boundary: str = "computed_boundary",
 ) -> DataFrame:
-    """Equal-width histogram per cluster: ``bucket, n, n_outlier``, empty ones too."""
-    tops = df.groupBy(cluster, boundary).agg(F.max(distance).alias("_top"))
+    """Equal-width histogram per cluster: ``bucket, n, n_outlier``, empty ones too.
+
+    The rows are read once, for cluster, distance and boundary; all else comes from
+    that narrow table.
+    """
+    df = cut(df.select(cluster, distance, boundary))
+    tops = cut(df.groupBy(cluster, boundary).agg(F.max(distance).alias("_top")))
     width = F.col("_top") / F.lit(n_buckets)
     joined = with_bounds(df, tops, cluster, "_top")
     filled = joined.select(
@@ -235,10 +248,13 @@ def boundary_histogram(
     """
     d, b = F.col(distance), F.col(boundary)
     at_or_beyond = F.when(d >= b, 1.0).otherwise(0.0)
-    edges = df.groupBy(cluster, boundary).agg(
-        F.min(distance).alias("_low"),
-        F.max(distance).alias("_high"),
-        F.ceil(F.lit(n_buckets) * F.avg(at_or_beyond)).cast("int").alias("_outer"),
+    df = cut(df.select(cluster, distance, boundary))
+    edges = cut(
+        df.groupBy(cluster, boundary).agg(
+            F.min(distance).alias("_low"),
+            F.max(distance).alias("_high"),
+            F.ceil(F.lit(n_buckets) * F.avg(at_or_beyond)).cast("int").alias("_outer"),
+        )
     )
     inner = F.lit(n_buckets) - F.col("_outer")
     inner_step = (b - F.col("_low")) / (inner - 1)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayline.lineage import cut
+
 HOT_KEY_ROWS = 1_000_000
 
 
@@ -15,20 +16,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_KEY_ROWS) -> D
     """Keys with more than ``limit`` rows and into how many parts to split each.
 
     None when there are none. Counts are combined before the shuffle, and at most
-    ``rows / limit`` keys are left. The result is kept and counted, so the joins
-    that use it are planned on its real size.
+    ``rows / limit`` keys are left. The result is written, so the joins that use it
+    are planned on its real size.
     """
-    found = (
+    found = cut(
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > limit)
         .select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_parts"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    if found.count():
-        return found
-    found.unpersist()
-    return None
+    return None if found.isEmpty() else found
 
 
 def salted(

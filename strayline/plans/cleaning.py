@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayline.lineage import cut
 from strayline.operators.clustering import apply_model, make_estimator, prepare
 from strayline.operators.outliers import detect_outliers, report_with_histogram
 from strayline.roles import Roles
@@ -31,7 +31,7 @@ def run(
     **params,
 ) -> CleaningResult:
     """Standardised by default, unlike classification."""
-    prepared = prepare(df, roles.features, standardize).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = cut(prepare(df, roles.features, standardize))
     model = make_estimator(algorithm, **params).fit(prepared)
     width = len(roles.features) if len(roles.features) > 1 else None
     scored = apply_model(model, prepared)

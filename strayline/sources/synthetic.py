@@ -22,6 +22,12 @@ def _segment(counts: Sequence[int], row: Column) -> Column:
     return chosen
 
 
+def _normal(key: str, seed: int) -> Column:
+    """A normal number hashed from the key (Box-Muller)."""
+    radius = F.sqrt(-2 * F.log(1 - hash_unit(key, seed=2 * seed)))
+    return radius * F.cos(2 * math.pi * hash_unit(key, seed=2 * seed + 1))
+
+
 def gaussian_clusters(
     spark: SparkSession,
     counts: Sequence[int],
@@ -41,7 +47,7 @@ def gaussian_clusters(
         return F.get(F.array(*[F.lit(float(v[j])) for v in values]), F.col("k"))
 
     columns = [
-        (parameter(means, j) + parameter(stds, j) * F.randn(seed + j)).alias(name)
+        (parameter(means, j) + parameter(stds, j) * _normal("id", seed + j)).alias(name)
         for j, name in enumerate(names)
     ]
     return rows.select(*columns, "id", F.col("k").cast("bigint").alias("k"))
