@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strayline.llm.tokens import slices
+from strayline.llm.tokens import located, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -21,82 +21,116 @@ SENTENCE_CUT, WORD_CUT = 8.0, 96.0
 #: Without a sentence's end for so many tokens, a document may be cut every so often.
 LONGEST_UNCUT = 128
 CHUNK_BYTES = 8 << 20
-WORDS_KEPT = 700_000
+WORDS_KEPT = 3_000_000
 _SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
-#: Blanks to Python but not to the tokenizer, and the start of its special strings.
-_UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_CLOSING = ".,!?;:"
 
 
 class Encoder:
     """Token ids of whole texts, with each different word tokenized once.
 
     The tokenizer drops white space and treats what stands between on its own, so
-    the ids of a text are the ids of its words in a row. Texts with a character
-    for which that might not hold are tokenized whole. At most ``WORDS_KEPT``
-    words are remembered.
+    the ids of a text are the ids of its words in a row. A word of letters and
+    closing marks is cut before the marks, as the tokenizer does. Words are
+    remembered by a 64-bit hash, ``WORDS_KEPT`` of them at most.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.start, self.size, self.stop = (np.zeros(1 << 14, t) for t in (np.int64, np.int64, bool))
-        self.used = 0
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for own in ids for i in own), np.uint32, int(sizes.sum()))
-            n, m = len(self.place), len(part)
-            while len(self.pool) < self.used + len(flat):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            while len(self.start) < n + m:
-                self.start, self.size, self.stop = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.size, self.stop))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.start[n : n + m] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + m] = sizes
-            self.stop[n : n + m] = [w.endswith(_SENTENCE_ENDS) for w in part]
-            self.used += len(flat)
-            self.place.update(zip(part, range(n, n + m)))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.keys, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.start, self.size, self.stop = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+
+    def tokenized(self, parts: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each part has; parts of letters are one run to the tokenizer."""
+        flat, sizes = [], []
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            if letters:
+                ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+                last = np.flatnonzero(self.closes[ids])
+                if len(last) == len(some):
+                    flat.append(ids)
+                    sizes.append(np.diff(last, prepend=-1))
+                    continue
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter((i for own in ids for i in own), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Remember new words, given with their sorted hashes."""
+        stems: dict[str, int] = {}
+        tails: dict[str, int] = {"": 0}
+        whole: list[str] = []
+        stem, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            core = word.rstrip(_CLOSING)
+            low = core.lower()
+            if low.isalpha() and "\u03a3" not in core:
+                stem[i] = stems.setdefault(low, len(stems))
+                tail[i] = tails.setdefault(word[len(core) :], len(tails))
+            else:
+                whole.append(word)
+                stem[i] = -len(whole)
+        ids, sizes = self.tokenized(list(stems), True)
+        odd_ids, odd_sizes = self.tokenized(whole, False)
+        end_ids, end_sizes = self.tokenized(list(tails), False)
+        stem[stem < 0] = len(stems) - 1 - stem[stem < 0]
+        ids, sizes = np.concatenate((ids, odd_ids)), np.concatenate((sizes, odd_sizes))
+        first, end_first = np.cumsum(sizes) - sizes, np.cumsum(end_sizes) - end_sizes
+        # Each word is its stem's ids, then its tail's.
+        lengths = np.stack((sizes[stem], end_sizes[tail]), axis=1).ravel()
+        begins = np.stack((first[stem], end_first[tail] + len(ids)), axis=1).ravel()
+        both = np.concatenate((ids, end_ids))
+        new = both[_ranges(begins, lengths)]
+        size = lengths.reshape(-1, 2).sum(axis=1)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, np.cumsum(size) - size + len(self.pool))
+        self.size = np.insert(self.size, at, size)
+        self.stop = np.insert(self.stop, at, [w.endswith(_SENTENCE_ENDS) for w in words])
+        self.pool = np.concatenate((self.pool, new))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids with ``END_ID`` after each text, ids per text, and where sentences end."""
-        odd = [any(u in t for u in _UNUSUAL) for t in texts]
-        words = [[] if o else t.split() for t, o in zip(texts, odd)]
-        flat = [w for own in words for w in own]
-        if len(self.place) > WORDS_KEPT:
+        found = located(texts)
+        keys, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > WORDS_KEPT:
             self.forget()
-        new = [w for w in dict.fromkeys(flat) if w not in self.place]
-        self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        sizes = self.size[at]
-        last = np.cumsum(sizes)
-        total = int(last[-1]) if len(last) else 0
-        ids = self.pool[np.repeat(self.start[at] - (last - sizes), sizes) + np.arange(total)]
-        per_text = np.fromiter(map(len, words), np.int64, len(words))
-        heads = np.cumsum(per_text) - per_text
-        ends = np.concatenate(([0], last))
-        parts, counts, stops, size = [], np.zeros(len(texts), np.int64), [], 0
-        for i, text in enumerate(texts):
-            if odd[i]:
-                own = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                a, b = heads[i], heads[i] + per_text[i]
-                own = ids[ends[a] : ends[b]]
-                marks = last[a:b][self.stop[at[a:b]]] - ends[a]
-                stops.append(marks[(marks > 0) & (marks < len(own))] + size)
-            parts += [own, [END_ID]]
-            counts[i] = len(own) + 1
-            size += len(own) + 1
-        joined = np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
-        return joined, counts, np.concatenate(stops) if stops else np.zeros(0, np.int64)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            data = found.data.tobytes()
+            spans = zip(found.starts[first[new]].tolist(), found.ends[first[new]].tolist())
+            self.learn(keys[new], [data[a:b].decode("utf-8") for a, b in spans])
+            at = np.searchsorted(self.keys, keys)
+        sizes = self.size[at][back].astype(np.int64)
+        ids = self.pool[_ranges(self.start[at][back], sizes)]
+        word_ends = np.concatenate(([0], np.cumsum(sizes)))
+        last_word = np.cumsum(found.counts)
+        text_ends = word_ends[last_word]
+        counts = np.diff(text_ends, prepend=0) + 1
+        text_of = np.repeat(np.arange(len(counts)), found.counts)
+        stops = word_ends[1:][self.stop[at][back]]
+        of = text_of[self.stop[at][back]]
+        stops = (stops + of)[stops < text_ends[of]]
+        return np.insert(ids, text_ends, END_ID).astype(np.uint32), counts, stops
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 def cuts(counts: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +212,7 @@ def _pieces(tables: Iterator[pa.Table], path: str, capacity: int, first_id: int,
         return rows
 
     for table in tables:
-        own_ids, own_counts, own_stops = encoder.encode([t or "" for t in table.column("text").to_pylist()])
+        own_ids, own_counts, own_stops = encoder.encode(table.column("text").combine_chunks())
         stops = np.concatenate((stops, own_stops + len(ids)))
         ids = np.concatenate((ids, own_ids))
         counts = np.concatenate((counts, own_counts))

@@ -7,6 +7,7 @@ A word is the polynomial of its bytes, read off two running sums, then mixed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -85,11 +86,21 @@ def pieces(data: np.ndarray, bounds: np.ndarray, most: int = PIECE) -> Iterator[
         i = j
 
 
-def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts in a row, and how many words each text has."""
+@dataclass
+class Located:
+    """The words of all texts in a row: hash, first byte and byte after the last."""
+
+    data: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray  # words per text
+
+
+def located(texts: pa.Array, lower: bool = False) -> Located:
     data, bounds = buffers(texts)
     counts = np.zeros(len(bounds) - 1, np.int64)
-    found = []
+    found, begins, stops = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, lo, hi in pieces(data, bounds):
         part = data[lo:hi]
         if not len(part):
@@ -104,9 +115,17 @@ def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
         starts = np.flatnonzero(~blank & before)
         ends = np.flatnonzero(~blank & after) + 1
         found.append(Sums(_LOWER[part] if lower else part).of(starts, ends))
+        begins.append(starts + lo)
+        stops.append(ends + lo)
         cuts = np.searchsorted(starts, np.clip(bounds[i : j + 1] - lo, 0, len(part)))
         counts[i:j] += np.diff(cuts)
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), counts
+    return Located(data, np.concatenate(found), np.concatenate(begins), np.concatenate(stops), counts)
+
+
+def words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts in a row, and how many words each text has."""
+    at = located(texts, lower)
+    return at.hashes, at.counts
 
 
 def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
