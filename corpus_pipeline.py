@@ -10,6 +10,7 @@ from strayline.llm.exact import drop_exact_copies
 from strayline.llm.kneser_ney import keep_good, trusted_ids
 from strayline.llm.mixing import emit_mix
 from strayline.llm.packing import pack_documents
+from strayline.llm.registry import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -55,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
