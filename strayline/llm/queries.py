@@ -75,7 +75,48 @@ def op6_dartminhash(spark, sf_dir):
     return dartminhash.near_classes(documents(spark, sf_dir))
 
 
-@query("op7_secrets")
+def _secrets_sql() -> str:
+    """All matches of each kind with running lengths for places, then owners per secret."""
+    quoted = [(k, p.replace("'", "''"), g, n) for k, (_, p, g, n) in enumerate(secrets.KINDS)]
+    found = " UNION ALL ".join(
+        f"""SELECT r, doc_id, source, {k} AS kind, {n} AS least, regexp_extract_all(t, '{p}', 0) AS m,
+        regexp_extract_all(t, '{p}', {g}) AS s, string_split_regex(t, '{p}') AS g FROM docs"""
+        for k, p, g, n in quoted
+    )
+    names = ", ".join(f"'{k[0]}'" for k in secrets.KINDS)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS source, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+one AS (
+  SELECT r, doc_id, source, kind, least, unnest(m) AS m, unnest(s) AS s, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS nth
+  FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY nth) AS BIGINT) AS e FROM one),
+right_size AS (
+  SELECT r, doc_id, source, kind, s, e - length(m) AS b, e FROM placed
+  WHERE length(s) >= least AND (kind < 3 OR (regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]')))),
+candidates AS (
+  SELECT *, coalesce(max(CASE WHEN kind < 3 THEN e END) OVER w, 0) <= b
+    AND coalesce(min(CASE WHEN kind < 3 THEN b END) OVER (PARTITION BY r ORDER BY b, kind ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), e) >= e AS apart
+  FROM right_size WINDOW w AS (PARTITION BY r ORDER BY b, kind)
+  QUALIFY kind < 3 OR apart),
+owned AS (
+  SELECT s, count(DISTINCT source) <= {secrets.MOST_OWNERS} AND count(DISTINCT (source, doc_id)) <= {secrets.MOST_REPOSITORIES} AS live
+  FROM candidates GROUP BY s),
+spans AS (
+  SELECT r, kind, b, live, [{names}][kind + 1] || ':' || b || ':' || e AS span FROM candidates JOIN owned USING (s) WHERE kind < 3 OR live),
+listed AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY b, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY b, kind) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM docs LEFT JOIN listed USING (r)"""
+
+
+@query("op7_secrets", _secrets_sql())
 def op7_secrets(spark, sf_dir):
     return secrets.scan_documents(documents(spark, sf_dir))
 
