@@ -118,11 +118,12 @@ def ordered_pairs(spark, sf_dir):
 @query(
     "j07_symmetric_graph",
     "WITH " + VECTORS_SQL + """
-SELECT a.vec_id AS src, b.vec_id AS dst, round(exp(-power(list_distance(a.v, b.v), 2) / 0.49), 6) AS weight
-FROM e a, e b WHERE exp(-power(list_distance(a.v, b.v), 2) / 0.49) > 0.01""",
+SELECT a.vec_id AS src, b.vec_id AS dst, round(exp(-power(list_distance(a.v, b.v), 2) / 0.25), 6) AS weight
+FROM e a, e b WHERE exp(-power(list_distance(a.v, b.v), 2) / 0.25) > 0.01""",
 )
 def complete_graph(spark, sf_dir):
-    graph = symmetric_graph(vectors(spark, sf_dir), "vec_id", "point", 0.7, 0.01, standardize=False)
+    """Both directions and the diagonal, with a radius that leaves a vector few partners."""
+    graph = symmetric_graph(vectors(spark, sf_dir), "vec_id", "point", 0.5, 0.01, standardize=False)
     return graph.withColumn("weight", F.round("weight", 6))
 
 
