@@ -22,6 +22,7 @@ SLICE_BYTES = 1 << 20
 #: In a bucket of so few sets each is compared with each; a larger one is compared
 #: with one leader after the other.
 SMALL_BUCKET = 8
+MORE_LEADERS = 8
 #: Shingles of the partners that one task compares with one set at a time.
 COMPARED = 1 << 21
 #: Widths of the first and of the widest bands of ranks.
@@ -181,10 +182,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFra
             table = table.combine_chunks()
             keys, sizes = shingles(table.column("text").combine_chunks())
             ends = np.concatenate(([0], np.cumsum(sizes)))
-            data = [keys[ends[i] : ends[i + 1]].tobytes() for i in range(len(sizes))]
-            yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks(), pa.array(data, pa.binary())], ["set", "keys"])
+            lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks(), lists], ["set", "keys"])
 
-    return rows.mapInArrow(run, "set long, keys binary")
+    return rows.mapInArrow(run, "set long, keys array<long>")
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,10 +204,10 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(members: pa.Table, leader: pa.Table) -> pa.Table:
         if not members.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, ["x", "y", "same"])
-        own = np.frombuffer(leader.column("own_keys")[0].as_py(), np.uint64)
+        own = np.sort(leader.column("own_keys")[0].values.to_numpy())
         ys, same = members.column("y").to_pylist(), []
         for data in members.column("keys"):
-            other = np.frombuffer(data.as_py(), np.uint64)
+            other = np.sort(data.values.to_numpy())
             small, large = (own, other) if len(own) < len(other) else (other, own)
             at = np.searchsorted(large, small)
             same.append(int((large[np.minimum(at, len(large) - 1)] == small).sum()))
@@ -216,30 +217,47 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("x", "part").cogroup(right.groupBy("own", "own_part")).applyInArrow(run, "x long, y long, same long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``set, class``: the smallest set that can be reached, for every node.
+def own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``set, alone``: how many shingles of a set no other set of ``members`` has.
 
-    Every node takes the smallest class of its neighbours, then the class of its
-    class, until nothing changes; chains halve in each round. Links stay in tables.
+    What two sets share is among the rest, which bounds their similarity.
     """
-    both = cut(links.select("x", "y").union(links.select("y", "x")).distinct())
-    classes = cut(nodes.select("set", F.col("set").alias("class")))
-    if both.isEmpty():
-        return classes
+    active = members.select("set").distinct()
+    return (
+        sets.join(active, "set")
+        .select("set", F.explode("keys").alias("key"))
+        .groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("set").alias("set"))
+        .filter("n = 1")
+        .groupBy("set")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``set, class`` after the links: a class becomes the smallest it is linked to.
+
+    Links between sets become links between classes. Then every class takes the
+    smallest name of its neighbours and the name of that, until nothing changes;
+    chains halve in each round. Links and names stay in tables.
+    """
+    ends = links.join(classes.withColumnsRenamed({"set": "x", "class": "a"}), "x").join(
+        classes.withColumnsRenamed({"set": "y", "class": "b"}), "y"
+    )
+    one_way = cut(ends.filter("a != b").select("a", "b").distinct())
+    both = cut(one_way.union(one_way.select("b", "a")).distinct())
+    names = cut(both.select(F.col("a").alias("node"), F.col("a").alias("name")).distinct())
     while True:
-        of = classes.withColumnsRenamed({"set": "y", "class": "near"})
-        least = both.join(of, "y").groupBy("x").agg(F.min("near").alias("near"))
-        step = cut(
-            classes.join(least, F.col("set") == F.col("x"), "left").select(
-                "set", "class", F.least("class", F.coalesce("near", "class")).alias("new")
-            )
-        )
-        # Pointer jumping: the class of the new class.
-        jump = step.select(F.col("set").alias("at"), F.col("new").alias("next"))
-        moved = cut(step.join(jump, F.col("new") == F.col("at")).select("set", F.least("new", "next").alias("new"), "class"))
-        classes = moved.select("set", F.col("new").alias("class"))
-        if moved.filter("new != class").isEmpty():
-            return classes
+        least = both.join(names.withColumnsRenamed({"node": "b", "name": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
+        step = cut(names.join(least, F.col("node") == F.col("a")).select("node", "name", F.least("name", "near").alias("new")))
+        # Pointer jumping: the name of the new name.
+        jump = step.select(F.col("node").alias("at"), F.col("new").alias("next"))
+        moved = cut(step.join(jump, F.col("new") == F.col("at")).select("node", F.least("new", "next").alias("new"), "name"))
+        names = moved.select("node", F.col("new").alias("name"))
+        if moved.filter("new != name").isEmpty():
+            break
+    renamed = classes.join(names, F.col("class") == F.col("node"), "left")
+    return cut(renamed.select("set", F.coalesce("name", "class").alias("class")))
 
 
 def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -250,24 +268,34 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
     in a group of edited copies is the text they were made from. It is compared
     with all others of the bucket that are not in its class and neither too small
     nor too large. Then classes are worked out, the leader leaves the bucket, and
-    buckets that still hold more than one class go on, with twice as many leaders
-    in each round. So every link between two classes is found; a bucket whose sets
-    have become one class is not paired off, and no pair is compared twice.
+    buckets that still hold more than one class go on, with ``MORE_LEADERS`` times as
+    many leaders in each round. So every link between two classes is found; a bucket whose sets
+    have become one class is not paired off, and no pair is compared twice. From the
+    second round on, sets are left out, and pairs not compared, that cannot reach
+    the similarity because too many of their shingles are theirs alone: an edited
+    copy that is near to nothing is not compared with all copies of its origin.
     """
     in_bands = sketched.select(F.col("_row").alias("set"), "n", F.explode("bands").alias("bucket"))
     crowded = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = cut(in_bands.join(crowded, "bucket").select("bucket", "set", "n", "members"))
     known = met.groupBy("set").agg(F.sum("members").alias("met"))
     wanted = cut(known.select("set"))
-    members = met.join(known, "set").select("bucket", "set", "n", F.struct("met", -F.col("set")).alias("rank"))
+    members = met.join(known, "set").select(
+        "bucket", "set", "n", F.col("n").alias("common"), F.struct("met", -F.col("set")).alias("rank")
+    )
     named = sketched.select(F.col("_row").alias("set"), "_id", "_print").join(wanted, "set")
     sets = cut(_sets(docs, named, id_col, text))
     if sets.count() > wanted.count():  # rows that agree in id and text
         sets = cut(sets.dropDuplicates(["set"]))
-    classes = wanted.select("set", F.col("set").alias("class"))
-    links = tested = None
+    classes = cut(wanted.select("set", F.col("set").alias("class")))
+    tested = None
     rounds = 0
     while True:
+        if rounds:
+            alone = own_shingles(members, sets)
+            common = F.col("n") - F.coalesce("alone", F.lit(0))
+            members = members.drop("common").join(alone, "set", "left").withColumn("common", common).drop("alone")
+            members = members.filter(F.col("common") >= SIMILAR * F.col("n"))
         with_class = members.join(classes, "set")
         mixed = (
             with_class.groupBy("bucket")
@@ -275,12 +303,14 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
             .filter("least < most")
             .select("bucket", "members")
         )
-        part = F.when(F.col("members") <= SMALL_BUCKET, F.col("set")).otherwise(F.pmod(F.xxhash64("set"), F.lit(1 << rounds)))
+        part = F.when(F.col("members") <= SMALL_BUCKET, F.col("set")).otherwise(F.pmod(F.xxhash64("set"), F.lit(MORE_LEADERS**rounds)))
         active = cut(with_class.join(mixed, "bucket").withColumn("part", part))
-        leaders = active.groupBy("bucket", "part").agg(F.max(F.struct("rank", "set", "n", "class")).alias("lead"))
-        leaders = cut(leaders.select("bucket", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx")))
+        leaders = active.groupBy("bucket", "part").agg(F.max(F.struct("rank", "set", "n", "class", "common")).alias("lead"))
+        leaders = cut(leaders.select("bucket", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx"), F.col("lead.common").alias("sx")))
+        most = F.least("common", "sx")
         fits = (
-            (F.col("class") != F.col("cx"))
+            (most >= SIMILAR * (F.col("n") + F.col("nx") - most))
+            & (F.col("class") != F.col("cx"))
             & (F.col("rank") < F.col("rx"))
             & (F.least("n", "nx") >= SIMILAR * F.greatest("n", "nx"))
         )
@@ -296,12 +326,11 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         )
         new = found.filter("linked").select("x", "y")
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            classes = components(wanted, links)
+            classes = merged(classes, new)
         tested = found.select("x", "y") if tested is None else tested.union(found.select("x", "y"))
         # Leaders are done with their buckets, and all sets of small ones are leaders.
         done = leaders.select("bucket", F.col("x").alias("set"))
-        members = cut(active.select("bucket", "set", "n", "rank").join(done, ["bucket", "set"], "left_anti"))
+        members = cut(active.select("bucket", "set", "n", "common", "rank").join(done, ["bucket", "set"], "left_anti"))
         if members.isEmpty():
             return classes
         rounds += 1
