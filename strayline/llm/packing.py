@@ -20,7 +20,7 @@ END_ID = 2
 SENTENCE_CUT, WORD_CUT = 8.0, 96.0
 #: Without a sentence's end for so many tokens, a document may be cut every so often.
 LONGEST_UNCUT = 128
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 WORDS_KEPT = 3_000_000
 _SENTENCE_ENDS = (".", "!", "?", "。", "！", "？")
 _CLOSING = ".,!?;:"
@@ -204,7 +204,7 @@ def _pieces(tables: Iterator[pa.Table], path: str, capacity: int, first_id: int,
                     skipped = begun if doc == 0 else 0
                     part = ids[a:b]
                     row = (owners[doc], a - int(heads[doc]) + skipped, b - a, zlib.crc32(part.astype("<u4").tobytes()), int(counts[doc]) + skipped, sequence, a - lo)
-                    rows.append((*row, part.tolist()) if with_ids else row)
+                    rows.append((*row, part) if with_ids else row)
                 if heads[doc] + counts[doc] > hi:
                     break
                 doc += 1
@@ -280,9 +280,13 @@ def pack_documents(
                 yield table
 
         for rows in _pieces(tables(), tokenizer, capacity, first_id, ids):
-            for at in range(0, len(rows), 20_000):
-                columns = list(zip(*rows[at : at + 20_000]))
-                arrays = [pa.array(columns[0], id_type), *[pa.array(c, t) for c, t in zip(columns[1:], arrow)]]
+            for at in range(0, len(rows), 2_000):
+                columns = list(zip(*rows[at : at + 2_000]))
+                arrays = [pa.array(columns[0], id_type), *[pa.array(c, t) for c, t in zip(columns[1:7], arrow)]]
+                if ids:
+                    ends = np.cumsum([0, *columns[2]], dtype=np.int32)
+                    values = pa.array(np.concatenate(columns[7]).view(np.int32))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), values))
                 yield pa.RecordBatch.from_arrays(arrays, ["id", *names])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
