@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strayline.lineage import cut
 from strayline.llm.tokens import mix, slices, sums_by, words
 
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 SHARD_BYTES = 16 << 20
 MOST_SHARDS = 1 << 15
 #: The token that ends a text and is the context of its first word.
