@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayline.lineage import cut
@@ -25,6 +25,8 @@ SMALL_BUCKET = 8
 MORE_LEADERS = 8
 #: Shingles of the partners that one task compares with one set at a time.
 COMPARED = 1 << 21
+#: Bits of the map that bounds what two sets can share, in words of 64.
+BITMAP_WORDS = 16
 #: Widths of the first and of the widest bands of ranks.
 NARROWEST, WIDEST = 2.0**-10, 256.0
 
@@ -170,8 +172,23 @@ def _sketched(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return narrow.mapInArrow(run, f"_row long, _id {kind}, _sha string, _print long, n long, a long, b long, bands array<long>")
 
 
+def bitmaps(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``BITMAP_WORDS`` numbers per set: each shingle sets the bit that its hash names."""
+    place = mix(keys + np.uint64(5)) % np.uint64(64 * BITMAP_WORDS)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    flat = np.zeros(len(sizes) * BITMAP_WORDS, np.uint64)
+    word = owner * BITMAP_WORDS + (place >> np.uint64(6)).astype(np.int64)
+    np.bitwise_or.at(flat, word, np.uint64(1) << (place & np.uint64(63)))
+    return flat.view(np.int64)
+
+
+def _missing(own: str, other: str) -> Column:
+    """Bits of one map that the other lacks: so many shingles at least are not shared."""
+    return F.expr(" + ".join(f"bit_count({own}[{i}] & ~{other}[{i}])" for i in range(BITMAP_WORDS)))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``set, keys``: the shingles of the rows that are wanted, by id and print of the text."""
+    """``set, keys, bits``: the shingles of the rows that are wanted, by id and print of the text."""
     whole = whole_text(text)
     rows = docs.select(F.col(id_col).alias("_own"), F.xxhash64(whole).alias("_mine"), whole.alias("text"))
     same = rows["_own"].eqNullSafe(wanted["_id"]) & (rows["_mine"] == wanted["_print"])
@@ -183,9 +200,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFra
             keys, sizes = shingles(table.column("text").combine_chunks())
             ends = np.concatenate(([0], np.cumsum(sizes)))
             lists = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks(), lists], ["set", "keys"])
+            starts = np.arange(0, len(sizes) * BITMAP_WORDS + 1, BITMAP_WORDS, dtype=np.int32)
+            maps = pa.ListArray.from_arrays(starts, pa.array(bitmaps(keys, sizes)))
+            yield pa.RecordBatch.from_arrays([table.column("set").combine_chunks(), lists, maps], ["set", "keys", "bits"])
 
-    return rows.mapInArrow(run, "set long, keys array<long>")
+    return rows.mapInArrow(run, "set long, keys array<long>, bits array<long>")
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -197,8 +216,8 @@ def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sized = pairs.groupBy("x").agg(F.greatest(F.ceil(F.sum("ny") / COMPARED), F.lit(1)).cast("int").alias("parts"))
     leaders = sized.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left = pairs.join(sized, "x").select("x", "y", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part"))
-    left = left.join(sets.withColumnsRenamed({"set": "y"}), "y").select("x", "part", "y", "keys")
-    right = leaders.join(sets.withColumnsRenamed({"set": "x"}), "x")
+    left = left.join(sets.select(F.col("set").alias("y"), "keys"), "y").select("x", "part", "y", "keys")
+    right = leaders.join(sets.select(F.col("set").alias("x"), "keys"), "x")
     right = right.select(F.col("x").alias("own"), F.col("part").alias("own_part"), F.col("keys").alias("own_keys"))
 
     def run(members: pa.Table, leader: pa.Table) -> pa.Table:
@@ -273,23 +292,26 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
     have become one class is not paired off, and no pair is compared twice. From the
     second round on, sets are left out, and pairs not compared, that cannot reach
     the similarity because too many of their shingles are theirs alone: an edited
-    copy that is near to nothing is not compared with all copies of its origin.
+    copy that is near to nothing is not compared with all copies of its origin. Nor are
+    pairs compared whose bitmaps differ in so many bits that they cannot be similar
+    enough, such as copies of two origins that share a part.
     """
     in_bands = sketched.select(F.col("_row").alias("set"), "n", F.explode("bands").alias("bucket"))
     crowded = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     met = cut(in_bands.join(crowded, "bucket").select("bucket", "set", "n", "members"))
     known = met.groupBy("set").agg(F.sum("members").alias("met"))
     wanted = cut(known.select("set"))
-    members = met.join(known, "set").select(
-        "bucket", "set", "n", F.col("n").alias("common"), F.struct("met", -F.col("set")).alias("rank")
-    )
     named = sketched.select(F.col("_row").alias("set"), "_id", "_print").join(wanted, "set")
     sets = cut(_sets(docs, named, id_col, text))
     if sets.count() > wanted.count():  # rows that agree in id and text
         sets = cut(sets.dropDuplicates(["set"]))
+    members = met.join(known.join(sets.select("set", "bits"), "set"), "set").select(
+        "bucket", "set", "n", F.col("n").alias("common"), F.struct("met", -F.col("set")).alias("rank"), "bits"
+    )
     classes = cut(wanted.select("set", F.col("set").alias("class")))
     tested = None
     rounds = 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         if rounds:
             alone = own_shingles(members, sets)
@@ -305,16 +327,21 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         )
         part = F.when(F.col("members") <= SMALL_BUCKET, F.col("set")).otherwise(F.pmod(F.xxhash64("set"), F.lit(MORE_LEADERS**rounds)))
         active = cut(with_class.join(mixed, "bucket").withColumn("part", part))
-        leaders = active.groupBy("bucket", "part").agg(F.max(F.struct("rank", "set", "n", "class", "common")).alias("lead"))
-        leaders = cut(leaders.select("bucket", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx"), F.col("lead.common").alias("sx")))
+        leaders = active.groupBy("bucket", "part").agg(F.max(F.struct("rank", "set", "n", "class", "common", "bits")).alias("lead"))
+        leaders = cut(leaders.select("bucket", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx"), F.col("lead.common").alias("sx"), F.col("lead.bits").alias("bx")))
         most = F.least("common", "sx")
+        # What two sets must share, a hair less so that rounding rejects none.
+        enough = (F.col("n") + F.col("nx")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
         fits = (
-            (most >= SIMILAR * (F.col("n") + F.col("nx") - most))
-            & (F.col("class") != F.col("cx"))
+            (F.col("class") != F.col("cx"))
             & (F.col("rank") < F.col("rx"))
             & (F.least("n", "nx") >= SIMILAR * F.greatest("n", "nx"))
+            & (most >= enough)
+            & (F.col("n") - _missing("bits", "bx") >= enough)
+            & (F.col("nx") - _missing("bx", "bits") >= enough)
         )
-        pairs = active.join(leaders, "bucket").filter(fits).select("x", F.col("set").alias("y"), "nx", F.col("n").alias("ny")).distinct()
+        # Few bytes but much work: a fixed number of partitions keeps it spread.
+        pairs = active.repartition(parts, "bucket").join(leaders, "bucket").filter(fits).select("x", F.col("set").alias("y"), "nx", F.col("n").alias("ny")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
@@ -330,7 +357,7 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         tested = found.select("x", "y") if tested is None else tested.union(found.select("x", "y"))
         # Leaders are done with their buckets, and all sets of small ones are leaders.
         done = leaders.select("bucket", F.col("x").alias("set"))
-        members = cut(active.select("bucket", "set", "n", "common", "rank").join(done, ["bucket", "set"], "left_anti"))
+        members = cut(active.select("bucket", "set", "n", "common", "rank", "bits").join(done, ["bucket", "set"], "left_anti"))
         if members.isEmpty():
             return classes
         rounds += 1

@@ -103,3 +103,36 @@ def test_signatures_estimate_weighted_similarity():
 def test_shingles_of_short_texts():
     keys, sizes = dm.shingles(pa.array([None, "", " a ", "a b c d", "a b c d e", "a b c d e f", "x x x x x x x"], pa.string()))
     assert sizes.tolist() == [0, 0, 1, 1, 1, 2, 1] and len(keys) == 6
+
+
+def test_bitmaps_bound_what_sets_share(spark):
+    """Bits that the other map lacks are never more than the shingles the other set lacks."""
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 400, n).astype(np.uint64) for n in (1, 5, 60, 300, 390)]
+    sets = [np.unique(s) for s in sets] + [np.arange(5000, dtype=np.uint64), np.zeros(0, np.uint64)]
+    maps = dm.bitmaps(np.concatenate(sets), np.array([len(s) for s in sets])).reshape(len(sets), -1)
+    rows = [(i, j, maps[i].tolist(), maps[j].tolist()) for i in range(len(sets)) for j in range(len(sets))]
+    df = spark.createDataFrame(rows, "i int, j int, a array<long>, b array<long>")
+    lost = {(r.i, r.j): r.lost for r in df.select("i", "j", dm._missing("a", "b").alias("lost")).collect()}
+    for (i, j), n in lost.items():
+        assert n <= len(np.setdiff1d(sets[i], sets[j]))
+    assert lost[2, 6] > 50 and lost[0, 0] == 0
+
+
+def test_copies_of_origins_that_share_a_part(spark):
+    """Two groups whose origins have three quarters in common, and a chain between others."""
+    random.seed(8)
+    draw = lambda n: [f"w{random.randrange(10**6)}" for _ in range(n)]
+    part = draw(150)
+    texts = []
+    for g in range(2):
+        origin = part + draw(40)
+        for i in range(30):
+            copy = list(origin)
+            copy[random.randrange(5, 180)] = f"g{g}i{i}"
+            texts.append(" ".join(copy))
+    chain = draw(120)
+    for i in range(8):
+        chain = chain[8:] + draw(8)
+        texts.append(" ".join(chain))
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
