@@ -288,7 +288,8 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
     with all others of the bucket that are not in its class and neither too small
     nor too large. Then classes are worked out, the leader leaves the bucket, and
     buckets that still hold more than one class go on, with ``MORE_LEADERS`` times as
-    many leaders in each round. So every link between two classes is found; a bucket whose sets
+    many leaders in each round. Each set of the bucket meets each of them, whichever
+    ranks higher. So every link between two classes is found; a bucket whose sets
     have become one class is not paired off, and no pair is compared twice. From the
     second round on, sets are left out, and pairs not compared, that cannot reach
     the similarity because too many of their shingles are theirs alone: an edited
@@ -329,19 +330,26 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         active = cut(with_class.join(mixed, "bucket").withColumn("part", part))
         leaders = active.groupBy("bucket", "part").agg(F.max(F.struct("rank", "set", "n", "class", "common", "bits")).alias("lead"))
         leaders = cut(leaders.select("bucket", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx"), F.col("lead.common").alias("sx"), F.col("lead.bits").alias("bx")))
+        done = leaders.select("bucket", F.col("x").alias("set"))
+        # Every set meets every leader of its bucket; two leaders meet once.
+        active = cut(active.join(done.withColumn("leads", F.lit(True)), ["bucket", "set"], "left"))
         most = F.least("common", "sx")
         # What two sets must share, a hair less so that rounding rejects none.
         enough = (F.col("n") + F.col("nx")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
         fits = (
             (F.col("class") != F.col("cx"))
-            & (F.col("rank") < F.col("rx"))
+            & (F.col("leads").isNull() | (F.col("rank") < F.col("rx")))
             & (F.least("n", "nx") >= SIMILAR * F.greatest("n", "nx"))
             & (most >= enough)
             & (F.col("n") - _missing("bits", "bx") >= enough)
             & (F.col("nx") - _missing("bx", "bits") >= enough)
         )
         # Few bytes but much work: a fixed number of partitions keeps it spread.
-        pairs = active.repartition(parts, "bucket").join(leaders, "bucket").filter(fits).select("x", F.col("set").alias("y"), "nx", F.col("n").alias("ny")).distinct()
+        # The higher rank is x in every bucket, so a pair has one name.
+        above = F.col("rank") < F.col("rx")
+        ends = {"x": ("x", "set"), "y": ("set", "x"), "nx": ("nx", "n"), "ny": ("n", "nx")}
+        named_ends = [F.when(above, F.col(a)).otherwise(F.col(b)).alias(e) for e, (a, b) in ends.items()]
+        pairs = active.repartition(parts, "bucket").join(leaders, "bucket").filter(fits).select(*named_ends).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
@@ -356,8 +364,7 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
             classes = merged(classes, new)
         tested = found.select("x", "y") if tested is None else tested.union(found.select("x", "y"))
         # Leaders are done with their buckets, and all sets of small ones are leaders.
-        done = leaders.select("bucket", F.col("x").alias("set"))
-        members = cut(active.select("bucket", "set", "n", "common", "rank", "bits").join(done, ["bucket", "set"], "left_anti"))
+        members = cut(active.filter("leads IS NULL").select("bucket", "set", "n", "common", "rank", "bits"))
         if members.isEmpty():
             return classes
         rounds += 1

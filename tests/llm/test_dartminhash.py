@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from strayline.llm import dartminhash as dm
 
@@ -136,3 +137,26 @@ def test_copies_of_origins_that_share_a_part(spark):
         chain = chain[8:] + draw(8)
         texts.append(" ".join(chain))
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+
+def test_every_pair_of_a_bucket_is_met(spark):
+    """A crowd in one single bucket, far apart but for a few near pairs."""
+    random.seed(11)
+    draw = lambda n: [f"w{random.randrange(10**9)}" for _ in range(n)]
+    core, texts = draw(174), []
+    for i in range(240):
+        own = draw(26)
+        texts.append(" ".join(core + own))
+        if i < 80:
+            texts.append(" ".join(core + own[:-6] + draw(6)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sketched = dm.cut(dm._sketched(df, "doc_id", "text").withColumn("bands", F.array(F.lit(7).cast("long"))))
+    classes = dm.classes_of(df, sketched, "doc_id", "text").join(sketched, F.col("set") == F.col("_row")).collect()
+    want, got = classes_by_hand(sets_of(texts)), defaultdict(set)
+    for r in classes:
+        got[r["class"]].add(r._id)
+    by_hand = defaultdict(set)
+    for i, c in enumerate(want):
+        by_hand[c].add(i)
+    assert len(by_hand) == 240
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, by_hand.values()))
