@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strayline.llm import dartminhash, exact, interpolation, kneser_ney, language, mixing, packing, quality_rules, secrets, sharding
+from strayline.llm import dartminhash, exact, interpolation, kneser_ney, language, mixing, packing, quality_rules, secrets, sharding, toxicity
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
@@ -137,4 +137,10 @@ def op10_kneser_ney(spark, sf_dir):
     return kneser_ney.judged(documents(spark, sf_dir), kneser_ney.trusted_ids(labels))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
