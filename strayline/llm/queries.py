@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from strayline.llm import dartminhash, exact, interpolation, kneser_ney, language, mixing, packing, quality_rules, secrets, sharding, toxicity
+from strayline.llm import alignment, dartminhash, exact, interpolation, kneser_ney, language, lexical, mixing, packing, quality_rules, secrets, sharding, toxicity
 from strayline.llm.registry import LLM_ORACLES, LLM_QUERIES, documents, query
 
 #: The tokenizer's file; its place is a parameter of the operator.
 TOKENIZER = "word_bpe_49k.json"
+#: The vocabularies that are aligned.
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 @query("op1_packing")
@@ -143,4 +145,39 @@ def op11_toxicity(spark, sf_dir):
     return toxicity.scored(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@query("op12_alignment")
+def op12_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ALIGNED]
+    return alignment.align(documents(spark, sf_dir), *paths)
+
+
+@query(
+    "op13_lexical",
+    r"""
+WITH doc_terms AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ -/:-@[-`{-]+') AS terms FROM documents),
+item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ -/:-@[-`{-]+')) AS term FROM benchmark),
+totals AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM doc_terms WHERE len(terms) > 0),
+held AS (
+  SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM doc_terms) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals),
+scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM item_terms JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item_id, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""",
+)
+def op13_lexical(spark, sf_dir):
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]
