@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strayline.lineage import cut
 from strayline.llm.language import held_out
 from strayline.llm.rows import whole_text
 from strayline.llm.terms import folded, term_pieces
@@ -17,7 +18,7 @@ from strayline.llm.tokens import mix, slices
 
 #: The classifiers are trained on about so many confirmed toxic rows and unlabelled
 #: rows at most, taken by a hash of id and text, and on about so many bytes of each.
-MOST_TOXIC, MOST_UNLABELLED, MOST_BYTES = 4_000, 16_000, 64 << 20
+MOST_TOXIC, MOST_UNLABELLED, MOST_BYTES = 2_000, 8_000, 32 << 20
 #: Each classifier has its own part of the unlabelled sample; their mean decides.
 CLASSIFIERS = 4
 FOLDS, HELD_FOLD = 5, 0
@@ -99,17 +100,18 @@ def slope(z: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
     return negative - of_toxic * (1.0 - score)
 
 
-def fit(given: Features, toxic: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def fit(parts: list[Features], toxic: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier, most weights being 0.
 
-    Adaptive gradient steps on the estimated risk, each followed by a pull of every
+    ``parts`` are the features of the texts that ``toxic`` marks, in order. Adaptive gradient steps on the estimated risk, each followed by a pull of every
     weight to 0, so that features that tell little have none.
     """
     weights, squares = np.zeros(FEATURES), np.full(FEATURES, 1e-8)
     bias, bias_squares = 0.0, 1e-8
+    cuts = np.cumsum([p.texts for p in parts])[:-1]
     for _ in range(ROUNDS):
-        per_text = slope(given.times(weights) + bias, toxic, prior)
-        gradient = given.sums(per_text)
+        per_text = slope(np.concatenate([p.times(weights) for p in parts]) + bias, toxic, prior)
+        gradient = sum(p.sums(own) for p, own in zip(parts, np.split(per_text, cuts)))
         squares += gradient**2
         rate = STEP / np.sqrt(squares)
         weights -= rate * gradient
@@ -134,13 +136,17 @@ class Model:
         return _logistic(features(texts).times(self.weights) + self.bias)
 
 
+def _drawn(share: float, seed: int, *columns: str) -> Column:
+    """Whether a row's hash is in the given share."""
+    hashed = F.xxhash64(F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.shiftrightunsigned(hashed, 11) < F.lit(int(min(share, 1.0) * (1 << 53)))
+
+
 def _sampled(rows: DataFrame, most: int, seed: int) -> DataFrame:
-    """About ``most`` of ``_id, text`` at most, those whose hash is low; equal rows are one."""
+    """About ``most`` of ``_id, text`` and ``MOST_BYTES`` at most, by hash; equal rows are one."""
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    share = min(1.0, most / max(size["n"], 1), MOST_BYTES / max(size["bytes"] or 1, 1))
-    drawn = F.xxhash64(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")), "text")
-    low = F.shiftrightunsigned(drawn, 11) < F.lit(int(share * (1 << 53)))
-    return rows.filter(low).dropDuplicates(["_id", "text"])
+    share = min(most / max(size["n"], 1), MOST_BYTES / max(size["bytes"] or 1, 1))
+    return rows.filter(_drawn(share, seed, "_id", "text")).dropDuplicates(["_id", "text"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
@@ -153,9 +159,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """
     known = labels.filter(~held_out(id_col, FOLDS, HELD_FOLD) & F.col(toxic).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("_l")).agg((F.max(toxic) == 1).alias("toxic"))
-    prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("toxic")).first()
+    prior = size["toxic"] / max(size["n"], 1)
     rows = docs.filter(~held_out(id_col, FOLDS, HELD_FOLD)).select(F.col(id_col).alias("_id"), whole_text(text).alias("text"))
-    confirmed = rows.join(known.filter("toxic"), F.col("_id") == F.col("_l"), "left_semi")
+    some = cut(known.filter(F.col("toxic") & _drawn(MOST_TOXIC / max(size["toxic"], 1), 3, "_l")).select("_l"))
+    # About MOST_TOXIC ids; an id may have several rows, so their rows are drawn from again.
+    confirmed = cut(rows.join(F.broadcast(some), F.col("_id") == F.col("_l"), "left_semi"))
     members = F.array(*[F.lit(k) for k in range(CLASSIFIERS)])
     own = F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(CLASSIFIERS)).cast("int")
     sample = (
@@ -168,7 +177,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         marks = np.asarray(table.column("toxic"))
         if marks.all() or not marks.any():
             return pa.table([pa.array([], pa.binary()), pa.array([], pa.float64())], ["weights", "bias"])
-        weights, bias = fit(features(table.column("text").combine_chunks()), marks, prior)
+        parts = [features(part.column("text").combine_chunks()) for part in slices(table.to_batches(), SLICE_BYTES)]
+        weights, bias = fit(parts, marks, prior)
         return pa.table([pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
     # CLASSIFIERS rows of FEATURES numbers.
