@@ -158,10 +158,10 @@ def op12_alignment(spark, sf_dir):
     r"""
 WITH doc_terms AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ -/:-@[-`{-]+') AS terms FROM documents),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
 item_terms AS (
   SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ -/:-@[-`{-]+')) AS term FROM benchmark),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
 totals AS (
   SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM doc_terms WHERE len(terms) > 0),
 held AS (
