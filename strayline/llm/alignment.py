@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from strayline.llm.interpolation import pack_numbers, unpack_numbers
 from strayline.llm.tokens import slices, sums_by
 
 #: Texts are aligned in batches of about so many bytes and so many rows at most.
-SLICE_BYTES, SLICE_ROWS = 4 << 20, 8192
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 8192
 #: Links that are spelled out at a time.
 LINKS = 1 << 22
 
@@ -33,8 +35,17 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: How a byte-level vocabulary of this kind parts a text before it merges. Fixed value.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel:
-    """A byte-level vocabulary file of ``tokenizers``; the strings of special tokens are plain text."""
+    """A byte-level vocabulary file of ``tokenizers``; the strings of special tokens are plain text.
+
+    Where the file says no more than its vocabulary does, that is where merges come in the
+    order of their ids and nothing but the usual parting of texts is asked for, ``tiktoken``
+    gives the same ids in a fraction of the time.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,8 +56,30 @@ class ByteLevel:
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             self.bytes[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.plain = self._plain(json.loads(self.tokenizer.to_str()))
+
+    def _plain(self, file: dict):
+        """The same vocabulary as a ``tiktoken`` encoding, if that is all there is to it."""
+        from tiktoken import Encoding
+
+        model, parted = file["model"], file["pre_tokenizer"] or {}
+        special = {t["id"] for t in file["added_tokens"]}
+        ids = {self.bytes[i]: i for i in model["vocab"].values() if i not in special}
+        usual = (
+            file["normalizer"] is None
+            and all(t["special"] for t in file["added_tokens"])
+            and (parted.get("type"), parted.get("add_prefix_space"), parted.get("use_regex")) == ("ByteLevel", False, True)
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        )
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", ())]
+        merged = [model["vocab"].get("".join(m)) for m in pairs]
+        in_order = usual and None not in merged and merged == sorted(set(merged)) and len(ids) == 256 + len(merged)
+        return Encoding("byte level", pat_str=PARTS, mergeable_ranks=ids, special_tokens={}) if in_order else None
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.plain is not None:
+            return [self.plain.encode_ordinary(" " + t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
@@ -103,7 +136,7 @@ class Side:
     @classmethod
     def of(cls, encoded: list[list[int]], sizes: np.ndarray) -> Side:
         counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.int64, int(counts.sum()))
+        ids = np.fromiter(chain.from_iterable(encoded), np.int64, int(counts.sum()))
         return cls(ids, counts, np.cumsum(sizes[ids]))
 
 
