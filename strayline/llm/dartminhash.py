@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strayline.lineage import cut
 from strayline.llm.rows import keep_rows, whole_text
 from strayline.llm.tokens import mix, slices, words
+from strayline.operators.skew import salted_join
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -23,6 +24,9 @@ SLICE_BYTES = 1 << 20
 #: with one leader after the other.
 SMALL_BUCKET = 8
 MORE_LEADERS = 8
+#: Sets of a bucket that meet its leaders in one task; a class of so many rows is hot.
+SPLIT_BUCKET = 256
+HOT_CLASS = 100_000
 #: Shingles of the partners that one task compares with one set at a time.
 COMPARED = 1 << 21
 #: Bits of the map that bounds what two sets can share, in words of 64.
@@ -306,9 +310,12 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
     sets = cut(_sets(docs, named, id_col, text))
     if sets.count() > wanted.count():  # rows that agree in id and text
         sets = cut(sets.dropDuplicates(["set"]))
-    members = met.join(known.join(sets.select("set", "bits"), "set"), "set").select(
-        "bucket", "set", "n", F.col("n").alias("common"), F.struct("met", -F.col("set")).alias("rank"), "bits"
+    # One row per set; a bucket's rows name its sets and no more.
+    about = cut(
+        met.select("set", "n").distinct().join(known, "set").join(sets.select("set", "bits"), "set")
+        .select("set", "n", F.col("n").alias("common"), F.struct("met", -F.col("set")).alias("rank"), "bits")
     )
+    members = met.select("bucket", "set")
     classes = cut(wanted.select("set", F.col("set").alias("class")))
     tested = None
     rounds = 0
@@ -317,20 +324,23 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         if rounds:
             alone = own_shingles(members, sets)
             common = F.col("n") - F.coalesce("alone", F.lit(0))
-            members = members.drop("common").join(alone, "set", "left").withColumn("common", common).drop("alone")
-            members = members.filter(F.col("common") >= SIMILAR * F.col("n"))
-        with_class = members.join(classes, "set")
+            about = about.join(alone, "set", "left").withColumn("common", common).drop("alone")
+            about = cut(about.filter(F.col("common") >= SIMILAR * F.col("n")))
+        with_class = members.join(about.join(classes, "set"), "set")
         mixed = (
             with_class.groupBy("bucket")
             .agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count(F.lit(1)).alias("members"))
             .filter("least < most")
-            .select("bucket", "members")
+            .select("bucket", "members", F.ceil(F.col("members") / SPLIT_BUCKET).cast("int").alias("splits"))
         )
         part = F.when(F.col("members") <= SMALL_BUCKET, F.col("set")).otherwise(F.pmod(F.xxhash64("set"), F.lit(MORE_LEADERS**rounds)))
-        active = cut(with_class.join(mixed, "bucket").withColumn("part", part))
-        leaders = active.groupBy("bucket", "part").agg(F.max(F.struct("rank", "set", "n", "class", "common", "bits")).alias("lead"))
-        leaders = cut(leaders.select("bucket", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx"), F.col("lead.common").alias("sx"), F.col("lead.bits").alias("bx")))
+        # A crowded bucket is split by set, so that no task gets all of it.
+        split = F.pmod(F.xxhash64(F.lit(1), "set"), "splits").cast("int")
+        active = cut(with_class.join(mixed, "bucket").withColumn("part", part).withColumn("split", split))
+        leaders = active.groupBy("bucket", "part", "splits").agg(F.max(F.struct("rank", "set", "n", "class", "common", "bits")).alias("lead"))
+        leaders = cut(leaders.select("bucket", "splits", F.col("lead.rank").alias("rx"), F.col("lead.set").alias("x"), F.col("lead.n").alias("nx"), F.col("lead.class").alias("cx"), F.col("lead.common").alias("sx"), F.col("lead.bits").alias("bx")))
         done = leaders.select("bucket", F.col("x").alias("set"))
+        everywhere = leaders.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
         # Every set meets every leader of its bucket; two leaders meet once.
         active = cut(active.join(done.withColumn("leads", F.lit(True)), ["bucket", "set"], "left"))
         most = F.least("common", "sx")
@@ -349,7 +359,7 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         above = F.col("rank") < F.col("rx")
         ends = {"x": ("x", "set"), "y": ("set", "x"), "nx": ("nx", "n"), "ny": ("n", "nx")}
         named_ends = [F.when(above, F.col(a)).otherwise(F.col(b)).alias(e) for e, (a, b) in ends.items()]
-        pairs = active.repartition(parts, "bucket").join(leaders, "bucket").filter(fits).select(*named_ends).distinct()
+        pairs = active.repartition(parts, "bucket", "split").join(everywhere, ["bucket", "split"]).filter(fits).select(*named_ends).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
@@ -364,7 +374,7 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
             classes = merged(classes, new)
         tested = found.select("x", "y") if tested is None else tested.union(found.select("x", "y"))
         # Leaders are done with their buckets, and all sets of small ones are leaders.
-        members = cut(active.filter("leads IS NULL").select("bucket", "set", "n", "common", "rank", "bits"))
+        members = cut(active.filter("leads IS NULL").select("bucket", "set"))
         if members.isEmpty():
             return classes
         rounds += 1
@@ -399,8 +409,9 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     alone = sketched.filter("n = 0").select("_row", "_id", "_sha", "n", F.col("_row").alias("class"))
     named = cut(named.union(alone))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    groups = named.groupBy("class").agg(first.alias("_best"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(groups, "class").select(
+    groups = cut(named.groupBy("class").agg(first.alias("_best"), F.count(F.lit(1)).alias("class_size")))
+    hot = groups.filter(F.col("class_size") > HOT_CLASS).select("class", F.ceil(F.col("class_size") / HOT_CLASS).cast("int").alias("_parts"))
+    return salted_join(named, groups, ["class"], ["_row"], hot=None if hot.isEmpty() else hot, counted=True).select(
         "_id", "_sha", "n", F.col("_best.id").alias("class_id"), "class_size", (F.col("_row") == F.col("_best.row")).alias("kept")
     )
 
