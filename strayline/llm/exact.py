@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from strayline.lineage import cut
 from strayline.llm.rows import keep_rows, whole_text
 from strayline.operators.row_ids import add_dense_id
+from strayline.operators.skew import salted_join
 
-BLOCK_BYTES = 8192
+BLOCK_CHARACTERS = 4096
+#: A group of equal texts with more rows is joined in parts of about so many.
+HOT_GROUP = 100_000
 
 
 def _blocks(text: str) -> Column:
-    """The text's UTF-8 bytes in blocks of ``BLOCK_BYTES``; the empty text has one, empty."""
-    data = F.encode(whole_text(text), "UTF-8")
-    last = F.greatest(F.ceil(F.octet_length(data) / F.lit(BLOCK_BYTES)).cast("int"), F.lit(1)) - 1
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.substring(data, i * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES))
-    )
+    """The text in blocks of ``BLOCK_CHARACTERS``; the empty text has one, empty.
+
+    One sweep cuts them all: a text is not read again for each of its blocks, so the
+    time is in proportion to its length.
+    """
+    cut_up = F.regexp_extract_all(whole_text(text), F.lit(f"(?s).{{1,{BLOCK_CHARACTERS}}}"), F.lit(0))
+    return F.when(whole_text(text) == "", F.array(F.lit(""))).otherwise(cut_up)
 
 
 def _prints(block: Column, seed: int) -> list[Column]:
@@ -92,13 +96,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Of equal texts the row with the largest id stays; NULL counts as the empty
     text, a NULL id as the smallest. Of rows that agree in both, one stays. Ids
-    and counts of a group are combined before the shuffle, and no task gets a
-    whole group. Other columns are ignored.
+    and counts of a group are combined before the shuffle, and the rows of a very
+    large group are joined with them in parts. An empty table gives an empty one, a
+    text of any length is read once per pass, and other columns are ignored whatever
+    their names.
     """
     named = cut(identities(docs, id_col, text))
     best = F.max(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")))
-    groups = named.groupBy("_level", "_name").agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    return named.join(groups, ["_level", "_name"]).select(
+    keys = ["_level", "_name"]
+    groups = cut(named.groupBy(*keys).agg(best.alias("_best"), F.count(F.lit(1)).alias("group_size")))
+    hot = groups.filter(F.col("group_size") > HOT_GROUP).select(*keys, F.ceil(F.col("group_size") / HOT_GROUP).cast("int").alias("_parts"))
+    return salted_join(named, groups, keys, ["_row"], hot=None if hot.isEmpty() else hot, counted=True).select(
         id_col,
         F.col("_best.id").alias("keep_id"),
         "group_size",
@@ -108,7 +116,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows are judged as ``exact_groups`` does: NULL texts are empty ones, of rows that
+    agree in id and text one stays, an empty table stays empty, and a column may have
+    any name.
+    """
     groups = cut(exact_groups(docs, id_col, text))
     kept = groups.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
     again = groups.groupBy(id_col, "text_sha256").count().filter("count > 1")

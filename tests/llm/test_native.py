@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +129,18 @@ def test_long_texts_that_differ_late(spark):
     assert [rows[i].keep_id for i in range(7)] == [4, 1, 2, 3, 4, 5, 6]
 
 
+def test_time_is_in_proportion_to_length(spark):
+    """Texts of 32 MB, the last of which differ in their last character."""
+    long = F.repeat(F.lit("añ b"), 32 << 18)
+    df = spark.range(4).select(F.col("id").alias("doc_id"), F.concat(long, F.when(F.col("id") > 1, F.col("id").cast("string")).otherwise("")).alias("text"))
+    exact.exact_groups(df.limit(0)).collect()
+    start = time.monotonic()
+    rows = {r.doc_id: r.keep_id for r in exact.exact_groups(df).collect()}
+    took = time.monotonic() - start
+    print("4 texts of 40 MB of UTF-8:", took, "s")
+    assert rows == {0: 1, 1: 1, 2: 2, 3: 3} and took < 60
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
