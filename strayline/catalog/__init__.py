@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("sources", "columns", "outliers", "graphs", "sampling", "models")
+MODULES = ("sources", "columns", "outliers", "graphs", "sampling", "models", "fits")
 
 
 def load() -> None:

@@ -168,7 +168,7 @@ def _labelled(spark, sf_dir):
 @query("m13_cluster_then_classify", "SELECT p_partkey, TRUE AS is_scored, TRUE AS is_named FROM part")
 def generative(spark, sf_dir):
     """Every part gets a predicted cluster and that cluster's most frequent known label."""
-    scored = cluster_then_classify(_labelled(spark, sf_dir), PART_FEATURES, folds=2)
+    scored = cluster_then_classify(_labelled(spark, sf_dir), PART_FEATURES, "used_label", folds=2)
     names = majority_label(scored, "used_label")
     return scored.join(names, "prediction", "left").select(
         "p_partkey",

@@ -14,7 +14,8 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayline.functions.vectors import element_sql, name_sql, number_sql, width_of
+from strayline.functions.vectors import element_sql, name_sql, number_sql
+from strayline.operators.moments import first_width, vector_moments
 from strayline.roles import as_names
 
 # The casts a table step may make.
@@ -28,8 +29,8 @@ ALLOWED_CASTS = {
 # The types a column may be cast to.
 CAST_TARGETS = ("string", "int", "float", "double", "boolean")
 
-# Up to this many features the statistics are one wide aggregate; beyond, one
-# aggregate over exploded positions, whose code stays small. The rows are the same.
+# Up to this many features the statistics are one wide aggregate; beyond, tasks add
+# them up in Arrow batches, as the code of so many would be too long. The rows are the same.
 WIDE_AGGREGATE_LIMIT = 16
 # The same for plain means, which need less code.
 WIDE_MEANS_LIMIT = 128
@@ -94,10 +95,20 @@ def feature_sql(df: DataFrame, features: str | Iterable[str]) -> list[str]:
     """SQL text of each feature as a double, from names or from one array column."""
     names = as_names(features)
     if len(names) == 1 and dict(df.dtypes)[names[0]].startswith("array"):
-        return element_sql(names[0], width_of(df, names[0]))
+        return checked_elements_sql(df, names[0])
     return [f"cast({name_sql(c)} AS double)" for c in names]
 
 
+def checked_elements_sql(df: DataFrame, vector: str) -> list[str]:
+    """SQL text of each element; a vector of another length than the first is an error where it is read."""
+    width = first_width(df, vector)
+    if width is None:
+        raise ValueError(f"column {vector!r} holds no vector")
+    first, *others = element_sql(vector, width)
+    wrong = f"raise_error(concat('vectors of {width} and of ', size({name_sql(vector)}), ' dimensions'))"
+    return [f"CASE WHEN size({name_sql(vector)}) <> {width} THEN {wrong} ELSE {first} END", *others]
+
+
 def _array(terms: Iterable[str]) -> Column:
     return F.expr(f"array({', '.join(terms)})")
 
@@ -116,6 +127,7 @@ class Scaler:
     stds: tuple[float, ...]
     lows: tuple[float, ...]
     highs: tuple[float, ...]
+    rows: int = 0
 
     def _scaled_sql(self, standardize: bool) -> list[str]:
         if not standardize:
@@ -147,19 +159,25 @@ def fit_scaler(df: DataFrame, features: str | Iterable[str]) -> Scaler:
     terms = feature_sql(df, features)
     statistics = ("avg", "stddev_samp", "min", "max")
     if len(terms) <= WIDE_AGGREGATE_LIMIT:
-        row = df.agg(*[F.expr(f"{s}(nullif({x}, double('nan')))") for x in terms for s in statistics]).first()
+        each = [F.expr(f"{s}(nullif({x}, double('nan')))") for x in terms for s in statistics]
+        *row, n = df.agg(*each, F.count(F.lit(1))).first()
         found = [row[i * 4 : i * 4 + 4] for i in range(len(terms))]
     else:
-        rows = (
-            df.select(F.posexplode(_array(terms)).alias("position", "value"))
-            .groupBy("position")
-            .agg(*[F.expr(f"{s}(nullif(value, double('nan')))") for s in statistics])
-            .collect()
-        )
-        found = [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["position"])]
+        moments = vector_moments(df.select(_array(terms).alias("_v")), "_v", width=len(terms)).collect()
+        by_place = {r["position"]: r for r in moments}
+        n = max((r["known"] for r in moments), default=0)
+        found = [_statistics(by_place.get(i)) for i in range(len(terms))]
     numbers = [tuple(0.0 if v is None else float(v) for v in values) for values in found]
     means, stds, lows, highs = zip(*numbers)
-    return Scaler(tuple(terms), means, stds, lows, highs)
+    return Scaler(tuple(terms), means, stds, lows, highs, n)
+
+
+def _statistics(moments) -> tuple:
+    """Mean, sample deviation, lowest and highest value of one feature."""
+    if moments is None or not moments["known"]:
+        return (None,) * 4
+    spread = (moments["deviations"] / (moments["known"] - 1)) ** 0.5 if moments["known"] > 1 else None
+    return moments["mean"], spread, moments["low"], moments["high"]
 
 
 def standardize(

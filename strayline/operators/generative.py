@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from strayline.operators.classification import cross_validate
 from strayline.operators.features import known_label, split_known
+from strayline.operators.newton import best_regularisation, cross_validated, fit_logistic, fold_measures, scored
 from strayline.roles import as_names
 
 # The regularisations tried.
 REGULARISATIONS = [0.1, 0.01]
 
+_CLUSTER = "cluster"
+
 
 def class_counts(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Number ``k`` of distinct known labels, in the whole table or per group."""
@@ -42,7 +45,7 @@ def _evaluator(k: int, label: str):
 def cluster_then_classify(
     df: DataFrame,
     features: str | Iterable[str],
-    label: str = "used_label",
+    label: str = "label",
     prediction: str = "prediction",
     folds: int = 3,
     seed: int = 0,
@@ -55,12 +58,12 @@ def cluster_then_classify(
     if k < 2:
         raise ValueError("needs at least two known labels")
     assembler = VectorAssembler(inputCols=list(as_names(features)), outputCol="features")
-    clusters = KMeans(featuresCol="features", predictionCol="Kmeans_prediction", k=k, seed=seed)
+    clusters = KMeans(featuresCol="features", predictionCol=_CLUSTER, k=k, seed=seed)
     classifier = LogisticRegression(
-        featuresCol="features", labelCol="Kmeans_prediction", predictionCol=prediction
+        featuresCol="features", labelCol=_CLUSTER, predictionCol=prediction
     )
     grid = ParamGridBuilder().addGrid(classifier.regParam, REGULARISATIONS).build()
-    evaluator = _evaluator(k, "Kmeans_prediction")
+    evaluator = _evaluator(k, _CLUSTER)
     if k > 2:
         evaluator.setPredictionCol(prediction)
     pipeline = Pipeline(stages=[assembler, clusters, classifier])
@@ -93,3 +96,23 @@ def supervised_baseline(
         evaluator.setPredictionCol(prediction)
     model = cross_validate(Pipeline(stages=[assembler, classifier]), known, evaluator, grid, folds, seed)
     return model, model.transform(df)
+
+
+def checked_baseline(
+    df: DataFrame,
+    features: str | Iterable[str],
+    label: str,
+    keys: Iterable[str],
+    folds: int = 3,
+    seed: int = 0,
+    steps: int = 12,
+) -> DataFrame:
+    """All rows scored by a regression of the known 0/1 labels, in Newton steps.
+
+    The regularisation with the smallest loss over folds by key is taken; the models of
+    all folds are fitted in the same passes.
+    """
+    keys = list(keys)
+    _, scores = cross_validated(df, features, label, keys, REGULARISATIONS, folds, seed, steps)
+    best = best_regularisation(fold_measures(scores, label))
+    return scored(df, fit_logistic(df, features, label, (best,), steps=steps)[0])

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from strayline.lineage import cut
 from strayline.operators.features import fit_scaler
+from strayline.operators.pivots import choose_pivots, near_cells, with_cell
 from strayline.operators.skew import hot_keys, replicated, salted, salted_join
 
-# Rows of one block, on average.
-BLOCK_ROWS = 512
+# Rows of a block: a share of the table, so that there is work for all, within limits.
+FEWEST_BLOCKS, LEAST_ROWS, MOST_ROWS = 32, 128, 2048
+# Rows of a block that are compared with the other block at a time.
+COMPARED_ROWS = 512
 GRID_DIMENSIONS = 3
 
 
@@ -41,71 +44,107 @@ def similarity_edges(
     sigma: float = 0.42,
     tol: float = 1e-9,
     standardize: bool = True,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """All pairs ``src >= dst`` with weight ``exp(-|x - y|^2 / sigma^2) > tol``.
 
-    Exact. The tolerance bounds the distance of a pair, so space is cut into
-    cells one radius wide and rows only meet rows of their own and the adjacent
-    cells, taken in one direction so that no pair comes twice. A row without an id or
-    with a NULL or NaN feature is near to nothing and has no edge. Rows of a cell are
-    packed into blocks of about ``block_rows`` by hash, so a crowded cell becomes
-    many blocks. Joined pairs of blocks, each of bounded size, are spread over
+    Exact. The tolerance bounds the distance of a pair. Where up to three axes are
+    wider than two radii, space is cut into cells one radius wide, and rows only meet
+    rows of their own and the adjacent cells, taken in one direction so that no pair
+    comes twice. Otherwise, as in many dimensions, cells lie around pivots, and
+    only those cells meet that can hold a pair by the rows' own margins
+    (``pivots.near_cells``). A row without an id or with a NULL or NaN feature is near to
+    nothing and has no edge. Rows of a cell are packed into blocks of about
+    ``block_rows`` by hash, so a crowded cell becomes many blocks and its pairs a grid of
+    tiles. Joined pairs of blocks, each of bounded size, are spread over
     the cluster and compared in Arrow batches; only edges leave the comparison.
     """
+    blocks, pairs, width = _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows)
+    # Small in bytes but long in work: a fixed number of partitions keeps Spark
+    # from merging them by size.
+    n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = blocks.withColumnsRenamed({"ids": "r_ids", "vs": "r_vs"})
+    keys = [c for c in right.columns if c not in ("r_ids", "r_vs")]
+    own = pairs.join(blocks.withColumnsRenamed({"_block": "_from", **{k: f"_{k}" for k in keys[:-1]}}), ["_from", *[f"_{k}" for k in keys[:-1]]])
+    met = own.repartition(n_partitions, *keys).join(right, keys)
+    same = F.col("_own") & (F.col("_from") == F.col("_block"))
+    return met.select(same.alias("same"), F.col("ids").alias("l_ids"), F.col("vs").alias("l_vs"), "r_ids", "r_vs").mapInArrow(
+        _edge_finder(width, float(sigma), float(tol)), "src bigint, dst bigint, weight double"
+    )
+
+
+def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks ``c0.., _block, ids, vs``, the pairs of them that must meet, and the vectors' width.
+
+    A pair names one block by ``_c0.., _from``, the other by ``c0.., _block``.
+    """
     if not tol > 0:
         raise ValueError("tol must be above 0: without a bound every pair is an edge")
     scaler = fit_scaler(df, features)
     # A hair wider than the bound, so that rounding cannot part a pair by two cells.
     radius = radius_of(sigma, tol) * (1 + 1e-9) if tol < 1 else 0.0
     axes = _grid_axes(scaler.ranges(standardize), radius) if radius > 0 else []
-    vectors = df.select(
+    block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, scaler.rows // FEWEST_BLOCKS))
+    rows = df.select(
         F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v")
     ).filter("id IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
-    cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(f"c{i}") for i, a in enumerate(axes)]
-    # Without a useful axis the whole table is one cell.
-    rows = vectors.select("id", "v", *(cells or [F.lit(0).cast("bigint").alias("c0")]))
     keys = [f"c{i}" for i in range(max(1, len(axes)))]
-
-    counts = (
-        rows.groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks"))
-    )
+    near = None
+    if axes:
+        cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(k) for k, a in zip(keys, axes)]
+        rows = rows.select("id", "v", *cells)
+    else:
+        pivots = choose_pivots(rows, scaler.rows, len(scaler.terms))
+        rows = cut(with_cell(rows, pivots))
+        near = near_cells(rows, pivots, radius)
+    counts = cut(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")))
+    part = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
     blocks = (
         rows.join(counts.filter("_blocks > 1"), keys, "left")
-        .withColumn(
-            "_block", F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
-        )
+        .withColumn("_block", part)
         .groupBy(*keys, "_block")
         .agg(F.collect_list(F.struct("id", "v")).alias("_members"))
         .select(*keys, "_block", F.col("_members.id").alias("ids"), F.flatten("_members.v").alias("vs"))
     )
-    right = blocks.withColumnsRenamed({"ids": "r_ids", "vs": "r_vs"})
-    left = (
-        _towards_neighbours(blocks, keys, len(axes))
-        .join(counts, keys)
-        .select(
-            *keys,
-            F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"),
-            "_own",
-            F.col("_from").alias("l_block"),
-            F.col("ids").alias("l_ids"),
-            F.col("vs").alias("l_vs"),
-        )
-        .filter("NOT _own OR l_block >= _block")
-    )
-    same = F.col("_own") & (F.col("l_block") == F.col("_block"))
-    # Small in bytes but long in work: a fixed number of partitions keeps Spark
-    # from merging them by size.
-    n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = left.repartition(n_partitions, *keys, "_block")
-    pairs = spread.join(right, [*keys, "_block"]).select(
-        same.alias("same"), "l_ids", "l_vs", "r_ids", "r_vs"
+    partners = _adjacent(counts, keys) if near is None else _listed(counts, near)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = (
+        partners.join(counts, keys)
+        .select(*keys, *[f"_{k}" for k in keys], "_own", "_here", numbers("_blocks").alias("_block"))
+        .select("*", numbers("_here").alias("_from"))
+        .drop("_here")
+        .filter("NOT _own OR _from >= _block")
     )
-    return pairs.mapInArrow(
-        _edge_finder(len(scaler.terms), float(sigma), float(tol)),
-        "src bigint, dst bigint, weight double",
+    return blocks, pairs, len(scaler.terms)
+
+
+def _adjacent(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Each cell of a grid ``_c0..`` with itself and every later adjacent cell ``c0..``."""
+    origin = (0,) * len(keys)
+    steps = [s for s in itertools.product((-1, 0, 1), repeat=len(keys)) if s >= origin]
+    targets = F.array(
+        *[
+            F.struct(*[(F.col(f"_{k}") + F.lit(d)).alias(k) for k, d in zip(keys, step)], F.lit(step == origin).alias("_own"))
+            for step in steps
+        ]
     )
+    here = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_blocks").alias("_here"))
+    return here.select("*", F.inline(targets))
+
+
+def _listed(counts: DataFrame, near: np.ndarray) -> DataFrame:
+    """The same for cells around pivots, whose pairs are few enough to be listed."""
+    table = pa.table({"_c0": pa.array(near[:, 0], pa.int64()), "c0": pa.array(near[:, 1], pa.int64())})
+    listed = counts.sparkSession.createDataFrame(table).withColumn("_own", F.col("_c0") == F.col("c0"))
+    return listed.join(counts.select(F.col("c0").alias("_c0"), F.col("_blocks").alias("_here")), "_c0")
+
+
+def block_pairs(
+    df: DataFrame, id_col: str = "id", features: str | Iterable[str] = "features", sigma: float = 0.42,
+    tol: float = 1e-9, standardize: bool = True, block_rows: int | None = None,
+) -> DataFrame:
+    """The pairs of blocks that ``similarity_edges`` compares, without comparing them."""
+    return _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows)[1]
 
 
 def _edge_finder(width: int, sigma: float, tol: float):
@@ -113,22 +152,24 @@ def _edge_finder(width: int, sigma: float, tol: float):
     bound = -math.log(tol) * sigma**2 if tol < 1 else 0.0
 
     def compare(same: bool, l_ids, l_vs, r_ids, r_vs):
+        """Edges of two blocks, some rows of the first at a time."""
         a, b = l_vs.reshape(-1, width), r_vs.reshape(-1, width)
         middle = a.mean(axis=0)
         p, q = a - middle, b - middle
         p2, q2 = (p * p).sum(axis=1), (q * q).sum(axis=1)
-        rough = p2[:, None] + q2[None, :] - 2.0 * (p @ q.T)
-        # The fast form above is only a filter, with room for its rounding.
+        # The fast form below is only a filter, with room for its rounding.
         room = 1e-9 * (1.0 + p2.max() + q2.max())
-        near = rough <= bound + room
-        if same:
-            near &= l_ids[:, None] >= r_ids[None, :]
-        i, j = np.nonzero(near)
-        gaps = a[i] - b[j]
-        weight = np.exp(-np.einsum("ij,ij->i", gaps, gaps) / sigma**2)
-        kept = weight > tol
-        x, y = l_ids[i[kept]], r_ids[j[kept]]
-        return np.maximum(x, y), np.minimum(x, y), weight[kept]
+        for at in range(0, len(a), COMPARED_ROWS):
+            to = at + COMPARED_ROWS
+            near = p2[at:to, None] + q2[None, :] - 2.0 * (p[at:to] @ q.T) <= bound + room
+            if same:
+                near &= l_ids[at:to, None] >= r_ids[None, :]
+            i, j = np.nonzero(near)
+            gaps = a[at + i] - b[j]
+            weight = np.exp(-np.einsum("ij,ij->i", gaps, gaps) / sigma**2)
+            kept = weight > tol
+            x, y = l_ids[at + i[kept]], r_ids[j[kept]]
+            yield np.maximum(x, y), np.minimum(x, y), weight[kept]
 
     def numbers(column, row: int):
         return column[row].values.to_numpy(zero_copy_only=False)
@@ -137,32 +178,15 @@ def _edge_finder(width: int, sigma: float, tol: float):
         for batch in batches:
             same, *columns = batch.columns
             for row in range(batch.num_rows):
-                src, dst, weight = compare(same[row].as_py(), *[numbers(c, row) for c in columns])
-                if len(src):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(src), pa.array(dst), pa.array(weight)], ["src", "dst", "weight"]
-                    )
+                for src, dst, weight in compare(same[row].as_py(), *[numbers(c, row) for c in columns]):
+                    if len(src):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(src), pa.array(dst), pa.array(weight)], ["src", "dst", "weight"]
+                        )
 
     return find
 
 
-def _towards_neighbours(blocks: DataFrame, keys: list[str], n_axes: int) -> DataFrame:
-    """Each block once for its own cell and once for every later adjacent cell."""
-    origin = (0,) * len(keys)
-    around = itertools.product((-1, 0, 1), repeat=n_axes) if n_axes else [origin]
-    targets = F.array(
-        *[
-            F.struct(
-                *[(F.col(k) + F.lit(d)).alias(k) for k, d in zip(keys, step)],
-                F.lit(step == origin).alias("_own"),
-            )
-            for step in around
-            if step >= origin
-        ]
-    )
-    return blocks.select(F.col("_block").alias("_from"), "ids", "vs", F.inline(targets))
-
-
 def mirrored(edges: DataFrame) -> DataFrame:
     """Both directions of every edge of a triangle, the diagonal once."""
     there = F.struct("src", "dst")

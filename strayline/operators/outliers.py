@@ -11,29 +11,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strayline.functions.vectors import euclidean_distance, known_width, percentage_distance
+from strayline.functions.vectors import euclidean_distance, percentage_distance
 from strayline.lineage import cut
 from strayline.operators.features import WIDE_MEANS_LIMIT, shift_clusters
+from strayline.operators.moments import first_width, vector_moments
 from strayline.operators.row_ids import add_row_id
 
 
-def group_centers(df: DataFrame, cluster: str, point: str, output: str = "centers") -> DataFrame:
-    """Mean vector of each cluster.
+def group_centers(
+    df: DataFrame, cluster: str, point: str, output: str = "centers", width: int | None = None
+) -> DataFrame:
+    """Mean vector of each cluster, in one pass.
 
     Up to ``WIDE_MEANS_LIMIT`` dimensions a row adds to one buffer per cluster;
-    beyond, positions are exploded. The vectors of a table have one length.
+    beyond, tasks add up their clusters in Arrow batches. The vectors of a table have one
+    length, anything else is an error.
     """
-    width = known_width(df, point)
+    width = width or first_width(df, point)
     if width is not None and width <= WIDE_MEANS_LIMIT:
-        each = [F.avg(F.get(point, F.lit(i))) for i in range(width)]
-        return df.groupBy(cluster).agg(F.array(*each).alias(output))
-    means = (
-        df.select(cluster, F.posexplode(point).alias("_position", "_value"))
-        .groupBy(cluster, "_position")
-        .agg(F.avg("_value").alias("_mean"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_position", "_mean")))
-    return means.groupBy(cluster).agg(F.transform(ordered, lambda e: e["_mean"]).alias(output))
+        size = F.when(F.col(point).isNotNull(), F.size(point))
+        uneven = F.concat(F.lit("vectors of "), F.min(size), F.lit(" to "), F.max(size), F.lit(" dimensions"))
+        each = F.array(*[F.avg(F.get(point, F.lit(i))) for i in range(width)])
+        checked = F.when(F.min(size) != F.max(size), F.raise_error(uneven)).otherwise(each)
+        return df.groupBy(cluster).agg(checked.alias(output))
+    means = vector_moments(df, point, cluster, width)
+    ordered = F.array_sort(F.collect_list(F.struct("position", "mean")))
+    return means.groupBy(cluster).agg(F.transform(ordered, lambda e: e["mean"]).alias(output))
 
 
 def attach_centers(df: DataFrame, centers: DataFrame, cluster: str = "prediction") -> DataFrame:

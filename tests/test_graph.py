@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strayline.operators import skew
 from strayline.operators.graph import (
+    block_pairs,
     degrees,
     matrix_product,
     mirrored,
@@ -234,3 +235,50 @@ def test_label_rows(spark, unknown):
 
 def test_mirrored_has_the_diagonal_once(edges):
     assert mirrored(edges).count() == 16
+
+
+def brute_edges(x, sigma, tol):
+    w = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / sigma**2)
+    return {(i, j): w[i, j] for i in range(len(x)) for j in range(i + 1) if w[i, j] > tol}
+
+
+def edges_and_pairs(spark, x, sigma, tol, block_rows):
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    found = similarity_edges(df, "id", "v", sigma, tol, False, block_rows).collect()
+    met = {(r["_c0"], r["_from"], r["c0"], r["_block"]) for r in block_pairs(df, "id", "v", sigma, tol, False, block_rows).collect()}
+    blocks = {p[:2] for p in met} | {p[2:] for p in met}
+    return {(r["src"], r["dst"]): r["weight"] for r in found}, len(met), len(blocks)
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_pivots_leave_out_far_cells_and_no_edge(spark, copies):
+    """Clusters on a sphere in 24 dimensions, no axis of which is two radii wide."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 24))
+    middles /= np.linalg.norm(middles, axis=1)[:, None]
+    x = np.repeat(middles, 25, axis=0) + rng.normal(scale=0.01, size=(500, 24))
+    x = np.concatenate([x, np.repeat(x[:1], copies, axis=0)])
+    got, met, blocks = edges_and_pairs(spark, x, 0.4, 0.01, 16)
+    want = brute_edges(x, 0.4, 0.01)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(w) for k, w in want.items())
+    print(met, blocks)
+    assert blocks > 20 and met < 0.2 * blocks * (blocks + 1) / 2
+
+
+def test_embeddings_by_label_meet_their_own_label_alone(spark):
+    """Embeddings with their label as ten more features: most pairs of blocks are left out."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([[*r.embedding, *(2.5 * (r.label == k) for k in range(10))] for r in rows], float)
+    got, met, blocks = edges_and_pairs(spark, x, 0.6, 0.01, 16)
+    want = brute_edges(x, 0.6, 0.01)
+    assert got.keys() == want.keys()
+    print(met, blocks)
+    assert met < 0.3 * blocks * (blocks + 1) / 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 40])
+def test_few_rows_and_one_point(spark, n):
+    df = spark.createDataFrame([(i, [1.0] * 5) for i in range(n)] + [(None, [2.0] * 5), (99, [None] * 5)], "id long, v array<double>")
+    found = similarity_edges(df, "id", "v", 0.5, 0.01, False).collect()
+    assert {(r.src, r.dst, r.weight) for r in found} == {(i, j, 1.0) for i in range(n) for j in range(i + 1)}
