@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Groups a task holds before it hands on what it has.
 HELD_GROUPS = 4096
+#: Vectors that are looked through for a first known value of each element.
+ORIGINS = 16
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -58,26 +60,27 @@ def vector_moments(df: DataFrame, vector: str, by: str | None = None, width: int
     ``known`` counts the elements that are neither NULL nor NaN, ``deviations`` is the sum
     of their squared distances from their mean. Tasks hold one buffer per group, of any
     width; what they send is summed by group and position. Sums are taken about the first
-    known vector, which keeps them exact where values are large and alike.
+    known values, which keeps them exact where values are large and alike.
     """
     column = F.col(vector).cast("array<double>").alias("v")
     rows = df.select(column, *([F.col(by).alias("g")] if by else [])).filter("v IS NOT NULL")
-    origin = rows.select("v").first()
-    width = width or (len(origin["v"]) if origin else 0)
-    about = np.nan_to_num(np.array([np.nan if x is None else x for x in origin["v"]], float)) if origin else np.zeros(0)
+    seen = [r["v"] for r in rows.select("v").limit(ORIGINS).collect()]
+    width = width or (len(seen[0]) if seen else 0)
+    about = np.zeros(width)
+    for vector_seen in reversed([v for v in seen if len(v) == width]):
+        values = np.array([np.nan if x is None else x for x in vector_seen], float)
+        about = np.where(np.isfinite(values), values, about)
     kind = dict(rows.dtypes).get("g")
     names = ["known", "sums", "squares", "low", "high"]
 
-    def rows_of(held: dict) -> pa.RecordBatch:
+    def rows_of(held: dict, group_type: pa.DataType | None) -> pa.RecordBatch:
         arrays = [pa.array([b[k].tolist() for b in held.values()], pa.list_(pa.float64())) for k in range(5)]
         keys = [pa.array(list(held), group_type)] if kind else []
         return pa.RecordBatch.from_arrays([*keys, *arrays], [*(["g"] if kind else []), *names])
 
-    group_type = None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal group_type
         held: dict = {}
+        group_type = None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -105,10 +108,10 @@ def vector_moments(df: DataFrame, vector: str, by: str | None = None, width: int
                     own = [b[0] + own[0], b[1] + own[1], b[2] + own[2], np.minimum(b[3], own[3]), np.maximum(b[4], own[4])]
                 held[key] = own
             if len(held) > HELD_GROUPS:
-                yield rows_of(held)
+                yield rows_of(held, group_type)
                 held = {}
         if held:
-            yield rows_of(held)
+            yield rows_of(held, group_type)
 
     schema = (f"g {kind}, " if kind else "") + ", ".join(f"{n} array<double>" for n in names)
     keys = ["g", "position"] if kind else ["position"]
