@@ -233,3 +233,38 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         lineage.shared_dir(Session())
+
+
+@pytest.mark.parametrize("range_lines", [100_000, 7])
+def test_runs_of_one_iteration_are_told_apart(spark, monkeypatch, range_lines):
+    """Iteration 0 begins anew in a third of the lines; one range or many, each run keeps its own records."""
+    monkeypatch.setattr(logs, "RANGE_LINES", range_lines)
+    lines, want = [], []
+    for k in range(60):
+        i = 0 if k % 3 == 0 else k
+        head = f"2021-03-04 05:{k:02}:00,000:INFO:main:Iteration: {i} - "
+        kinds = [f"Number of partions: {k}", f"data: rows_{1000 + k}", f"Training model time: {k}min 1s ± 2 ms per loop"]
+        if k == 9:
+            kinds = kinds[:2]  # a run that was broken off
+        lines += [head + x for x in kinds] + [head + "finished"]
+        if k != 9:
+            want.append((str(i), k, 1000 + k, 60.0 * k + 1, 0.002))
+    lines.insert(0, "2021-03-04 04:00:00,000:INFO:main:Iteration: 0 - data: rows_1")  # of a run that began before the log
+    lines.append("2021-03-04 06:00:00,000:INFO:main:Iteration: 1 - data: rows_7")  # the last of a kind holds
+    want[want.index(next(w for w in want if w[0] == "1"))] = ("1", 1, 7, 61.0, 0.002)
+    df = spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)
+    for records in (logs.timing_records(df), logs.split_lines(df)):
+        found = logs.timings(records).collect()
+        assert sorted((r.Iteration, r.partitions, r.n, r["mean"], r["std"]) for r in found) == sorted(want)
+        assert {(r.type, r.function) for r in found} == {("INFO", "main")}
+
+
+def test_records_of_odd_lines(spark):
+    head = "2021-03-04 05:06:07,008:INFO:main:"
+    lines = [None, "", "no log line", head + "Iteration: 4", head + "Iteration: 4 - free - data: 3", head + "a: 1 - data: 3",
+             head + "Iteration: 5 - data: none", head + "Iteration: 5 - data: 1 - data: 22", head + " Iteration : 6 - x: 1 - Number of partions : p8"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    found = {(r.Iteration, r._has_data, r.n, r.partitions) for r in logs.timing_records(df).collect()}
+    assert found == {("5", True, None, None), ("5", True, 22, None), ("6", False, None, 8)}
+    assert logs.timings(logs.timing_records(df)).count() == 0
+    assert logs.timings(logs.timing_records(df.limit(0))).count() == 0
