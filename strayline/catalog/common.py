@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strayline.operators.outliers import attach_centers, detect_outliers, group_centers
+from strayline.operators.outliers import Distances, attach_centers, detect_outliers, group_centers, measure
 from strayline.operators.features import fit_scaler
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,7 +49,7 @@ WIDTH = 64
 
 def centered(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = vectors(spark, sf_dir)
-    return attach_centers(points, group_centers(points, "prediction", "point"))
+    return attach_centers(points, group_centers(points, "prediction", "point", width=WIDTH))
 
 
 def flagged(spark: SparkSession, sf_dir: str, row_id: str | None = None) -> DataFrame:
@@ -58,16 +58,21 @@ def flagged(spark: SparkSession, sf_dir: str, row_id: str | None = None) -> Data
     )
 
 
-def flagged_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in standardised feature space, clustered by line number."""
+def measured_lineitem(spark: SparkSession, sf_dir: str) -> Distances:
+    """Distances of line items in standardised feature space, clustered by line number."""
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", *LINEITEM_FEATURES)
     scaled = items.select(
         "l_orderkey",
         F.col("l_linenumber").alias("prediction"),
         fit_scaler(items, LINEITEM_FEATURES).vector().alias("point"),
     )
-    joined = attach_centers(scaled, group_centers(scaled, "prediction", "point"))
-    return detect_outliers(joined, point="point", row_id=None, width=len(LINEITEM_FEATURES))
+    width = len(LINEITEM_FEATURES)
+    joined = attach_centers(scaled, group_centers(scaled, "prediction", "point", width=width))
+    return measure(joined, ["l_orderkey"], point="point", width=width)
+
+
+def flagged_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured_lineitem(spark, sf_dir).flagged()
 
 
 VECTORS_SQL = """

@@ -13,6 +13,7 @@ from strayline.catalog.common import (
     centered,
     flagged,
     flagged_lineitem,
+    measured_lineitem,
     query,
     table,
     vectors,
@@ -190,7 +191,7 @@ def histogram(spark, sf_dir):
     "WITH " + LINEITEM_FLAGGED_SQL + _HISTOGRAM_SQL + " SELECT prediction, bucket, n, n_outlier FROM g",
 )
 def lineitem_histogram(spark, sf_dir):
-    return distance_histogram(flagged_lineitem(spark, sf_dir))
+    return measured_lineitem(spark, sf_dir).histogram()
 
 
 _BOUNDARY_HISTOGRAM_SQL = """,
@@ -213,7 +214,7 @@ def aligned_histogram(spark, sf_dir):
 
 @query("a05_boundary_histogram_lineitem", "WITH " + LINEITEM_FLAGGED_SQL + _BOUNDARY_HISTOGRAM_SQL)
 def lineitem_aligned_histogram(spark, sf_dir):
-    return boundary_histogram(flagged_lineitem(spark, sf_dir))
+    return measured_lineitem(spark, sf_dir).boundary_histogram()
 
 
 @query(

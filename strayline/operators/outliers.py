@@ -7,6 +7,7 @@ joined back by cluster. Partial aggregation makes a huge cluster harmless.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,6 +106,58 @@ def detect_outliers(
     return flag_outliers(add_distance(shifted, point, center, width=width), cluster, "distance", no_stddev)
 
 
+@dataclass(frozen=True)
+class Distances:
+    """The narrow table all reports share: ``cluster, keys.., distance``, and the clusters' bounds.
+
+    Both are written, so the rows behind them are read once, however many reports follow,
+    and the bounds are joined by their known size.
+    """
+
+    rows: DataFrame
+    bounds: DataFrame
+    cluster: str = "prediction"
+    distance: str = "distance"
+
+    def with_bounds(self, *columns: str) -> DataFrame:
+        renamed = self.bounds.select(F.col(self.cluster).alias("_cluster"), *columns)
+        return self.rows.join(renamed, F.col(self.cluster).eqNullSafe(F.col("_cluster"))).drop("_cluster")
+
+    def flagged(self) -> DataFrame:
+        beyond = F.when(F.col(self.distance) > F.col("computed_boundary"), 1).otherwise(0)
+        return self.with_bounds("computed_boundary").withColumn("is_outlier", beyond)
+
+    def report(self) -> DataFrame:
+        return cluster_report(self.flagged(), self.cluster)
+
+    def summary(self) -> DataFrame:
+        return cluster_summary(self.flagged(), self.cluster)
+
+    def histogram(self, n_buckets: int = 20) -> DataFrame:
+        tops = self.bounds.withColumnRenamed("max_distance", "_top")
+        joined = self.with_bounds("computed_boundary", F.col("max_distance").alias("_top"))
+        return _equal_width(joined, tops, n_buckets, self.cluster, self.distance, "computed_boundary")
+
+    def boundary_histogram(self, n_buckets: int = 20) -> DataFrame:
+        named = self.with_bounds("computed_boundary")
+        return _aligned(named, n_buckets, self.cluster, self.distance, "computed_boundary")
+
+
+def measure(
+    df: DataFrame,
+    keys: Sequence[str],
+    cluster: str = "prediction",
+    point: str = "scaled_features",
+    center: str = "centers",
+    no_stddev: float = 2.0,
+    width: int | None = None,
+) -> Distances:
+    """Distances of rows from their centers, clusters numbered from 1, for any number of reports."""
+    measured = add_distance(shift_clusters(df, cluster), point, center, width=width)
+    rows = cut(measured.select(cluster, *keys, "distance"))
+    return Distances(rows, cut(cluster_bounds(rows, cluster, "distance", no_stddev)), cluster)
+
+
 def add_percentage_distance(
     df: DataFrame, cluster: str = "prediction", distance: str = "distance"
 ) -> DataFrame:
@@ -214,8 +267,12 @@ def distance_histogram(
     """
     df = cut(df.select(cluster, distance, boundary))
     tops = cut(df.groupBy(cluster, boundary).agg(F.max(distance).alias("_top")))
+    return _equal_width(with_bounds(df, tops, cluster, "_top"), tops, n_buckets, cluster, distance, boundary)
+
+
+def _equal_width(joined: DataFrame, tops: DataFrame, n_buckets: int, cluster: str, distance: str, boundary: str) -> DataFrame:
+    """Counts per cluster and bucket of rows that carry their cluster's largest distance ``_top``."""
     width = F.col("_top") / F.lit(n_buckets)
-    joined = with_bounds(df, tops, cluster, "_top")
     filled = joined.select(
         cluster,
         _bucket(F.col(distance), width, n_buckets).alias("bucket"),
@@ -249,9 +306,12 @@ def boundary_histogram(
     holds ``edge i <= d < edge i + 1``; the last one is closed, or open-ended when
     the boundary is the only outlier edge.
     """
+    return _aligned(cut(df.select(cluster, distance, boundary)), n_buckets, cluster, distance, boundary)
+
+
+def _aligned(df: DataFrame, n_buckets: int, cluster: str, distance: str, boundary: str) -> DataFrame:
     d, b = F.col(distance), F.col(boundary)
     at_or_beyond = F.when(d >= b, 1.0).otherwise(0.0)
-    df = cut(df.select(cluster, distance, boundary))
     edges = cut(
         df.groupBy(cluster, boundary).agg(
             F.min(distance).alias("_low"),

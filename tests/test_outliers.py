@@ -13,6 +13,7 @@ from strayline.operators.outliers import (
     distance_histogram,
     flag_outliers,
     group_centers,
+    measure,
     report_pages,
     report_with_histogram,
 )
@@ -121,3 +122,18 @@ def test_report_columns(points):
 def test_group_centers(points):
     found = {r["prediction"]: r["centers"] for r in group_centers(points, "prediction", "point").collect()}
     assert found[1] == pytest.approx([5.0, 23 / 3])
+
+
+def test_reports_of_one_distance_table(points):
+    """The shared table gives what the separate operators give."""
+    table = measure(points, ["id"], point="point", width=2)
+    flagged = detect_outliers(points, point="point", row_id=None)
+    assert sorted(table.rows.columns) == ["distance", "id", "prediction"]
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+    assert same(table.flagged().select("id", "prediction", "distance", "computed_boundary", "is_outlier"), flagged)
+    assert same(table.report(), cluster_report(flagged)) and same(table.summary(), cluster_summary(flagged))
+    for n in (1, 7):
+        assert same(table.histogram(n), distance_histogram(flagged, n))
+        assert same(table.boundary_histogram(n), boundary_histogram(flagged, n))
+    empty = measure(points.filter("id < 0"), ["id"], point="point", width=2)
+    assert empty.flagged().count() == empty.histogram().count() == empty.boundary_histogram().count() == 0
