@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from strayline.catalog.common import LINEITEM_FEATURES, query, table, unit_hash_sql, vectors
+from strayline.catalog.graphs import EDGES_SQL
 from strayline.operators import logs
 from strayline.operators.features import fit_scaler
 from strayline.operators.metrics import area_under_roc, run_time_stats, threshold_curve
@@ -147,6 +148,48 @@ def experiment_runs(spark, sf_dir):
     return experiment.run_statistics(found).drop("mean_seconds", "std_seconds")
 
 
+def _runs_sql() -> str:
+    """Two sizes and two runs each: every group ``g`` is a graph of its own, two steps."""
+    step = ""
+    for i in (1, 2):
+        step += f""",
+m{i} AS (SELECT g, src AS id, c, sum(w * y) AS y FROM t JOIN y{i - 1} USING (g) WHERE dst = y{i - 1}.id GROUP BY g, src, c),
+y{i} AS MATERIALIZED (SELECT y0.g, y0.id, label, y0.c, CASE WHEN label IS NULL THEN coalesce(m{i}.y, 0) ELSE y0.y END AS y
+       FROM y0 LEFT JOIN m{i} ON y0.g = m{i}.g AND y0.id = m{i}.id AND y0.c = m{i}.c)"""
+    drawn = " UNION ALL ".join(
+        f"""SELECT {g} AS g, CAST(n // {2 - g // 2} AS BIGINT) AS size, {g % 2} AS run, vec_id AS id, label AS truth, {unit_hash_sql('vec_id', 8 + g)} AS h FROM e, n"""
+        for g in range(4)
+    )
+    hidden = "CASE g " + " ".join(f"WHEN {g} THEN {unit_hash_sql('id', 8 + g)}" for g in range(4)) + " END"
+    return "WITH " + EDGES_SQL + f""",
+n AS (SELECT count(*) AS n FROM e),
+drawn AS ({drawn}),
+rows_ AS MATERIALIZED (SELECT g, size, run, id, truth, CASE WHEN {hidden} < 0.2 THEN truth END AS label FROM drawn, n
+  WHERE size = n OR h <= greatest(size / n, (SELECT min(h) FROM drawn d WHERE d.g = drawn.g AND d.truth = drawn.truth))),
+f AS MATERIALIZED (SELECT a.g, src, dst, w FROM (SELECT src, dst, w FROM edges UNION ALL SELECT dst, src, w FROM edges WHERE src <> dst)
+  JOIN rows_ a ON a.id = src JOIN rows_ b ON b.id = dst AND a.g = b.g),
+cs AS (SELECT g, dst, sum(w) AS s FROM f GROUP BY g, dst),
+bc AS (SELECT g, src, dst, w / s AS w FROM f JOIN cs USING (g, dst)),
+rs AS (SELECT g, src, sum(w) AS s FROM bc GROUP BY g, src),
+t AS MATERIALIZED (SELECT g, src, dst, w / s AS w FROM bc JOIN rs USING (g, src)),
+y0 AS MATERIALIZED (SELECT g, id, label, c, CASE WHEN label IS NULL THEN 0.5 WHEN label = c THEN 1.0 ELSE 0.0 END::DOUBLE AS y
+       FROM rows_, (SELECT unnest(range(10)) AS c)){step},
+best AS (SELECT g, id, list_position(r, list_max(r)) - 1 AS new_label FROM (SELECT g, id, list(round(y, 9) ORDER BY c) AS r FROM y2 GROUP BY g, id))
+SELECT size, CAST(run AS INTEGER) AS run, count(*) AS n_rows, count(*) - count(label) AS n_hidden,
+       round(avg(CASE WHEN new_label = truth THEN 0.0 ELSE 1.0 END), 6) AS error_rate
+FROM rows_ JOIN best USING (g, id) GROUP BY size, run"""
+
+
+@query("x08_runs_as_data", _runs_sql())
+def runs_as_data(spark, sf_dir):
+    """Half the table and all of it, a fifth of the labels known, two runs each, in one propagation."""
+    rows = vectors(spark, sf_dir).withColumnsRenamed({"vec_id": "id", "prediction": "label"}).select("id", "label", "point")
+    n = rows.count()
+    roles = Roles.of("id", "label", ["point"])
+    found = experiment.run_together(rows, roles, [n // 2, n], 0.2, 2, seed=8, sigma=0.6, max_iters=2, standardize=False)
+    return found.withColumn("error_rate", F.round("error_rate", 6))
+
+
 @query(
     "x09_repartition_sweep",
     "SELECT unnest([8, 80]) AS partitions, (SELECT count(*) FROM lineitem) AS n_rows",

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from strayline.catalog.common import FLAGGED_SQL, flagged, query, table, unit_hash_sql, vectors
+from strayline.catalog.common import FLAGGED_SQL, VECTORS_SQL, flagged, query, table, unit_hash_sql, vectors
 from strayline.lineage import scratch_path
 from strayline.operators.outliers import cluster_report, group_centers
 from strayline.roles import Roles
@@ -189,7 +189,18 @@ def declared_schema(spark, sf_dir):
     return readers.read_roles(spark, path, roles)
 
 
-@query("g01_gaussian_clusters")
+def _normals_sql() -> str:
+    """Box-Muller on hashed uniforms around the label's mean, a column per feature."""
+    normal = lambda j: f"sqrt(-2 * ln(1 - {unit_hash_sql('id', 2 * j)})) * cos(2 * pi() * {unit_hash_sql('id', 2 * j + 1)})"
+    columns = ", ".join(f"round(c[{j + 1}] + 0.1 * {normal(j)}, 6) AS f{j}" for j in range(64))
+    return "WITH " + VECTORS_SQL + f""",
+o AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+s AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k, n, sum(n) OVER (ORDER BY label) - n AS start FROM o),
+p AS (SELECT CAST(start + i AS BIGINT) AS id, k, c FROM s JOIN c USING (label), LATERAL (SELECT unnest(range(n)) AS i))
+SELECT {columns}, id, k FROM p"""
+
+
+@query("g01_gaussian_clusters", _normals_sql())
 def gaussian_clusters(spark, sf_dir):
     """As many rows per cluster as the table has per label, around its mean vector."""
     points = vectors(spark, sf_dir)
@@ -197,13 +208,11 @@ def gaussian_clusters(spark, sf_dir):
         points.groupBy("prediction").count(), "prediction"
     )
     rows = centers.orderBy("prediction").collect()
-    return synthetic.gaussian_clusters(
-        spark,
-        [r["count"] for r in rows],
-        [r["centers"] for r in rows],
-        [[0.1] * 64 for _ in rows],
-        features=[f"f{i}" for i in range(64)],
+    names = [f"f{i}" for i in range(64)]
+    made = synthetic.gaussian_clusters(
+        spark, [r["count"] for r in rows], [r["centers"] for r in rows], [[0.1] * 64 for _ in rows], features=names
     )
+    return made.select(*[F.round(c, 6).alias(c) for c in names], "id", "k")
 
 
 _HELIX_SQL = f"""

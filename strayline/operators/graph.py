@@ -45,6 +45,7 @@ def similarity_edges(
     tol: float = 1e-9,
     standardize: bool = True,
     block_rows: int | None = None,
+    by: str | None = None,
 ) -> DataFrame:
     """All pairs ``src >= dst`` with weight ``exp(-|x - y|^2 / sigma^2) > tol``.
 
@@ -56,16 +57,18 @@ def similarity_edges(
     (``pivots.near_cells``). A row without an id or with a NULL or NaN feature is near to
     nothing and has no edge. Rows of a cell are packed into blocks of about
     ``block_rows`` by hash, so a crowded cell becomes many blocks and its pairs a grid of
-    tiles. Joined pairs of blocks, each of bounded size, are spread over
+    tiles. With ``by`` only rows that agree in that column meet: the graphs of many tables in
+    one job. Joined pairs of blocks, each of bounded size, are spread over
     the cluster and compared in Arrow batches; only edges leave the comparison.
     """
-    blocks, pairs, width = _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows)
+    blocks, pairs, width = _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by)
     # Small in bytes but long in work: a fixed number of partitions keeps Spark
     # from merging them by size.
     n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     right = blocks.withColumnsRenamed({"ids": "r_ids", "vs": "r_vs"})
     keys = [c for c in right.columns if c not in ("r_ids", "r_vs")]
-    own = pairs.join(blocks.withColumnsRenamed({"_block": "_from", **{k: f"_{k}" for k in keys[:-1]}}), ["_from", *[f"_{k}" for k in keys[:-1]]])
+    theirs = {k: f"_{k}" for k in keys[:-1] if k != "_by"}
+    own = pairs.join(blocks.withColumnsRenamed({"_block": "_from", **theirs}), ["_from", "_by", *theirs.values()])
     met = own.repartition(n_partitions, *keys).join(right, keys)
     same = F.col("_own") & (F.col("_from") == F.col("_block"))
     return met.select(same.alias("same"), F.col("ids").alias("l_ids"), F.col("vs").alias("l_vs"), "r_ids", "r_vs").mapInArrow(
@@ -73,8 +76,8 @@ def similarity_edges(
     )
 
 
-def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows) -> tuple[DataFrame, DataFrame, int]:
-    """Blocks ``c0.., _block, ids, vs``, the pairs of them that must meet, and the vectors' width.
+def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks ``_by, c0.., _block, ids, vs``, the pairs of them that must meet, and the vectors' width.
 
     A pair names one block by ``_c0.., _from``, the other by ``c0.., _block``.
     """
@@ -86,17 +89,18 @@ def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows) -> t
     axes = _grid_axes(scaler.ranges(standardize), radius) if radius > 0 else []
     block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, scaler.rows // FEWEST_BLOCKS))
     rows = df.select(
-        F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v")
-    ).filter("id IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
+        F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v"), (F.col(by) if by else F.lit(0)).cast("bigint").alias("_by")
+    ).filter("id IS NOT NULL AND _by IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
     keys = [f"c{i}" for i in range(max(1, len(axes)))]
     near = None
     if axes:
         cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(k) for k, a in zip(keys, axes)]
-        rows = rows.select("id", "v", *cells)
+        rows = rows.select("id", "v", "_by", *cells)
     else:
         pivots = choose_pivots(rows, scaler.rows, len(scaler.terms))
         rows = cut(with_cell(rows, pivots))
         near = near_cells(rows, pivots, radius)
+    places, keys = keys, ["_by", *keys]
     counts = cut(rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")))
     part = F.pmod(F.xxhash64("id"), F.coalesce("_blocks", F.lit(1))).cast("int")
     blocks = (
@@ -106,11 +110,11 @@ def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows) -> t
         .agg(F.collect_list(F.struct("id", "v")).alias("_members"))
         .select(*keys, "_block", F.col("_members.id").alias("ids"), F.flatten("_members.v").alias("vs"))
     )
-    partners = _adjacent(counts, keys) if near is None else _listed(counts, near)
+    partners = _adjacent(counts, places) if near is None else _listed(counts, near)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pairs = (
         partners.join(counts, keys)
-        .select(*keys, *[f"_{k}" for k in keys], "_own", "_here", numbers("_blocks").alias("_block"))
+        .select(*keys, *[f"_{k}" for k in places], "_own", "_here", numbers("_blocks").alias("_block"))
         .select("*", numbers("_here").alias("_from"))
         .drop("_here")
         .filter("NOT _own OR _from >= _block")
@@ -128,7 +132,7 @@ def _adjacent(counts: DataFrame, keys: list[str]) -> DataFrame:
             for step in steps
         ]
     )
-    here = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_blocks").alias("_here"))
+    here = counts.select("_by", *[F.col(k).alias(f"_{k}") for k in keys], F.col("_blocks").alias("_here"))
     return here.select("*", F.inline(targets))
 
 
@@ -136,7 +140,7 @@ def _listed(counts: DataFrame, near: np.ndarray) -> DataFrame:
     """The same for cells around pivots, whose pairs are few enough to be listed."""
     table = pa.table({"_c0": pa.array(near[:, 0], pa.int64()), "c0": pa.array(near[:, 1], pa.int64())})
     listed = counts.sparkSession.createDataFrame(table).withColumn("_own", F.col("_c0") == F.col("c0"))
-    return listed.join(counts.select(F.col("c0").alias("_c0"), F.col("_blocks").alias("_here")), "_c0")
+    return listed.join(counts.select("_by", F.col("c0").alias("_c0"), F.col("_blocks").alias("_here")), "_c0")
 
 
 def block_pairs(
@@ -144,7 +148,7 @@ def block_pairs(
     tol: float = 1e-9, standardize: bool = True, block_rows: int | None = None,
 ) -> DataFrame:
     """The pairs of blocks that ``similarity_edges`` compares, without comparing them."""
-    return _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows)[1]
+    return _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, None)[1]
 
 
 def _edge_finder(width: int, sigma: float, tol: float):

@@ -47,7 +47,7 @@ def farthest_first(sample: np.ndarray, wanted: int) -> np.ndarray:
 
 
 def choose_pivots(rows: DataFrame, n: int, width: int) -> Pivots:
-    """Pivots for ``n`` rows of ``id, v``, from a sample drawn by a hash of the id."""
+    """Pivots for ``n`` rows with ``id, v``, from a sample drawn by a hash of the id."""
     wanted = min(MOST_PIVOTS, max(n // CELL_ROWS, min(FEWEST_PIVOTS, n // FEWEST_ROWS), 1))
     low = F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE_ROWS / max(n, 1))) or 1)
     drawn = matrix_of(rows.filter(low).select("id", "v").limit(2 * SAMPLE_ROWS).orderBy("id").toArrow().column("v"), width)
@@ -57,7 +57,7 @@ def choose_pivots(rows: DataFrame, n: int, width: int) -> Pivots:
 
 
 def with_cell(rows: DataFrame, pivots: Pivots, cell: str = "c0") -> DataFrame:
-    """``id, v`` with the number of the nearest pivot, the lowest one on ties."""
+    """``id, v, _by`` with the number of the nearest pivot, the lowest one on ties."""
     shared, width = rows.sparkSession.sparkContext.broadcast(pivots), pivots.places.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def with_cell(rows: DataFrame, pivots: Pivots, cell: str = "c0") -> DataFrame:
                 nearest = shared.value.squares(matrix_of(batch.column("v"), width)).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int64))], [*batch.schema.names, cell])
 
-    return rows.mapInArrow(run, f"id bigint, v array<double>, {cell} bigint")
+    return rows.mapInArrow(run, f"id bigint, v array<double>, _by bigint, {cell} bigint")
 
 
 def near_cells(celled: DataFrame, pivots: Pivots, radius: float, cell: str = "c0") -> np.ndarray:
