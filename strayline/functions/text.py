@@ -11,7 +11,7 @@ def file_extension(path: Column | str) -> Column:
     return F.regexp_extract(path, r"\.\w+$", 0)
 
 
-def hash_unit(*columns: Column | str, seed: int = 0) -> Column:
+def hash_unit(*columns: Column | str, seed: int | Column = 0) -> Column:
     """A number in [0, 1) fixed by the columns and the seed.
 
     Built on MD5, so that any SQL engine reproduces it; NULL counts as the empty
@@ -20,5 +20,5 @@ def hash_unit(*columns: Column | str, seed: int = 0) -> Column:
     """
     named = [F.col(c) if isinstance(c, str) else c for c in columns]
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in named]
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    digest = F.md5(F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *parts))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16**12))

@@ -22,10 +22,17 @@ def _segment(counts: Sequence[int], row: Column) -> Column:
     return chosen
 
 
-def _normal(key: str, seed: int) -> Column:
-    """A normal number hashed from the key (Box-Muller)."""
-    radius = F.sqrt(-2 * F.log(1 - hash_unit(key, seed=2 * seed)))
-    return radius * F.cos(2 * math.pi * hash_unit(key, seed=2 * seed + 1))
+def _normals(key: str, n: int, seed: int) -> Column:
+    """``n`` normal numbers hashed from the key (Box-Muller), as an array.
+
+    One expression for all of them: the code of a plan does not grow with ``n``.
+    """
+
+    def normal(j: Column) -> Column:
+        radius = F.sqrt(-2 * F.log(1 - hash_unit(key, seed=2 * (j + seed))))
+        return radius * F.cos(2 * math.pi * hash_unit(key, seed=2 * (j + seed) + 1))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), normal)
 
 
 def gaussian_clusters(
@@ -43,13 +50,15 @@ def gaussian_clusters(
     stds = stds or [[1.0] * len(names) for _ in counts]
     rows = spark.range(sum(counts)).withColumn("k", _segment(counts, F.col("id")))
 
-    def parameter(values: Sequence[Sequence[float]], j: int) -> Column:
-        return F.get(F.array(*[F.lit(float(v[j])) for v in values]), F.col("k"))
+    def parameter(values: Sequence[Sequence[float]]) -> Column:
+        table = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in values])
+        return F.get(table, F.col("k"))
 
-    columns = [
-        (parameter(means, j) + parameter(stds, j) * _normal("id", seed + j)).alias(name)
-        for j, name in enumerate(names)
-    ]
+    # Worked out once per row: what reads the values cannot repeat their expression.
+    drawn = F.zip_with(parameter(stds), _normals("id", len(names), seed), lambda s, z: s * z)
+    values = F.explode(F.array(F.zip_with(parameter(means), drawn, lambda m, x: m + x)))
+    rows = rows.select("id", "k", values.alias("_values"))
+    columns = [F.get("_values", F.lit(j)).alias(name) for j, name in enumerate(names)]
     return rows.select(*columns, "id", F.col("k").cast("bigint").alias("k"))
 
 
