@@ -13,6 +13,7 @@ from strayline.operators.lloyd import lloyd_steps, sweep_centers
 from strayline.operators.mixture import apply_mixture, grouped_components, mixture_step
 from strayline.operators.newton import cross_validated, fit_logistic, fold_measures, scored
 from strayline.operators.outliers import attach_centers, group_centers
+from strayline.operators.topics import table_topics
 from strayline.operators.clustering import nearest_center
 from strayline.operators.features import standardize
 from strayline.plans import classification
@@ -325,3 +326,33 @@ def shared_sweep(spark, sf_dir):
     rows = cut(parts(spark, sf_dir).select("p_partkey", "scaled_features"))
     found = sweep_centers(rows, "scaled_features", _starts(rows, 3), (2, 3), (3, 6))
     return found.select("k", "max_iter", F.round("silhouette", 6).alias("silhouette"), F.round("cost", 4).alias("cost"))
+
+
+def _topics_sql(k: int, steps: int) -> str:
+    """Shares of words by topic, first by a hash, then by document and word; long tables."""
+    first = f"CAST('0x' || substr(md5(CAST(t AS VARCHAR) || '|' || CAST(doc AS VARCHAR) || '|' || word), 1, 12) AS BIGINT) / 281474976710656.0 + 0.5"
+    text = f"""
+WITH words AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+counts AS MATERIALIZED (SELECT doc, word, count(*) AS n FROM words GROUP BY ALL),
+w0 AS (SELECT doc, word, n, t, {first} AS w FROM counts, (SELECT unnest(range({k})) AS t)),
+s0 AS MATERIALIZED (SELECT doc, word, t, n * w / sum(w) OVER (PARTITION BY doc, word) AS s FROM w0)"""
+    for i in range(1, steps + 1):
+        text += f""",
+x{i} AS MATERIALIZED (SELECT word, t, sum(s) AS s FROM s{i - 1} GROUP BY word, t),
+d{i} AS MATERIALIZED (SELECT doc, t, sum(s) AS s FROM s{i - 1} GROUP BY doc, t),
+t{i} AS (SELECT t, sum(s) + 0.01 * count(*) AS total FROM x{i} GROUP BY t),
+w{i} AS (SELECT c.doc, c.word, n, x.t, (x.s + 0.01) / total * (d.s + 0.1) AS w
+  FROM counts c JOIN x{i} x USING (word) JOIN d{i} d ON d.doc = c.doc AND d.t = x.t JOIN t{i} t ON t.t = x.t),
+s{i} AS MATERIALIZED (SELECT doc, word, t, n * w / sum(w) OVER (PARTITION BY doc, word) AS s FROM w{i})"""
+    return text + f""",
+l AS (SELECT doc, t, sum(s) + 0.1 AS s FROM s{steps} GROUP BY doc, t),
+b AS (SELECT doc, CAST(arg_max(t, s) AS INTEGER) AS topic, round(max(s) / sum(s), 4) AS weight FROM l GROUP BY doc)
+SELECT doc_id, topic, weight FROM documents LEFT JOIN b ON doc_id = doc"""
+
+
+@query("m03_topic_steps", _topics_sql(5, 2))
+def topic_table(spark, sf_dir):
+    """Topics of documents after two steps over tables of words and documents."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = table_topics(documents, "doc_id", "text", k=5, steps=2)
+    return found.select("doc_id", "topic", F.round(F.array_max("topic_weights"), 4).alias("weight"))

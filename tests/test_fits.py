@@ -11,7 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from strayline.operators import generative, lloyd, mixture, moments, newton
+from strayline.operators import generative, lloyd, mixture, moments, newton, topics
 from strayline.operators.features import fit_scaler
 from strayline.operators.outliers import group_centers
 from strayline.plans import classification
@@ -260,3 +260,27 @@ def test_wide_scaler_and_uneven_vectors(spark):
     for job in (lambda: fit_scaler(uneven, "v"), lambda: group_centers(uneven.withColumn("g", F.lit(1)), "g", "v").collect()):
         with pytest.raises(Exception, match="dimensions"):
             job()
+
+
+def test_two_planted_topics_are_told_apart(spark):
+    rng = np.random.default_rng(6)
+    vocabulary = [[f"{c}{i}" for i in range(40)] for c in "ab"]
+    rows = []
+    for i in range(120):
+        own = list(rng.choice(vocabulary[i % 2], 30)) + ["The", "the"] * 5  # a word all texts have
+        rows.append((i, " ".join(rng.permutation(own))))
+    rows += [(200, None), (201, ""), (202, " \t"), (None, "a1 a2")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for hot in (1_000_000, 50):
+        of_doc, of_word = topics.topic_steps(topics.word_counts(df.filter("id IS NOT NULL"), "id", "text"), 2, 12, seed=1, hot_rows=hot)
+        sums = [r.topics for r in of_word.collect()]
+        assert sum(map(sum, sums)) == pytest.approx(120 * 40) and len(sums) == 81
+        found = {r.doc: r.topics for r in of_doc.collect()}
+        assert all(sum(t) == pytest.approx(40) for t in found.values())
+    out = {r.id: r for r in topics.table_topics(df, "id", "text", 2, 12, seed=1).collect()}
+    even = {out[i].topic for i in range(0, 120, 2)}
+    odd = {out[i].topic for i in range(1, 120, 2)}
+    assert len(even) == len(odd) == 1 and even != odd
+    assert all(out[i].topic is None and out[i].topic_weights is None for i in (200, 201, 202, None))
+    assert all(sum(out[i].topic_weights) == pytest.approx(1.0) for i in range(120))
+    assert topics.table_topics(df.limit(0), "id", "text", 2, 2).count() == 0
