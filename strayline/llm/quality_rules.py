@@ -19,16 +19,17 @@ GROWTH = 1.02
 SMALLEST = 1e-4
 #: A group of fewer documents borrows the sketch of its language, then of all.
 LEAST_DOCUMENTS = 100
-#: A value is out of bounds if it is beyond the middle half of its group by so many
-#: times that half's width, and the width counts as so much at least.
-REACH = 6.0
-RATIOS = {
-    "word_length": 0.4,
-    "symbol_share": 0.008,
-    "repeat_share": 0.07,
-    "dup_line_share": 0.08,
-    "capital_share": 0.03,
-    "mark_share": 0.03,
+#: Each ratio's bounds: a high quantile of its group, and as much again beyond it, so many
+#: times, as the quantile is away from the group's median. Where junk may make up a tenth of
+#: a group, a lower quantile is asked, which junk does not reach. The last number is
+#: added lest a value on the quantile's own bucket is out.
+RULES = {
+    "word_length": (0.9, 4.0, 0.01),
+    "symbol_share": (0.9, 4.0, 0.001),
+    "repeat_share": (0.99, 1.5, 0.01),
+    "dup_line_share": (0.99, 1.5, 0.01),
+    "capital_share": (0.99, 1.5, 0.001),
+    "mark_share": (0.99, 1.5, 0.001),
 }
 BOTH_SIDES = ("word_length",)
 _FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"]
@@ -167,12 +168,12 @@ def sketches(measured: DataFrame) -> DataFrame:
     )
 
 
-def _quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, n, low, high``: documents, lower and upper quartile of each sketch."""
+def quantiles(merged: DataFrame, keys: list[str], shares: dict[str, Column]) -> DataFrame:
+    """``keys, n`` and a value per share: the sketch's smallest bucket up to which that share lies."""
     pairs = F.sort_array(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-(1 << 30))).alias("b"), F.col("n"))))
     one = merged.groupBy(*keys).agg(pairs.alias("pairs"), F.sum("n").alias("n"))
 
-    def at(share: float) -> Column:
+    def at(share: Column) -> Column:
         found = F.aggregate(
             "pairs",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("b")),
@@ -184,17 +185,26 @@ def _quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
         middle = F.pow(F.lit(GROWTH), found) * (2 / (1 + GROWTH))
         return F.when(found == -(1 << 30), 0.0).otherwise(middle)
 
-    return one.select(*keys, "n", at(0.25).alias("low"), at(0.75).alias("high"))
+    return one.select(*keys, "n", *[at(share).alias(name) for name, share in shares.items()])
 
 
-def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS, reach: float = REACH) -> DataFrame:
+def _of_rule(place: int) -> Column:
+    """A number of the rule that the row's ratio has."""
+    chosen = F.lit(None).cast("double")
+    for name, rule in RULES.items():
+        chosen = F.when(F.col("ratio") == name, F.lit(rule[place])).otherwise(chosen)
+    return chosen
+
+
+def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """``_language, _source`` and ``<ratio>_low, <ratio>_high`` for every group there is."""
     merge = lambda keys: sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-    own = _quartiles(sketch, ["_language", "_source", "ratio"])
-    of_language = _quartiles(merge(["_language", "ratio"]), ["_language", "ratio"]).select(
-        F.col("_language").alias("_l"), F.col("ratio").alias("_lr"), F.struct("n", "low", "high").alias("wide")
+    shares = {"low": 1 - _of_rule(0), "middle": F.lit(0.5), "high": _of_rule(0)}
+    own = quantiles(sketch, ["_language", "_source", "ratio"], shares)
+    of_language = quantiles(merge(["_language", "ratio"]), ["_language", "ratio"], shares).select(
+        F.col("_language").alias("_l"), F.col("ratio").alias("_lr"), F.struct("n", *shares).alias("wide")
     )
-    of_all = _quartiles(merge(["ratio"]), ["ratio"]).select(F.col("ratio").alias("_ar"), F.struct("low", "high").alias("widest"))
+    of_all = quantiles(merge(["ratio"]), ["ratio"], shares).select(F.col("ratio").alias("_ar"), F.struct(*shares).alias("widest"))
     joined = own.join(
         of_language, own["_language"].eqNullSafe(F.col("_l")) & (own["ratio"] == F.col("_lr"))
     ).join(F.broadcast(of_all), F.col("ratio") == F.col("_ar"))  # a row per ratio
@@ -206,14 +216,21 @@ def thresholds(sketch: DataFrame, least: int = LEAST_DOCUMENTS, reach: float = R
             .otherwise(F.col(f"widest.{side}"))
         )
 
-    bounded = joined.select("_language", "_source", "ratio", pick("low").alias("low"), pick("high").alias("high"))
+    picked = joined.select("_language", "_source", "ratio", *[pick(c).alias(c) for c in shares])
+    reach, step = _of_rule(1), _of_rule(2)
+    bounded = picked.select(
+        "_language",
+        "_source",
+        "ratio",
+        (F.col("low") - reach * (F.col("middle") - F.col("low")) - step).alias("low"),
+        (F.col("high") + reach * (F.col("high") - F.col("middle")) + step).alias("high"),
+    )
     columns = []
-    for name, least_width in RATIOS.items():
-        width = F.greatest(F.col("high") - F.col("low"), F.lit(least_width))
+    for name in RULES:
         here = F.col("ratio") == name
-        columns.append(F.max(F.when(here, F.col("high") + reach * width)).alias(f"{name}_high"))
+        columns.append(F.max(F.when(here, F.col("high"))).alias(f"{name}_high"))
         if name in BOTH_SIDES:
-            columns.append(F.max(F.when(here, F.col("low") - reach * width)).alias(f"{name}_low"))
+            columns.append(F.max(F.when(here, F.col("low"))).alias(f"{name}_low"))
     return bounded.groupBy("_language", "_source").agg(*columns)
 
 
@@ -223,12 +240,13 @@ def judged(
     """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, broken``.
 
     A document is dropped if it fails the fixed base rules, or if one of its
-    ratios lies far outside the middle half of its language and source
-    (``broken`` names the ratios). Quartiles come from sketches of all documents
-    that pass the base rules; a small group borrows those of its language, then of
-    all. Texts are read once; what is sketched and joined are ten numbers a row. A
-    NULL text is empty and fails, a NULL language or source is a group of its own,
-    repeated rows are judged alike, other columns are ignored.
+    ratios lies far beyond a high quantile of its language and source
+    (``broken`` names the ratios, ``RULES`` the quantiles). They come from sketches of all
+    documents that pass the base rules; a small group borrows those of its language, then
+    of all. Texts are read once, however long; what is sketched and joined are ten numbers
+    a row. A NULL text is empty and fails, a NULL language or source is a group of its own,
+    repeated rows are judged alike, an empty table gives an empty one, and other columns
+    are ignored whatever their names.
     """
     measured = cut(features(docs, id_col, text, language, source))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -241,7 +259,7 @@ def judged(
             | ((F.col(name) < F.col(f"{name}_low")) if name in BOTH_SIDES else F.lit(False)),
             F.lit(name),
         )
-        for name in RATIOS
+        for name in RULES
     ]
     return rows.join(bounds, same, "left").select(
         F.col("_id").alias(id_col),

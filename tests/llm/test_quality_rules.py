@@ -1,11 +1,13 @@
 """Counted features against plain Python, sketches against exact quantiles."""
 
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strayline.llm import quality_rules as qr
 from strayline.llm import tokens
@@ -88,7 +90,75 @@ def test_quartiles_of_sketches(spark):
     names = "word_chars n_words n_symbols n_dup_lines n_repeat_words n_lines n_capitals n_marks".split()
     df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names) + ", _language string, _source string")
     merged = qr.sketches(df.repartition(5))
-    found = {r._language: r for r in qr._quartiles(merged.filter("ratio = 'word_length'"), ["_language", "ratio"]).collect()}
+    shares = {"low": F.lit(0.25), "high": F.lit(0.99)}
+    found = {r._language: r for r in qr.quantiles(merged.filter("ratio = 'word_length'"), ["_language", "ratio"], shares).collect()}
     for i, name in enumerate("ab"):
-        low, high = np.quantile(values[i::2] / 1000, [0.25, 0.75], method="inverted_cdf")
+        low, high = np.quantile(values[i::2] / 1000, [0.25, 0.99], method="inverted_cdf")
         assert abs(found[name].low / low - 1) < 0.011 and abs(found[name].high / high - 1) < 0.011
+
+
+def bucketed(value):
+    return math.ceil(math.log(value) / math.log(qr.GROWTH)) if value >= qr.SMALLEST else None
+
+
+def fences(values, rule):
+    """Bounds from a group's values by the rule's quantiles, each value known by its bucket."""
+    q, reach, step = rule
+    ordered = sorted(values, key=lambda v: -(10**9) if bucketed(v) is None else bucketed(v))
+
+    def at(share):
+        b = bucketed(ordered[max(0, math.ceil(round(share * len(ordered), 9)) - 1)])
+        return 0.0 if b is None else qr.GROWTH**b * 2 / (1 + qr.GROWTH)
+
+    low, middle, high = at(1 - q), at(0.5), at(q)
+    return low - reach * (middle - low) - step, high + reach * (high - middle) + step
+
+
+def test_verdicts_by_hand(spark, monkeypatch):
+    """Which ratios each document breaks, from plain counts and plain quantiles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    own = {r.doc_id: {k: int(v[0]) for k, v in qr.measure(pa.array([r.text], pa.string())).items()} for r in docs}
+    part = lambda m, a, b: m[a] / m[b] if m[b] else 0.0
+    names = {
+        "word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "repeat_share": ("n_repeat_words", "n_words"),
+        "dup_line_share": ("n_dup_lines", "n_lines"), "capital_share": ("n_capitals", "word_chars"), "mark_share": ("n_marks", "word_chars"),
+    }
+    ratios = {i: {k: part(m, *ab) for k, ab in names.items()} for i, m in own.items()}
+    passed = [r for r in docs if own[r.doc_id]["n_words"] >= 50 and 2 * own[r.doc_id]["n_repeat_words"] <= own[r.doc_id]["n_words"]]
+    got = {r.doc_id: r.broken for r in qr.judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    broken = Counter()
+    for r in passed:
+        for k in names:
+            group = [p for p in passed if (p.lang, p.source) == (r.lang, r.source)]
+            if len(group) < qr.LEAST_DOCUMENTS:
+                group = [p for p in passed if p.lang == r.lang]
+            if len(group) < qr.LEAST_DOCUMENTS:
+                group = passed
+            low, high = _cached(fences, k, tuple(p.doc_id for p in group), ratios)
+            value = ratios[r.doc_id][k]
+            out = value > high or k == "word_length" and value < low
+            assert out == (k in got[r.doc_id].split(",")), (r.doc_id, k, value, low, high)
+            broken[k] += out
+    print(broken)
+    assert broken["symbol_share"] > 20 and sum(broken.values()) < 0.2 * len(passed)
+
+
+_HELD = {}
+
+
+def _cached(function, k, ids, ratios):
+    if (k, ids) not in _HELD:
+        _HELD[k, ids] = function([ratios[i][k] for i in ids], qr.RULES[k])
+    return _HELD[k, ids]
+
+
+def test_thresholds_follow_their_group(spark):
+    """The same text is junk among clean ones and common among its like."""
+    clean = " ".join(f"word{i}" for i in range(90)) + " "
+    marked = clean.replace(" ", " # ")
+    rows = [(i, clean + f"x{i}", "en", "a") for i in range(200)] + [(900, marked, "en", "a")]
+    rows += [(1000 + i, marked + f"x{i}", "en", "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in qr.judged(df).collect()}
+    assert all(found[i].broken == "" for i in [*range(200), *range(1000, 1200)])
+    assert "symbol_share" in found[900].broken
