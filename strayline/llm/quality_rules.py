@@ -22,7 +22,7 @@ LEAST_DOCUMENTS = 100
 #: Each ratio's bounds: a high quantile of its group, and as much again beyond it, so many
 #: times, as the quantile is away from the group's median. Where junk may make up a tenth of
 #: a group, a lower quantile is asked, which junk does not reach. The last number is
-#: added lest a value on the quantile's own bucket is out.
+#: added where all of a group is alike.
 RULES = {
     "word_length": (0.9, 4.0, 0.01),
     "symbol_share": (0.9, 4.0, 0.001),
@@ -169,11 +169,15 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(merged: DataFrame, keys: list[str], shares: dict[str, Column]) -> DataFrame:
-    """``keys, n`` and a value per share: the sketch's smallest bucket up to which that share lies."""
+    """``keys, n`` and a value per share: an edge of the smallest bucket up to which that share lies.
+
+    It is the lower edge for ``low``, the middle for ``middle`` and the upper edge for any
+    other, so that no value of that bucket is beyond it.
+    """
     pairs = F.sort_array(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-(1 << 30))).alias("b"), F.col("n"))))
     one = merged.groupBy(*keys).agg(pairs.alias("pairs"), F.sum("n").alias("n"))
 
-    def at(share: Column) -> Column:
+    def at(name: str, share: Column) -> Column:
         found = F.aggregate(
             "pairs",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("b")),
@@ -182,10 +186,11 @@ def quantiles(merged: DataFrame, keys: list[str], shares: dict[str, Column]) ->
                 F.when(acc["b"].isNotNull(), acc["b"]).when(acc["seen"] + x["n"] >= share * F.col("n"), x["b"]).alias("b"),
             ),
         )["b"]
-        middle = F.pow(F.lit(GROWTH), found) * (2 / (1 + GROWTH))
-        return F.when(found == -(1 << 30), 0.0).otherwise(middle)
+        edge = F.pow(F.lit(GROWTH), found) * {"low": 1 / GROWTH, "middle": 2 / (1 + GROWTH)}.get(name, 1.0)
+        least = 0.0 if name in ("low", "middle") else SMALLEST
+        return F.when(found == -(1 << 30), least).otherwise(edge)
 
-    return one.select(*keys, "n", *[at(share).alias(name) for name, share in shares.items()])
+    return one.select(*keys, "n", *[at(name, share).alias(name) for name, share in shares.items()])
 
 
 def _of_rule(place: int) -> Column:

@@ -103,7 +103,7 @@ candidates AS (
   FROM right_size WINDOW w AS (PARTITION BY r ORDER BY b, kind)
   QUALIFY kind < 3 OR apart),
 owned AS (
-  SELECT s, count(DISTINCT source) <= {secrets.MOST_OWNERS} AND count(DISTINCT (source, doc_id)) <= {secrets.MOST_REPOSITORIES} AS live
+  SELECT s, count(DISTINCT source) <= {secrets.MOST_OWNERS} AS live
   FROM candidates GROUP BY s),
 spans AS (
   SELECT r, kind, b, live, [{names}][kind + 1] || ':' || b || ':' || e AS span FROM candidates JOIN owned USING (s) WHERE kind < 3 OR live),

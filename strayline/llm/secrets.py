@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strayline.lineage import cut
 from strayline.llm.rows import whole_text
+from strayline.operators.skew import salted_join
 
 #: kind, pattern, group of the secret itself, shortest secret. The order is the
 #: order of kinds at one place; the last kind is the one ownership decides on.
@@ -24,8 +25,8 @@ KINDS = (
 #: What lets the scan of a kind skip a text: it has no match that is long enough.
 MAY_HOLD = {"hex": r"[0-9a-f]{32}", "access": r"AKIA[A-Z0-9]{12}"}
 BASE = 3
+#: A secret that more owners hold is a widely copied example.
 MOST_OWNERS = 2
-MOST_REPOSITORIES = 5
 
 
 def _found(text: Column, number: int) -> Column:
@@ -80,9 +81,8 @@ def secret_spans(
     id_col: str = "doc_id",
     text: str = "text",
     owner: str = "source",
-    repository: str = "doc_id",
+    repository: str | None = None,
     most_owners: int = MOST_OWNERS,
-    most_repositories: int = MOST_REPOSITORIES,
 ) -> tuple[DataFrame, DataFrame]:
     """All rows as ``_row, <id>`` and all spans as ``_row, kind, start, end, live``.
 
@@ -99,7 +99,7 @@ def secret_spans(
             F.monotonically_increasing_id().alias("_row"),
             F.col(id_col),
             F.col(owner).cast("string").alias("_owner"),
-            F.col(repository).cast("string").alias("_repository"),
+            (F.sha2(whole, 256) if repository is None else F.col(repository).cast("string")).alias("_repository"),
             F.concat(*[_found(whole, k) for k in range(len(KINDS))]).alias("_found"),
         )
     )
@@ -128,10 +128,9 @@ def secret_spans(
         .select("_row", "kind", "start", "end", "print", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"))
     )
     owned = ownership(candidates)
-    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
     spans = (
-        candidates.join(owned, "print")
-        .withColumn("live", live)
+        salted_join(candidates, owned, ["print"], ["_row"])
+        .withColumn("live", F.col("owners") <= most_owners)
         .filter(base | F.col("live"))
         .select("_row", "kind", "start", "end", "live")
     )

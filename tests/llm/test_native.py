@@ -192,3 +192,18 @@ def test_ownership_of_secrets(spark):
     assert found[100].spans == "opaque:2:26" and found[100].n_live == 1
     assert all(found[i].spans == "" for i in range(12))
     assert found[103].n_copied == 1 and found[103].n_live == 2
+
+
+def test_an_owner_may_hold_a_secret_in_many_documents(spark):
+    own, spread = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "Mm1Nn2Bb3Vv4Cc5Xx6Zz7Ll8"
+    rows = [(i, f"file {i} has {own}", "s1") for i in range(9)]  # nine different texts of one owner
+    rows += [(20 + i, f"the same text with {spread}", "s2") for i in range(9)]  # nine copies of one text
+    rows += [(40 + i, f"file {i} again {own}", "s3") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.scan_documents(df).collect()
+    assert all(r.spans.startswith("opaque:") and r.n_live == 1 for r in found)
+    more = df.union(spark.createDataFrame([(60, f"third owner {own}", "s4")], df.schema))
+    gone = {r.doc_id: r.spans for r in secrets.scan_documents(more).collect()}
+    assert not any(gone[i] for i in (*range(9), 40, 60)) and all(gone[20 + i] for i in range(9))
+    owned = secrets.ownership(df.selectExpr("left(text, 4) AS print", "source AS owner", "sha2(text, 256) AS repository")).collect()
+    assert {r.print: (r.owners, r.repositories) for r in owned} == {"file": (2, 11), "the ": (1, 1)}

@@ -94,7 +94,7 @@ def test_quartiles_of_sketches(spark):
     found = {r._language: r for r in qr.quantiles(merged.filter("ratio = 'word_length'"), ["_language", "ratio"], shares).collect()}
     for i, name in enumerate("ab"):
         low, high = np.quantile(values[i::2] / 1000, [0.25, 0.99], method="inverted_cdf")
-        assert abs(found[name].low / low - 1) < 0.011 and abs(found[name].high / high - 1) < 0.011
+        assert 0.98 <= found[name].low / low <= 1.0 + 1e-9 and 1.0 - 1e-9 <= found[name].high / high <= 1.02
 
 
 def bucketed(value):
@@ -106,11 +106,11 @@ def fences(values, rule):
     q, reach, step = rule
     ordered = sorted(values, key=lambda v: -(10**9) if bucketed(v) is None else bucketed(v))
 
-    def at(share):
+    def at(share, edge, least=0.0):
         b = bucketed(ordered[max(0, math.ceil(round(share * len(ordered), 9)) - 1)])
-        return 0.0 if b is None else qr.GROWTH**b * 2 / (1 + qr.GROWTH)
+        return least if b is None else qr.GROWTH**b * edge
 
-    low, middle, high = at(1 - q), at(0.5), at(q)
+    low, middle, high = at(1 - q, 1 / qr.GROWTH), at(0.5, 2 / (1 + qr.GROWTH)), at(q, 1.0, qr.SMALLEST)
     return low - reach * (middle - low) - step, high + reach * (high - middle) + step
 
 
