@@ -8,6 +8,7 @@ task ever holds all occurrences or all counts of anything.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +23,15 @@ from strayline.llm.tokens import mix, slices, sums_by, words
 
 BATCH_BYTES = 6 << 20
 SHARD_BYTES = 16 << 20
-MOST_SHARDS = 1 << 15
+#: With more shards, asks go by way of ranges of shards: batches times shards would grow
+#: with the square of the corpus.
+DIRECT_SHARDS = 512
 #: The token that ends a text and is the context of its first word.
 END = np.uint64(0x5851F42D4C957F2D)
 #: One training document in so many is held out when the mixture weights are learned.
 HELD_OUT_FOLDS = 8
-BUCKETS = 40
+#: Twice as many as a count has binary digits: no bucket is open to the top.
+BUCKETS = 128
 STEP = 2.0  # cells of the held-out table per halving of a probability
 ROUNDS = 200
 
@@ -113,7 +117,7 @@ def _asks(narrow: DataFrame, shards: int) -> DataFrame:
             rows = []
             for order, keys in enumerate(keys_of(token, before)):
                 own, counts = different(keys, learned)
-                bounds = np.searchsorted(own, [(i << 63) // shards for i in range(shards)]).tolist() + [len(own)]
+                bounds = _cut_up(own, shards)
                 for i in range(shards):
                     a, b = bounds[i], bounds[i + 1]
                     if a < b:
@@ -165,6 +169,73 @@ def _answers(asks: DataFrame, shards: int) -> DataFrame:
     return asks.groupBy("shard").applyInArrow(run, schema)
 
 
+def _cut_up(keys: np.ndarray, shards: int) -> list[int]:
+    """Where each of ``shards`` equal ranges of names begins in sorted keys, and the end."""
+    return np.searchsorted(keys, np.array([(i << 63) // shards for i in range(shards)], np.uint64)).tolist() + [len(keys)]
+
+
+def _by_way_of_ranges(asks: DataFrame, ranges: int, shards: int, blocks: int) -> DataFrame:
+    """``batch, shard, n, mark, totals`` as ``_answers`` gives, where asks name ranges of shards.
+
+    ``ranges`` times ``ranges`` are the shards of each order. Batches are gathered into blocks,
+    about as many to a block as there are ranges, so that the asks of a block to
+    one range are about as much as one batch. They are merged, and only the merged keys go
+    on to the range's shards, which never see a batch. The answers to a block are then
+    given out among its batches, by places in the merged keys. So rows are as many as
+    batches times ranges, and no group grows with the corpus.
+    """
+    block = F.pmod(F.xxhash64("batch"), F.lit(blocks)).alias("block")
+    named = asks.select(block, F.col("shard").alias("range"), "batch", "n", "keys", "counts")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["block", "range", "shard", "batch", "n", "mark", "keys", "counts"]
+
+    def merge(table: pa.Table) -> pa.Table:
+        own_block, own_range = table.column("block")[0].as_py(), table.column("range")[0].as_py()
+        sizes = table.column("n").to_pylist()
+        keys = [np.cumsum(unpack_numbers(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), sizes)]
+        counts = np.concatenate([unpack_numbers(c.as_py(), n) for c, n in zip(table.column("counts"), sizes)]).astype(np.int64)
+        merged, back = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(back, weights=counts, minlength=len(merged)).astype(np.int64)
+        order, low = divmod(own_range, ranges)
+        edges = [((low * ranges + i) << 63) // shards for i in range(ranges)]
+        cuts = np.searchsorted(merged, np.array(edges, np.uint64)).tolist() + [len(merged)]
+        cuts[0] = 0
+        rows = []
+        for i in range(ranges):
+            a, b = cuts[i], cuts[i + 1]
+            if a < b:
+                rows.append((own_block, own_range, order * shards + low * ranges + i, None, b - a, None,
+                             pack_numbers(np.diff(merged[a:b], prepend=np.uint64(0))), pack_numbers(sums[a:b])))
+        at = np.cumsum([0, *sizes])
+        for i, (batch, n) in enumerate(zip(table.column("batch").to_pylist(), sizes)):
+            mark = int(keys[i].sum(dtype=np.uint64).astype(np.int64))
+            rows.append((own_block, own_range, None, batch, n, mark, pack_numbers(np.diff(back[at[i] : at[i + 1]], prepend=0)), None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    schema = "block long, range int, shard int, batch long, n long, mark long, keys binary, counts binary"
+    merged = cut(named.groupBy("block", "range").applyInArrow(merge, schema))
+    upper = merged.filter("shard IS NOT NULL").select(F.col("block").alias("batch"), "shard", "n", "keys", "counts")
+    told = cut(_answers(upper, shards))
+
+    def spread(asked: pa.Table, told: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(told.column("shard")))
+        parts = [unpack_numbers(told.column("totals")[int(i)].as_py(), told.column("n")[int(i)].as_py()) for i in order]
+        totals = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        rows = []
+        for batch, range_, n, mark, places in zip(*(asked.column(c).to_pylist() for c in ("batch", "range", "n", "mark", "keys"))):
+            at = np.cumsum(unpack_numbers(places, n), dtype=np.uint64).view(np.int64)
+            rows.append((batch, range_, n, mark, pack_numbers(totals[at])))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["batch", "shard", "n", "mark", "totals"])
+
+    asked = merged.filter("shard IS NULL").select("block", "range", "batch", "n", "mark", "keys")
+    to_range = (F.floor(F.col("shard") / shards) * ranges + F.floor(F.col("shard") % shards / ranges)).cast("int").alias("range")
+    replies = told.filter("batch >= 0").select(F.col("batch").alias("block"), to_range, "shard", "n", "totals")
+    keys = ["block", "range"]
+    given = asked.groupBy(*keys).cogroup(replies.groupBy(*keys)).applyInArrow(spread, "batch long, shard int, n long, mark long, totals binary")
+    return given.unionByName(told.filter("batch < 0"))
+
+
 class Batch:
     """Tokens of one batch with the corpus counts of each."""
 
@@ -204,7 +275,7 @@ class Batch:
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
     """The frequency bucket of a context: twice per doubling of its count."""
-    return np.minimum(np.ceil(2 * np.log2(context + 1.0)), BUCKETS - 1).astype(np.int64)
+    return np.ceil(2 * np.log2(context + 1.0)).astype(np.int64)
 
 
 def parts_of(pair, context, word, total: int, types: int) -> np.ndarray:
@@ -293,12 +364,19 @@ def score_documents(
     kind = dict(docs.dtypes)[id_col]
     narrow = _narrow(docs, id_col, text, scored_only(id_col) if held_out is None else held_out)
     size = narrow.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    shards = int(min(MOST_SHARDS, max(8, -(-size // SHARD_BYTES))))
-    answers = cut(_answers(_asks(narrow, shards), shards))
+    shards = int(max(8, -(-size // SHARD_BYTES)))
+    counted = shards  # shards of either order that the counts are kept in
+    if shards <= DIRECT_SHARDS:
+        answers = cut(_answers(_asks(narrow, shards), shards))
+    else:
+        shards = math.isqrt(shards - 1) + 1  # what batches ask is a range of so many shards
+        counted = shards * shards
+        blocks = max(1, int(size // (BATCH_BYTES * shards)))
+        answers = cut(_by_way_of_ranges(_asks(narrow, shards), shards, counted, blocks))
     stats = {
         r["words"]: (r["types"], r["total"])
         for r in answers.filter("batch = -1")
-        .groupBy((F.col("shard") < shards).alias("words"))
+        .groupBy((F.col("shard") < counted).alias("words"))
         .agg(F.sum("n").alias("types"), F.sum("mark").alias("total"))
         .collect()
     }

@@ -30,7 +30,7 @@ def by_hand(rows):
             own, pairs = Counter(t), Counter(zip([None, *t], t))
             for u, w in zip([None, *t], t):
                 c = word[u] - own[u]
-                b = min(math.ceil(2 * math.log2(c + 1)), lm.BUCKETS - 1)
+                b = math.ceil(2 * math.log2(c + 1))
                 cells.append((b, 1, (pair[u, w] - pairs[u, w]) / c if c else 0, (word[w] - own[w]) / (total - len(t)), 1 / (types + 1)))
     weights = lm.learn_weights(cells)
     out = []
@@ -38,7 +38,7 @@ def by_hand(rows):
         score = base = 0.0
         for u, w in zip([None, *t], t):
             c = word[u]
-            l = weights[min(math.ceil(2 * math.log2(c + 1)), lm.BUCKETS - 1)]
+            l = weights[math.ceil(2 * math.log2(c + 1))]
             score += math.log10(l[0] * (pair[u, w] / c if c else 0) + l[1] * word[w] / max(total, 1) + l[2] / (types + 1))
             base += math.log10((word[w] + 1) / (total + types + 1))
         out.append((rows[i].doc_id, fold[i] % 7 == 2, len(t), sum(word[w] > 0 for w in t), total, base, score))
@@ -49,9 +49,13 @@ def order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[5]))
 
 
-@pytest.mark.parametrize("table", ["docs", "odd_docs", "no_docs"])
-def test_scores(spark, request, table, monkeypatch):
+@pytest.mark.parametrize("table, direct", [("docs", 512), ("docs", 2), ("odd_docs", 512), ("odd_docs", 2), ("no_docs", 512), ("no_docs", 2)])
+def test_scores(spark, request, table, direct, monkeypatch):
+    """The same scores whether batches ask shards or ranges of shards."""
     monkeypatch.setattr(lm, "BATCH_BYTES", 60_000)
+    monkeypatch.setattr(lm, "DIRECT_SHARDS", direct)
+    if direct == 2:
+        monkeypatch.setattr(lm, "SHARD_BYTES", 20_000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3, "doc_id") if table == "docs" else request.getfixturevalue(table)
     rows = docs.collect()
     got, want = order([tuple(r) for r in lm.score_documents(docs).collect()]), order(by_hand(rows))
@@ -77,3 +81,8 @@ def test_weights_find_the_mixture():
 def test_numbers_round_trip():
     x = np.random.default_rng(0).integers(0, 2**63, 999).astype(np.uint64)
     assert (lm.unpack_numbers(lm.pack_numbers(x), len(x)) == x).all()
+
+
+def test_no_bucket_is_open_to_the_top():
+    counts = np.array([0, 1, 740_000, 10**9, 2**62])
+    assert lm.bucket_of(counts).tolist() == [0, 2, 39, 60, 124] and lm.bucket_of(counts).max() < lm.BUCKETS
