@@ -240,16 +240,12 @@ def loop(spark, sf_dir):
     return _long(propagate(transition_matrix(edges_of(spark, sf_dir)), scores, CLASSES, max_iters=4))
 
 
-_RESULT_SQL = """
-SELECT id AS vec_id, new_label, round(s[1], 6) AS p0, round(s[10], 6) AS p9 FROM best"""
+_RESULT_SQL = "SELECT id AS vec_id, new_label, " + ", ".join(f"round(s[{c + 1}], 6) AS p{c}" for c in range(CLASSES)) + " FROM best"
 
 
 def _result(filled):
     return filled.select(
-        "vec_id",
-        "new_label",
-        F.round(F.get("probabilities", F.lit(0)), 6).alias("p0"),
-        F.round(F.get("probabilities", F.lit(9)), 6).alias("p9"),
+        "vec_id", "new_label", *[F.round(F.get("probabilities", F.lit(c)), 6).alias(f"p{c}") for c in range(CLASSES)]
     )
 
 
@@ -298,7 +294,7 @@ y0 AS MATERIALIZED (SELECT id, label, c, CASE WHEN label IS NULL THEN 0.5 WHEN l
 @query(
     "m15_label_propagation_grid",
     f"WITH {_PART_LP_SQL} {steps_sql(6)} {BEST_SQL.format('y6')} "
-    "SELECT id AS p_partkey, p_type AS new_label, round(s[1], 6) AS p0 FROM best JOIN names ON c = best.new_label",
+    "SELECT id AS p_partkey, p_type AS new_label, unnest(list_transform(s, lambda x: round(x, 6))) AS p, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS class FROM best JOIN names ON c = best.new_label",
 )
 def propagated_parts(spark, sf_dir):
     """Part types as text labels, one part in five known."""
@@ -308,14 +304,14 @@ def propagated_parts(spark, sf_dir):
         part.withColumn("label", label), "p_partkey", "label", ["p_size", "p_retailprice"],
         sigma=0.05, tol=0.01, max_iters=6,
     )
-    return filled.select(
-        "p_partkey", "new_label", F.round(F.get("probabilities", F.lit(0)), 6).alias("p0")
-    )
+    long = filled.select("p_partkey", "new_label", F.posexplode("probabilities").alias("class", "p"))
+    return long.withColumn("p", F.round("p", 6))
 
 
 @query(
     "j05_rows_with_scores",
-    """SELECT doc_id, CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s0
+    """SELECT doc_id, quality IS NOT NULL AS is_clamped, CASE WHEN quality IS NULL THEN NULL WHEN quality = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS s0,
+              CASE WHEN quality IS NULL THEN NULL WHEN quality = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS s1
        FROM documents LEFT JOIN labels USING (doc_id)""",
 )
 def rows_with_scores(spark, sf_dir):
@@ -323,7 +319,8 @@ def rows_with_scores(spark, sf_dir):
     scores = label_matrix(table(spark, sf_dir, "labels"), "doc_id", "quality", 2)
     documents = table(spark, sf_dir, "documents", "doc_id")
     joined = documents.join(scores.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return joined.select("doc_id", F.get("scores", F.lit(0)).alias("s0"))
+    known = F.coalesce("is_clamped", F.lit(False)).alias("is_clamped")
+    return joined.select("doc_id", known, *[F.get("scores", F.lit(c)).alias(f"s{c}") for c in (0, 1)])
 
 
 @query(

@@ -56,7 +56,7 @@ def csv_missing_values(spark, sf_dir):
 @query(
     "s03_read_by_extension",
     """SELECT kind, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS keys, round(sum(s_acctbal), 2) AS balance
-       FROM supplier, (VALUES ('csv'), ('json'), ('parquet')) AS kinds(kind) GROUP BY kind""",
+       FROM supplier, (VALUES ('csv'), ('json'), ('parquet'), ('txt')) AS kinds(kind) GROUP BY kind""",
 )
 def read_by_extension(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier")
@@ -73,6 +73,14 @@ def read_by_extension(spark, sf_dir):
                 F.col("s_acctbal").cast("double").alias("b"),
             )
         )
+    path = f"{scratch_path(spark, 'supplier')}.txt"
+    supplier.select(F.concat_ws("|", "s_suppkey", "s_acctbal").alias("value")).write.text(path)
+    fields = F.split("value", r"\|")
+    parts.append(
+        readers.read_any(spark, path).select(
+            F.lit("txt").alias("kind"), F.get(fields, F.lit(0)).cast("bigint").alias("k"), F.get(fields, F.lit(1)).cast("double").alias("b")
+        )
+    )
     return (
         reduce(lambda a, b: a.unionByName(b), parts)
         .groupBy("kind")
@@ -84,12 +92,16 @@ def read_by_extension(spark, sf_dir):
     )
 
 
-@query("s04_json_scan", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query(
+    "s04_json_scan",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders",
+)
 def json_scan(spark, sf_dir):
+    """Every column; the date as text, as JSON has it."""
     path = scratch_path(spark, "orders")
-    kept = table(spark, sf_dir, "orders").drop("o_orderdate")
-    kept.write.json(path)
-    return readers.read_json(spark, path, kept.schema)
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    orders.write.json(path)
+    return readers.read_json(spark, path, orders.schema).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
 
 
 @query(
@@ -115,17 +127,17 @@ def parquet_scan(spark, sf_dir):
     )
 
 
-_PIXEL = "CAST(floor(128 + 100 * CAST(embedding[{}] AS DOUBLE)) AS BIGINT)"
-
-
 @query(
     "s07_wide_pixel_csv",
-    f"""SELECT label, count(*) AS n, CAST(sum({_PIXEL.format(1)}) AS BIGINT) AS first_pixel,
-               CAST(sum({_PIXEL.format(16)}) AS BIGINT) AS last_pixel
-        FROM (SELECT CASE WHEN vec_id % 5 = 0 THEN -1 ELSE label END AS label, embedding FROM embeddings)
-        GROUP BY label""",
+    """WITH p AS (SELECT CASE WHEN vec_id % 5 = 0 THEN -1 ELSE label END AS label,
+                list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(128 + 100 * x) AS BIGINT)) AS e FROM embeddings),
+       u AS (SELECT label, unnest(e) AS pixel, generate_subscripts(e, 1) - 1 AS i FROM p),
+       g AS (SELECT label, i, count(*) AS n, sum(pixel) AS total FROM u GROUP BY label, i)
+       SELECT label, CAST(place AS INTEGER) AS place, n, CAST(total AS BIGINT) AS total
+       FROM g JOIN (SELECT unnest(range(784)) AS place) ON place % 64 = i""",
 )
 def wide_pixel_csv(spark, sf_dir):
+    """All 784 pixels of both files, summed by label; the test file has none."""
     path = scratch_path(spark, "pixels")
     embeddings = table(spark, sf_dir, "embeddings")
     pixels = [
@@ -134,15 +146,12 @@ def wide_pixel_csv(spark, sf_dir):
     writers.write_csv(embeddings.filter("vec_id % 5 != 0").selectExpr("label", *pixels), f"{path}/train.csv")
     writers.write_csv(embeddings.filter("vec_id % 5 = 0").selectExpr(*pixels), f"{path}/test.csv")
     train, test = readers.read_pixels(spark, path)
+    each = F.array(*[F.col(f"pixel{i}") for i in range(784)])
     return (
-        train.select("label", "pixel0", "pixel783")
-        .unionByName(test.select(F.lit(-1).alias("label"), "pixel0", "pixel783"))
-        .groupBy("label")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("pixel0").alias("first_pixel"),
-            F.sum("pixel783").alias("last_pixel"),
-        )
+        train.select("label", F.posexplode(each).alias("place", "pixel"))
+        .unionByName(test.select(F.lit(-1).alias("label"), F.posexplode(each).alias("place", "pixel")))
+        .groupBy("label", "place")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("pixel").alias("total"))
     )
 
 
@@ -155,12 +164,12 @@ def csv_sink(spark, sf_dir):
     return readers.read_csv(spark, path, kept.schema)
 
 
-@query("s10_parquet_sink", "SELECT event_id, user_id, event_type, value FROM events")
+@query("s10_parquet_sink", "SELECT * REPLACE (epoch_us(ts) AS ts) FROM events")
 def parquet_sink(spark, sf_dir):
+    """Every column; the time in microseconds since 1970."""
     path = scratch_path(spark, "events")
-    kept = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
-    writers.write_parquet(kept, path)
-    return readers.read_parquet(spark, path)
+    writers.write_parquet(table(spark, sf_dir, "events"), path)
+    return readers.read_parquet(spark, path).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 @query(
