@@ -59,3 +59,45 @@ def test_held_out_accuracy(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in odd if r.doc_id in (1, 2, 3, 8)} == {"und"}
     assert language.identify(no_docs, language.learn(no_docs)).count() == 0
     assert {r.lang_pred for r in language.identify(docs, language.learn(no_docs)).collect()} == {"und"}
+
+
+def test_predictions_by_hand(spark, monkeypatch):
+    """Counts, filter, popcounts and verdicts again in plain Python, on few documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    given = docs.collect()
+    counts, total = {}, Counter()
+    for r in given:
+        if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for gram in by_hand(r.text):
+                counts.setdefault(r.lang, Counter())[gram] += 1
+                total[r.lang] += 1
+    names = sorted(counts)
+    known = {l: {g for g, n in counts[l].items() if n >= language.RAREST * total[l]} for l in names}
+    number = lambda g: sum((0 if c == " " else ord(c)) << s for c, s in zip(g, (42, 21, 0)))
+    rows = 1 << max(6, (language.ROWS_PER_GRAM * max(map(len, known.values())) - 1).bit_length())
+    places = lambda g: [int(p[0]) for p in language.Filter.places(np.array([number(g)], np.uint64), rows)]
+    masks = [0] * rows
+    for bit, l in enumerate(names):
+        for gram in known[l]:
+            for p in places(gram):
+                masks[p] |= 1 << bit
+    false = [(sum(m >> bit & 1 for m in masks) / rows) ** language.HASHES for bit in range(len(names))]
+    got = {r.doc_id: r for r in language.identify(docs, language.learn(docs)).collect()}
+    seen = {}
+    for r in given[:60]:
+        grams = by_hand(r.text)
+        if not grams:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        hits = [0] * len(names)
+        for gram in grams:
+            if gram not in seen:
+                held = -1
+                for p in places(gram):
+                    held &= masks[p]
+                seen[gram] = held
+            for bit in range(len(names)):
+                hits[bit] += seen[gram] >> bit & 1
+        scores = [(h - len(grams) * f) / (1 - f) / len(grams) for h, f in zip(hits, false)]
+        best = max(range(len(names)), key=lambda b: (scores[b], -b))
+        assert got[r.doc_id].lang_pred == names[best] and abs(got[r.doc_id].score - min(max(scores[best], 0), 1)) < 1e-9

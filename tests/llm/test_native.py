@@ -1,6 +1,7 @@
 """Sharding, mixing, exact copies and secrets against brute force."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -207,3 +208,65 @@ def test_an_owner_may_hold_a_secret_in_many_documents(spark):
     assert not any(gone[i] for i in (*range(9), 40, 60)) and all(gone[20 + i] for i in range(9))
     owned = secrets.ownership(df.selectExpr("left(text, 4) AS print", "source AS owner", "sha2(text, 256) AS repository")).collect()
     assert {r.print: (r.owners, r.repositories) for r in owned} == {"file": (2, 11), "the ": (1, 1)}
+
+
+def signed(x):
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
+def xx64(value, seed=42):
+    """Spark's xxhash64 of one 64-bit number, by the published algorithm."""
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    mask, rot = (1 << 64) - 1, lambda x, r: ((x << r) | (x >> (64 - r))) & ((1 << 64) - 1)
+    h = (seed + p5 + 8) & mask
+    h ^= (rot((value & mask) * p2 & mask, 31) * p1) & mask
+    h = (rot(h, 27) * p1 + p4) & mask
+    for shift, p in ((33, p2), (29, p3), (32, 1)):
+        h = ((h ^ (h >> shift)) * p) & mask
+    return h
+
+
+def xx32(value, seed=42):
+    """The same of one 32-bit number."""
+    p1, p2, p3, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5
+    mask, rot = (1 << 64) - 1, lambda x, r: ((x << r) | (x >> (64 - r))) & ((1 << 64) - 1)
+    h = (seed + p5 + 4) & mask
+    h ^= ((value & 0xFFFFFFFF) * p1) & mask
+    h = (rot(h, 23) * p2 + p3) & mask
+    for shift, p in ((33, p2), (29, p3), (32, 1)):
+        h = ((h ^ (h >> shift)) * p) & mask
+    return h
+
+
+def place_by_hand(number, n, seed):
+    """Six rounds of the network, again and again until the place is below n."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    at = number
+    while True:
+        left, right = divmod(at, b)
+        for step in range(sharding.ROUNDS):
+            key = xx32(seed * sharding.ROUNDS + step)
+            if step % 2 == 0:
+                left = (left + signed(xx64(right, key)) % a) % a
+            else:
+                right = (right + signed(xx64(left, key)) % b) % b
+        at = left * b + right
+        if at < n:
+            return at
+
+
+@pytest.mark.parametrize("n, seed", [(1, 0), (7, 0), (97, 3), (1000, 0)])
+def test_permutation_by_hand(spark, n, seed):
+    got = {r.id: r.p for r in sharding.permuted(spark.range(n), "id", n, "p", seed).collect()}
+    assert got == {i: place_by_hand(i, n, seed) for i in range(n)}
+
+
+def test_shard_and_slot_can_be_computed(docs):
+    """From the row's number in the order of ids alone, without the table."""
+    rows = sharding.shard_documents(docs).collect()
+    n = len(rows)
+    for number, r in enumerate(sorted(rows, key=lambda r: r.doc_id)):
+        place = place_by_hand(number, n, 0)
+        assert (r.shard, r.slot) == (place % 16, place // 16)
