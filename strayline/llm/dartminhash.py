@@ -390,7 +390,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     that repeat it, one. A text of fewer than five words is one shingle. A text
     without words, NULL included, is like no other and a class of its own, as its
     id's row. A class's NULL id stands after all others. Rows with equal sets are
-    one row from the start, however many they are. Other columns are ignored.
+    one row from the start, however many they are. Texts are read whole however long, an
+    empty table gives an empty one, and other columns are ignored whatever their names.
     """
     return _classes(docs, id_col, text).select(
         F.col("_id").alias(id_col), "class_id", "class_size", "kept", F.col("n").alias("n_shingles")
@@ -417,7 +418,12 @@ def _classes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` per class, with all its columns."""
+    """One row of ``docs`` per class, with all its columns.
+
+    Rows are classed as ``near_classes`` does: texts without words, NULL included, stay,
+    of rows that agree in id and text one stays, an empty table stays empty, and a column
+    may have any name.
+    """
     classes = cut(_classes(docs, id_col, text).select("_id", "_sha", "kept"))
     again = classes.groupBy("_id", "_sha").count().filter("count > 1")
     return keep_rows(docs, classes.filter("kept").select("_id", "_sha"), id_col, text, repeated=not again.isEmpty())

@@ -357,8 +357,9 @@ def score_documents(
     size, comes to the driver for that.
 
     ``held_out`` rows (by default ``scored_only``) are scored but not learned from.
-    NULL and empty texts have one token, the end. Ids may repeat or be NULL; other
-    columns are ignored. The input is read three times and has to give the same
+    NULL and empty texts have one token, the end; long ones are scored whole. Ids and
+    rows may repeat or be NULL, an empty table gives an empty one, and other
+    columns are ignored whatever their names. The input is read three times and has to give the same
     rows in the same partitions, as tables do; if it does not, the job fails.
     """
     kind = dict(docs.dtypes)[id_col]

@@ -91,7 +91,9 @@ def mixed_documents(
     is read once, for its words. A NULL text has no words, a NULL source is a
     source of its own, rows that share an id share its draw. The table of
     sources is joined by whatever its written size allows; where it is too big to
-    broadcast, adaptive execution splits the hot source.
+    broadcast, adaptive execution splits the hot source. Repeated rows are taken each, an
+    empty table gives an empty one, texts are read whole however long, and other columns
+    are ignored whatever their names.
     """
     narrow = cut(docs.select(F.col(id_col), F.col(source).alias("_source"), words_in(text).alias("size")))
     rates = source_rates(narrow, weights, most).withColumnRenamed("_source", "_own")
@@ -116,7 +118,8 @@ def emit_mix(
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
 
     Documents of a source with no target are not emitted. The columns are those
-    of ``docs``, whatever they are called.
+    of ``docs``, whatever they are called. NULL texts have no words, a NULL source is a
+    source of its own, repeated rows are drawn alike, an empty table stays empty.
     """
     sizes = docs.select(F.col(source).alias("_source"), words_in(text).alias("size"))
     rates = source_rates(sizes, weights, most).select(F.col("_source").alias("_own"), "rate")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ class Encoder:
     The tokenizer drops white space and treats what stands between on its own, so
     the ids of a text are the ids of its words in a row. A word of letters and
     closing marks is cut before the marks, as the tokenizer does. Words are
-    remembered by a 64-bit hash, ``WORDS_KEPT`` of them at most.
+    remembered by a 64-bit hash, ``WORDS_KEPT`` of them at most. A tokenizer whose
+    file does not say that it works like this is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -42,6 +44,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = np.zeros(len(self.closes), bool)
+        self.marks[[i for t, i in vocabulary.items() if t.removesuffix("</w>").endswith(_SENTENCE_ENDS)]] = True
+        self.by_words = _parts_at_letters(json.loads(self.tokenizer.to_str()))
         self.forget()
 
     def forget(self) -> None:
@@ -101,6 +106,8 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids with ``END_ID`` after each text, ids per text, and where sentences end."""
+        if not self.by_words:
+            return self.encode_whole(texts)
         found = located(texts)
         keys, first, back = np.unique(found.hashes, return_index=True, return_inverse=True)
         if len(self.keys) > WORDS_KEPT:
@@ -127,6 +134,35 @@ class Encoder:
         return np.insert(ids, text_ends, END_ID).astype(np.uint32), counts, stops
 
 
+    def encode_whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same by the tokenizer alone; a sentence ends with a token that ends with its mark."""
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        ids = np.fromiter((i for part in own for i in part), np.int64, int(sizes.sum()))
+        text_ends = np.cumsum(sizes)
+        stops = np.flatnonzero(self.marks[ids]) + 1
+        of = np.searchsorted(text_ends, stops, "left")
+        stops = (stops + of)[stops < text_ends[of]]
+        return np.insert(ids, text_ends, END_ID).astype(np.uint32), sizes + 1, stops
+
+
+def _parts_at_letters(file: dict) -> bool:
+    """Whether a tokenizer's file says: lower case, runs of letters on their own, no white space, words end with a mark."""
+    normalizer, parted = file["normalizer"] or {}, file["pre_tokenizer"] or {}
+    steps = [n["type"] for n in normalizer.get("normalizers", [normalizer] if normalizer else [])]
+    cuts_up = [p for p in parted.get("pretokenizers", [parted] if parted else [])]
+    first = cuts_up[0] if cuts_up else {}
+    letters = "[\\p{L}]+" in first.get("pattern", {}).get("Regex", "") and "[^\\s\\p{L}\\p{N}]+" in first["pattern"]["Regex"]
+    return (
+        set(steps) <= {"NFC", "Replace", "Lowercase"}
+        and "Lowercase" in steps
+        and (first.get("type"), first.get("behavior"), first.get("invert")) == ("Split", "Removed", True)
+        and letters
+        and file["model"].get("end_of_word_suffix") == "</w>"
+        and not file["model"].get("dropout")
+    )
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size, in a row."""
     before = np.cumsum(sizes) - sizes

@@ -91,8 +91,9 @@ def shard_documents(
     Only the id, the size in UTF-8 bytes plus one, and the checksum of the text
     are sorted and moved; the text is read once. A NULL text has no bytes. The
     law is ``rows``: counts differ by at most one, so adding a shard moves rows
-    between all shards and ``grown_shard`` is NULL. Equal texts are rows like
-    any others. Other columns are ignored.
+    between all shards and ``grown_shard`` is NULL. Equal texts and repeated rows are
+    rows like any others, NULL ids come first in the order. An empty table gives an empty
+    one, texts have any length, and other columns are ignored whatever their names.
     """
     whole = whole_text(text)
     narrow = docs.select(

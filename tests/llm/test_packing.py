@@ -110,3 +110,24 @@ def test_windows_are_the_best(seed):
     ways = [[*c, int(places[-1])] for k in range(len(inner) + 1) for c in itertools.combinations(inner, k)]
     least = min(cost_of(w, places.tolist(), cost.tolist(), 16) for w in ways)
     assert cost_of(got, places.tolist(), cost.tolist(), 16) == least
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["It was. And  then\n\nit's gone!", None, "", "no end", "A. B", "ünï 漢字。 x"]
+    assert packing.Encoder(PATH).by_words
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    made = packing.Encoder(other)
+    assert not made.by_words
+    ids, counts, stops = made.encode(pa.array(texts, pa.string()))
+    want = [Tokenizer.from_file(other).encode(t or "", add_special_tokens=False).ids + [packing.END_ID] for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    ends = np.cumsum(counts)
+    assert all(0 < s < ends[-1] and s not in ends and s + 1 not in ends for s in stops.tolist()) and len(stops) >= 2
+    # The way by whole texts gives what the way by words gives.
+    words = packing.Encoder(PATH)
+    one = words.encode(pa.array(texts, pa.string()))
+    other = words.encode_whole(pa.array(texts, pa.string()))
+    assert one[0].tolist() == other[0].tolist() and one[1].tolist() == other[1].tolist()
