@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +66,46 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if root not in _OWNED:
         _OWNED.add(root)
         atexit.register(_release_at_exit, spark)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    if _JOBS:
+        _JOBS[-1].append(path)
+    return path
+
+
+_JOBS: list[list[str]] = []
+
+
+class Job:
+    """What a job has written; ``keep`` writes a table that outlives it."""
+
+    def __init__(self, tables: list[str]):
+        self.tables = tables
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        kept = cut(df)
+        path = self.tables.pop()
+        if len(_JOBS) > 1:
+            _JOBS[-2].append(path)
+        return kept
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[Job]:
+    """Scratch tables made inside are deleted at the end, those of ``keep`` excepted.
+
+    A result that is still to be computed reads such tables: keep it, or write it, before
+    the end. Jobs may be nested; what an inner one keeps belongs to the outer one.
+    """
+    tables: list[str] = []
+    _JOBS.append(tables)
+    try:
+        yield Job(tables)
+    finally:
+        _JOBS.remove(tables)
+        context = spark.sparkContext
+        for table in tables:
+            path = context._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Casts, scaling, sources, generated tables, sampling, durations, logs and metrics."""
 
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.ml import Pipeline
@@ -268,3 +269,22 @@ def test_records_of_odd_lines(spark):
     assert found == {("5", True, None, None), ("5", True, 22, None), ("6", False, None, 8)}
     assert logs.timings(logs.timing_records(df)).count() == 0
     assert logs.timings(logs.timing_records(df.limit(0))).count() == 0
+
+
+def test_tables_of_a_job_go_with_it(spark):
+    def files(path):
+        return len(list(Path(path.removeprefix("file:")).glob("part-*"))) if Path(path.removeprefix("file:")).exists() else 0
+
+    with lineage.job(spark) as outer:
+        with lineage.job(spark) as inner:
+            lost = lineage.cut(spark.range(5))
+            kept = inner.keep(lost.withColumn("x", F.lit(1)))
+            paths = [t.inputFiles()[0].rsplit("/", 1)[0] for t in (lost, kept)]
+            assert all(files(p) for p in paths)
+        assert not files(paths[0]) and files(paths[1]) and kept.count() == 5
+        last = outer.keep(kept)
+    assert not files(paths[1]) and last.count() == 5
+    with pytest.raises(ValueError), lineage.job(spark):
+        lineage.cut(spark.range(1))
+        raise ValueError
+    assert lineage._JOBS == []
