@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strayline.lineage import cut
+from strayline.lineage import job
 from strayline.llm.dartminhash import drop_near_copies
 from strayline.llm.exact import drop_exact_copies
 from strayline.llm.kneser_ney import keep_good, trusted_ids
@@ -63,8 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        # A stage's own tables go once its result is written.
+        with job(spark) as own:
+            docs = own.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
