@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strayline.catalog.common import LINEITEM_FEATURES, query, table, unit_hash_sql
+from strayline.catalog.common import LINEITEM_FEATURES, query, table, unit_hash_sql, vectors
 from strayline.catalog.models import PART_FEATURES, orders, parts
 from strayline.lineage import cut
 from strayline.operators.clustering import center_table
-from strayline.operators.generative import checked_baseline
+from strayline.operators.generative import checked_baseline, clusters_by_steps
+from strayline.catalog.graphs import TRANSITION_SQL, steps_sql
 from strayline.operators.lloyd import lloyd_steps, sweep_centers
 from strayline.operators.mixture import apply_mixture, grouped_components, mixture_step
 from strayline.operators.newton import cross_validated, fit_logistic, fold_measures, scored
-from strayline.operators.outliers import attach_centers, group_centers
+from strayline.operators.metrics import classifier_curves
+from strayline.operators.outliers import attach_centers, group_centers, measure
 from strayline.operators.topics import table_topics
 from strayline.operators.clustering import nearest_center
 from strayline.operators.features import standardize
-from strayline.plans import classification
+from strayline.plans import classification, semisupervised
 from strayline.roles import Roles
 
 REGRESSORS = ["o_totalprice", "month"]
 
 
-def newton_sql(steps: int) -> str:
+def newton_sql(steps: int, rows: str = "z") -> str:
     """Chained tables ``b0 .. b<steps>`` of the weights of every model.
 
-    ``z(id, x0, x1, y, f)`` are the rows, ``models(m, lam, fold)`` the models, which do not
+    ``rows(id, x0, x1, y, f)`` are the rows, ``models(m, lam, fold)`` the models, which do not
     see their fold. Each step solves the three normal equations by determinants.
     """
     text = """,
@@ -33,7 +35,7 @@ b0 AS (SELECT m, lam, fold, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS
     for i in range(1, steps + 1):
         text += f""",
 p{i} AS (SELECT b.*, x0, x1, y, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2))) AS p
-         FROM z JOIN b{i - 1} b ON fold IS NULL OR f <> fold WHERE y IS NOT NULL),
+         FROM {rows} z JOIN b{i - 1} b ON fold IS NULL OR f <> fold WHERE y IS NOT NULL),
 s{i} AS (SELECT m, lam, fold, w0, w1, w2,
            sum((y - p) * x0) / count(*) - lam * w0 AS g0, sum((y - p) * x1) / count(*) - lam * w1 AS g1, sum(y - p) / count(*) AS g2,
            sum(p * (1 - p) * x0 * x0) / count(*) + lam AS a, sum(p * (1 - p) * x0 * x1) / count(*) AS b, sum(p * (1 - p) * x0) / count(*) AS c,
@@ -356,3 +358,86 @@ def topic_table(spark, sf_dir):
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     found = table_topics(documents, "doc_id", "text", k=5, steps=2)
     return found.select("doc_id", "topic", F.round(F.array_max("topic_weights"), 4).alias("weight"))
+
+
+@query(
+    "m07_lloyd_report",
+    "WITH " + _PARTS_SQL.format("") + _START_SQL + ", c0 AS (SELECT 0 AS m, * FROM ranked)" + lloyd_sql(5, 2) + assigned_sql("_last", 5, _GAPS[2]) + """,
+d AS (SELECT k + 1 AS prediction, sqrt(d2) AS distance FROM a_last),
+b AS (SELECT prediction, avg(distance) + 2 * stddev_pop(distance) AS boundary FROM d GROUP BY prediction)
+SELECT prediction, count(*) AS amount, count(*) FILTER (distance > boundary) AS amount_outlier,
+       round(100 * count(*) FILTER (distance > boundary) / count(*), 3) AS percentage_outlier
+FROM d JOIN b USING (prediction) GROUP BY prediction""",
+)
+def lloyd_report(spark, sf_dir):
+    """The outlier job from given centers: clusters, distances, boundaries, report."""
+    rows = cut(parts(spark, sf_dir).select("p_partkey", "scaled_features"))
+    centers = lloyd_steps(rows, "scaled_features", {0: _starts(rows, 4)}, 5)[-1][0].centers.tolist()
+    joined = attach_centers(nearest_center(rows, centers), center_table(spark, centers))
+    return measure(joined, ["p_partkey"], width=2).report()
+
+
+_HALF = "CASE WHEN p_partkey % 4 = 0 THEN CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END END::DOUBLE"
+
+
+@query(
+    "m13_clusters_by_steps",
+    "WITH " + _PARTS_SQL.format(f", {_HALF} AS known") + """,
+c0 AS (SELECT 0 AS m, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS k, x0, x1 FROM z QUALIFY k < 2)"""
+    + lloyd_sql(5, 2) + assigned_sql("_last", 5, _GAPS[2]) + """,
+y AS (SELECT z.id, x0, x1, known, CAST(k AS DOUBLE) AS y, 0 AS f FROM z JOIN a_last a ON z.id = a.id)""" + _ONE_MODEL.format(lam=0.01)
+    + newton_sql(5, "y") + """,
+q AS (SELECT id, known, CAST(y AS INTEGER) AS cluster, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2))) AS p,
+             CASE WHEN w0 * x0 + w1 * x1 + w2 > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM y, b5),
+n AS (SELECT prediction, known, count(*) AS n FROM q WHERE known IS NOT NULL GROUP BY ALL),
+l AS (SELECT prediction, arg_max(known, n * 10 - known) AS majority_label FROM n GROUP BY prediction)
+SELECT id AS p_partkey, cluster, round(p, 6) AS probability, q.prediction, majority_label FROM q LEFT JOIN l ON q.prediction = l.prediction""",
+)
+def generative_by_steps(spark, sf_dir):
+    """Every part's cluster, predicted cluster and the most frequent known label of that."""
+    known = F.when(F.col("p_partkey") % 4 == 0, F.when(F.col("p_size") > 25, 1.0).otherwise(0.0))
+    rows = table(spark, sf_dir, "part", "p_partkey", *PART_FEATURES).withColumn("known", known)
+    start = _starts(standardize(rows, PART_FEATURES), 2)
+    found = clusters_by_steps(rows, PART_FEATURES, "known", start, 0.01, 5, 5)
+    p = F.round(F.get("probability", F.lit(1)), 6).alias("probability")
+    return found.select("p_partkey", "cluster", p, "prediction", "majority_label")
+
+
+@query(
+    "m15_semisupervised_labels",
+    f"""WITH {TRANSITION_SQL},
+y0 AS MATERIALIZED (SELECT id, label, c, CASE WHEN label IS NULL THEN 0.5 WHEN label = c THEN 1.0 ELSE 0.0 END::DOUBLE AS y
+       FROM (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN label % 2 END AS label FROM e), (SELECT unnest(range(2)) AS c)) {steps_sql(3)}
+SELECT id AS vec_id, round(p0, 6) AS p0, round(p1, 6) AS p1, CASE WHEN round(p1, 9) > round(p0, 9) THEN 1.0 ELSE 0.0 END::DOUBLE AS new_label
+FROM (SELECT id, max(y) FILTER (c = 0) AS p0, max(y) FILTER (c = 1) AS p1 FROM y3 GROUP BY id)""",
+)
+def semisupervised_labels(spark, sf_dir):
+    """The label propagation job with two classes: scores and labels of every row."""
+    label = F.when(F.col("vec_id") % 3 == 0, (F.col("prediction") % 2).cast("double"))
+    rows = vectors(spark, sf_dir).select("vec_id", label.alias("label"), "point")
+    filled = semisupervised.run(rows, Roles.of("vec_id", "label", ["point"]), sigma=0.6, max_iters=3, standardize=False)
+    return filled.select("vec_id", *[F.round(F.get("probabilities", F.lit(c)), 6).alias(f"p{c}") for c in (0, 1)], "new_label")
+
+
+@query(
+    "m11_newton_curves",
+    f"""WITH {_orders_sql()} {_ONE_MODEL.format(lam=0.001)} {newton_sql(4)},
+q AS (SELECT round(1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2))), 4) AS threshold, y FROM z, b4),
+hits AS (SELECT threshold, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM q GROUP BY 1),
+r AS (SELECT threshold, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS np, sum(n) OVER () AS nn
+      FROM hits WINDOW w AS (ORDER BY threshold DESC)),
+k AS (SELECT threshold, tp / (tp + fp) AS pre, tp / np AS rec, CASE WHEN tp > 0 THEN 2 * tp / (tp + fp + np) END AS f, fp / nn AS fpr FROM r)
+SELECT 'f_measure' AS curve, threshold, threshold AS x, round(f, 6) AS y FROM k
+UNION ALL SELECT 'precision', threshold, threshold, round(pre, 6) FROM k
+UNION ALL SELECT 'recall', threshold, threshold, round(rec, 6) FROM k
+UNION ALL SELECT 'pr', threshold, round(rec, 6), round(pre, 6) FROM k
+UNION ALL SELECT 'roc', threshold, round(fpr, 6), round(rec, 6) FROM k
+UNION ALL SELECT 'auc', NULL, NULL, round(sum(p * (nn - fp + n / 2)) / (max(np) * max(nn)), 6) FROM r""",
+)
+def newton_curves(spark, sf_dir):
+    """All five curves of a regression in Newton steps, and its area, by probabilities of four digits."""
+    rows = orders(spark, sf_dir)
+    found = scored(rows, fit_logistic(rows, REGRESSORS, "finished", (0.001,), steps=4)[0])
+    probability = F.round(F.get("probability", F.lit(1)), 4).alias("probability")
+    curves = classifier_curves(found.select("finished", probability), "finished", "probability")
+    return curves.select("curve", "threshold", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

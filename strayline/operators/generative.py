@@ -16,8 +16,11 @@ from pyspark.ml.tuning import CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strayline.lineage import cut
 from strayline.operators.classification import cross_validate
-from strayline.operators.features import known_label, split_known
+from strayline.operators.clustering import nearest_center
+from strayline.operators.features import known_label, split_known, standardize
+from strayline.operators.lloyd import lloyd_steps
 from strayline.operators.newton import best_regularisation, cross_validated, fit_logistic, fold_measures, scored
 from strayline.roles import as_names
 
@@ -116,3 +119,30 @@ def checked_baseline(
     _, scores = cross_validated(df, features, label, keys, REGULARISATIONS, folds, seed, steps)
     best = best_regularisation(fold_measures(scores, label))
     return scored(df, fit_logistic(df, features, label, (best,), steps=steps)[0])
+
+
+def clusters_by_steps(
+    df: DataFrame,
+    features: str | Iterable[str],
+    label: str,
+    start,
+    regularisation: float = 0.01,
+    cluster_steps: int = 10,
+    steps: int = 12,
+) -> DataFrame:
+    """Two clusters from given centers, a classifier of them, and each class's most frequent known label.
+
+    Adds ``cluster``, ``probability``, ``prediction`` and ``majority_label``. The centers are
+    of standardised features and move as ``lloyd_steps`` moves them; the classifier is a
+    regression of the cluster in Newton steps. Rows with an unknown feature have NULLs.
+    """
+    k = class_count(df, label)
+    if k != 2 or len(start) != 2:
+        raise ValueError(f"needs two known labels and two centers, not {k} and {len(start)}")
+    rows = cut(standardize(df, features, "_scaled"))
+    centers = lloyd_steps(rows, "_scaled", {0: start}, cluster_steps)[-1][0].centers.tolist()
+    clustered = nearest_center(rows, centers, "_scaled", "cluster").drop("_scaled")
+    model = fit_logistic(clustered, features, "cluster", (regularisation,), steps=steps)[0]
+    found = cut(scored(clustered, model).drop("rawPrediction"))
+    names = majority_label(found, label).withColumnRenamed("prediction", "_class")
+    return found.join(names, F.col("prediction") == F.col("_class"), "left").drop("_class")

@@ -284,3 +284,22 @@ def test_two_planted_topics_are_told_apart(spark):
     assert all(out[i].topic is None and out[i].topic_weights is None for i in (200, 201, 202, None))
     assert all(sum(out[i].topic_weights) == pytest.approx(1.0) for i in range(120))
     assert topics.table_topics(df.limit(0), "id", "text", 2, 2).count() == 0
+
+
+def test_clusters_by_steps_name_themselves(spark):
+    df, x, own = blobs(spark)
+    rows = df.filter("g < 2").withColumns({"a": F.get("v", F.lit(0)), "b": F.get("v", F.lit(1))})
+    known = F.when(F.col("id") % 5 == 0, F.col("g").cast("double") + 4)
+    given = rows.withColumn("known", known).select("id", "g", "a", "b", "known")
+    scaler = fit_scaler(given, ["a", "b"])
+    start = [(x[np.flatnonzero(own == k)[0]] - scaler.means) / scaler.stds for k in (1, 0)]
+    odd = given.union(spark.createDataFrame([(999, 0, None, 1.0, None)], given.schema))
+    out = generative.clusters_by_steps(odd, ["a", "b"], "known", start).collect()
+    assert len(out) == rows.count() + 1
+    for r in out:
+        if r.id == 999:
+            assert r.cluster is None and r.prediction is None and r.majority_label is None
+    right = [r.majority_label == r.g + 4 and r.cluster == 1 - r.g for r in out if r.id != 999]
+    assert np.mean(right) > 0.95
+    with pytest.raises(ValueError, match="two"):
+        generative.clusters_by_steps(given.withColumn("known", F.lit(1.0)), ["a", "b"], "known", start)
