@@ -46,6 +46,7 @@ def similarity_edges(
     standardize: bool = True,
     block_rows: int | None = None,
     by: str | None = None,
+    extent: tuple[list[float], int] | None = None,
 ) -> DataFrame:
     """All pairs ``src >= dst`` with weight ``exp(-|x - y|^2 / sigma^2) > tol``.
 
@@ -57,11 +58,12 @@ def similarity_edges(
     (``pivots.near_cells``). A row without an id or with a NULL or NaN feature is near to
     nothing and has no edge. Rows of a cell are packed into blocks of about
     ``block_rows`` by hash, so a crowded cell becomes many blocks and its pairs a grid of
-    tiles. With ``by`` only rows that agree in that column meet: the graphs of many tables in
+    tiles. ``extent``, the widths of a vector column's axes and about how many rows there are,
+    spares the pass that finds them. With ``by`` only rows that agree in that column meet: the graphs of many tables in
     one job. Joined pairs of blocks, each of bounded size, are spread over
     the cluster and compared in Arrow batches; only edges leave the comparison.
     """
-    blocks, pairs, width = _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by)
+    blocks, pairs, width = _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by, extent)
     # Small in bytes but long in work: a fixed number of partitions keeps Spark
     # from merging them by size.
     n_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -76,20 +78,24 @@ def similarity_edges(
     )
 
 
-def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by) -> tuple[DataFrame, DataFrame, int]:
+def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by, extent=None) -> tuple[DataFrame, DataFrame, int]:
     """Blocks ``_by, c0.., _block, ids, vs``, the pairs of them that must meet, and the vectors' width.
 
     A pair names one block by ``_c0.., _from``, the other by ``c0.., _block``.
     """
     if not tol > 0:
         raise ValueError("tol must be above 0: without a bound every pair is an edge")
-    scaler = fit_scaler(df, features)
+    if extent is not None:
+        vector, (spans, n) = F.col(features).cast("array<double>"), extent
+    else:
+        scaler = fit_scaler(df, features)
+        vector, spans, n = scaler.vector(standardize), scaler.ranges(standardize), scaler.rows
     # A hair wider than the bound, so that rounding cannot part a pair by two cells.
     radius = radius_of(sigma, tol) * (1 + 1e-9) if tol < 1 else 0.0
-    axes = _grid_axes(scaler.ranges(standardize), radius) if radius > 0 else []
-    block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, scaler.rows // FEWEST_BLOCKS))
+    axes = _grid_axes(spans, radius) if radius > 0 else []
+    block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, n // FEWEST_BLOCKS))
     rows = df.select(
-        F.col(id_col).cast("bigint").alias("id"), scaler.vector(standardize).alias("v"), (F.col(by) if by else F.lit(0)).cast("bigint").alias("_by")
+        F.col(id_col).cast("bigint").alias("id"), vector.alias("v"), (F.col(by) if by else F.lit(0)).cast("bigint").alias("_by")
     ).filter("id IS NOT NULL AND _by IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x))")
     keys = [f"c{i}" for i in range(max(1, len(axes)))]
     near = None
@@ -97,7 +103,7 @@ def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by)
         cells = [F.floor(F.get("v", F.lit(a)) / radius).alias(k) for k, a in zip(keys, axes)]
         rows = rows.select("id", "v", "_by", *cells)
     else:
-        pivots = choose_pivots(rows, scaler.rows, len(scaler.terms))
+        pivots = choose_pivots(rows, n, len(spans))
         rows = cut(with_cell(rows, pivots))
         near = near_cells(rows, pivots, radius)
     places, keys = keys, ["_by", *keys]
@@ -119,7 +125,7 @@ def _block_pairs(df, id_col, features, sigma, tol, standardize, block_rows, by)
         .drop("_here")
         .filter("NOT _own OR _from >= _block")
     )
-    return blocks, pairs, len(scaler.terms)
+    return blocks, pairs, len(spans)
 
 
 def _adjacent(counts: DataFrame, keys: list[str]) -> DataFrame:
