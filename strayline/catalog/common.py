@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores, dealt out to all; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, point, prediction``: each vector with its label as cluster."""
     return table(spark, sf_dir, "embeddings").select(

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from strayline.catalog.common import LINEITEM_FEATURES, query, table, unit_hash_sql, vectors
+from strayline.catalog.common import LINEITEM_FEATURES, query, spread, table, unit_hash_sql, vectors
 from strayline.catalog.graphs import EDGES_SQL
 from strayline.operators import logs
 from strayline.operators.features import fit_scaler
@@ -281,7 +281,9 @@ def auc(spark, sf_dir):
 def log_lines(spark, sf_dir, iteration="event_id"):
     """Three log lines per event: partitions, data and training time of one iteration."""
     events = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
-    if not isinstance(iteration, str):
+    if isinstance(iteration, str):
+        events = spread(events)
+    else:
         # A log has its runs one after the other.
         events = events.orderBy(F.date_trunc("millisecond", "ts"), "event_id")
     head = F.concat(
