@@ -101,6 +101,13 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
+def _first_at_or_after(ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many ends lie before each place: the number of the first that does not."""
+    passed = np.zeros(int(max(ends.max(initial=0), places.max(initial=0))) + 1, np.int32)
+    passed[ends] = 1
+    return np.cumsum(passed, dtype=np.int32)[places - 1].astype(np.int64)
+
+
 def last_of_group(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per token of A and of B, the number of the last B token of its group.
 
@@ -112,8 +119,7 @@ def last_of_group(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, n
     passes an offset where both sides end, as no token holds bytes on both sides of it.
     """
     n = len(ends_a)
-    to_b = np.searchsorted(ends_b, ends_a)
-    to_a = np.searchsorted(ends_a, ends_b)
+    to_b, to_a = _first_at_or_after(ends_b, ends_a), _first_at_or_after(ends_a, ends_b)
     itself = n + np.arange(len(ends_b))
     ends_there = ends_a[np.minimum(to_a, max(n - 1, 0))] == ends_b if n else np.ones(len(ends_b), bool)
     target = np.concatenate((n + to_b, np.where(ends_there, itself, to_a)))
@@ -153,8 +159,8 @@ def links_of(group_a, a, n_a, group_b, b, n_b, text_of_group, most_b: int) -> tu
     as many as its different ids allow, however often they recur. They are spelled out
     ``LINKS`` at a time.
     """
-    first_b = np.searchsorted(group_b, group_a, "left")
-    per_a = np.searchsorted(group_b, group_a, "right") - first_b
+    of_group = np.bincount(group_b, minlength=len(text_of_group))
+    first_b, per_a = (np.cumsum(of_group) - of_group)[group_a], of_group[group_a]
     running = np.concatenate(([0], np.cumsum(per_a)))
     texts, pairs, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
@@ -210,8 +216,9 @@ class Aligner:
         kept, left, right = self.tokens(texts)
         a, b = Side.of(left, self.sizes_a), Side.of(right, self.sizes_b)
         last_a, last_b = last_of_group(a.ends, b.ends)
-        terminal = np.unique(last_b)
-        group_a, group_b = np.searchsorted(terminal, last_a), np.searchsorted(terminal, last_b)
+        is_last = last_b == np.arange(len(last_b))
+        terminal, number = np.flatnonzero(is_last), np.cumsum(is_last) - 1
+        group_a, group_b = number[last_a], number[last_b]
         text_of_group = np.repeat(np.arange(len(kept)), b.counts)[terminal]
         groups = np.bincount(text_of_group, minlength=len(kept))
         links = np.bincount(group_a, minlength=len(terminal)) * np.bincount(group_b, minlength=len(terminal))
