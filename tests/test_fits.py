@@ -7,11 +7,12 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from strayline.operators import generative, lloyd, mixture, moments, newton, topics
+from strayline.operators import classification as classifying
+from strayline.operators import clustering, generative, lloyd, mixture, moments, newton, topics
 from strayline.operators.features import fit_scaler
 from strayline.operators.outliers import group_centers
 from strayline.plans import classification
@@ -303,3 +304,41 @@ def test_clusters_by_steps_name_themselves(spark):
     assert np.mean(right) > 0.95
     with pytest.raises(ValueError, match="two"):
         generative.clusters_by_steps(given.withColumn("known", F.lit(1.0)), ["a", "b"], "known", start)
+
+
+def test_mllib_sweep_scores_its_models(spark):
+    df, x, _ = blobs(spark)
+    rows = df.withColumn("_vector", array_to_vector("v"))
+    found = {(r.k, r.max_iter): r for r in clustering.sweep(rows, "kmeans", (2, 3), (20,), seed=4).collect()}
+    for k in (2, 3):
+        model = KMeans(featuresCol="_vector", k=k, maxIter=20, seed=4).fit(rows)
+        centers = np.array([c.tolist() for c in model.clusterCenters()])
+        silhouette, _ = lloyd.model_scores(df, "v", {0: centers})[0]
+        assert found[k, 20].silhouette == pytest.approx(silhouette, abs=1e-9)
+        assert found[k, 20].training_score == pytest.approx(model.summary.trainingCost)
+    assert found[3, 20].silhouette > found[2, 20].silhouette
+
+
+def test_mllib_topics_are_told_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice([f"{'ab'[i % 2]}{j}" for j in range(12)], 30))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    out = {r.id: r for r in clustering.topics(df, "text", k=2, max_iter=30, seed=3).collect()}
+    even, odd = ([out[i].topic for i in range(s, 60, 2)] for s in (0, 1))
+    assert max(even.count(t) for t in (0, 1)) > 27 and max(odd.count(t) for t in (0, 1)) > 27
+    assert max((0, 1), key=even.count) != max((0, 1), key=odd.count)
+    assert all(sum(r.topic_weights) == pytest.approx(1.0) for r in out.values())
+
+
+def test_mllib_cross_validation_prefers_the_better_model(spark):
+    df, names = labelled(spark)
+    pipeline = classifying.make_pipeline(names, "y", scale=True, maxIter=50)
+    grid = classifying.make_grid(pipeline.getStages()[-1], {"regParam": [0.01, 1000.0]})
+    model = classifying.cross_validate(pipeline, df, BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderPR"), grid, 3, seed=1)
+    found = {r.params: r.avg_metric for r in classifying.fold_metrics(spark, model).collect()}
+    assert len(found) == 2 and found["regParam=0.01"] >= found["regParam=1000.0"] - 1e-6 and found["regParam=0.01"] > 0.75
+    ours = newton.fit_logistic(df, names, "y", (0.01,), steps=20)[0]
+    p = {r.id: r.probability[1] for r in newton.scored(df, ours).collect()}
+    best = model.bestModel.transform(df).select("id", vector_to_array("probability").alias("p")).collect()
+    if model.bestModel.stages[-1].getRegParam() == 0.01:
+        assert all(p[r.id] == pytest.approx(r.p[1], abs=1e-3) for r in best)
