@@ -152,38 +152,41 @@ def _different(group: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarra
     return key // most, key % most, n
 
 
-def links_of(group_a, a, n_a, group_b, b, n_b, text_of_group, most_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _added_up(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and the sum of ``n`` of each."""
+    if not len(key):
+        return key, n
+    order = np.argsort(key)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[new], np.add.reduceat(n[order], new)
+
+
+def links_of(group_a, a, n_a, group_b, b, n_b, text_of_group, most_a: int, most_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``text, pair, links`` of the different id pairs of each text.
 
     Ids are different within a group and groups are in order, so a group's pairs are
     as many as its different ids allow, however often they recur. They are spelled out
-    ``LINKS`` at a time.
+    ``LINKS`` at a time. A text's number and a pair together are far below 2**63.
     """
     of_group = np.bincount(group_b, minlength=len(text_of_group))
     first_b, per_a = (np.cumsum(of_group) - of_group)[group_a], of_group[group_a]
     running = np.concatenate(([0], np.cumsum(per_a)))
-    texts, pairs, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    most = most_a * most_b
+    keys, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = 0
     while at < len(a):
         to = max(at + 1, int(np.searchsorted(running, running[at] + LINKS, "right")) - 1)
         some = np.repeat(np.arange(at, to), per_a[at:to])
         other = first_b[some] + np.arange(len(some)) - (running[some] - running[at])
-        text, pair = text_of_group[group_a[some]], a[some] * most_b + b[other]
-        order = np.lexsort((pair, text))
-        text, pair, n = text[order], pair[order], (n_a[some] * n_b[other])[order]
-        new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])))) if len(text) else []
-        if len(new):
-            texts.append(text[new])
-            pairs.append(pair[new])
-            links.append(np.add.reduceat(n, new))
+        key, n = _added_up(text_of_group[group_a[some]] * most + a[some] * most_b + b[other], n_a[some] * n_b[other])
+        keys.append(key)
+        links.append(n)
         at = to
-    text, pair, n = np.concatenate(texts), np.concatenate(pairs), np.concatenate(links)
-    if len(texts) > 2:  # a text's pairs may come from several rounds
-        order = np.lexsort((pair, text))
-        text, pair, n = text[order], pair[order], n[order]
-        new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1]))))
-        text, pair, n = text[new], pair[new], np.add.reduceat(n, new)
-    return text, pair, n
+    key, n = np.concatenate(keys), np.concatenate(links)
+    if len(keys) > 2:  # a text's pairs may come from several rounds
+        key, n = _added_up(key, n)
+    return key // most, key % most, n
 
 
 class Aligner:
@@ -223,7 +226,8 @@ class Aligner:
         groups = np.bincount(text_of_group, minlength=len(kept))
         links = np.bincount(group_a, minlength=len(terminal)) * np.bincount(group_b, minlength=len(terminal))
         text, pair, n = links_of(
-            *_different(group_a, a.ids, len(self.sizes_a)), *_different(group_b, b.ids, len(self.sizes_b)), text_of_group, len(self.sizes_b)
+            *_different(group_a, a.ids, len(self.sizes_a)), *_different(group_b, b.ids, len(self.sizes_b)), text_of_group,
+            len(self.sizes_a), len(self.sizes_b),
         )
         pairs, place, held = np.unique(pair, return_inverse=True, return_counts=True)
         cuts = np.searchsorted(text, np.arange(len(kept) + 1))
