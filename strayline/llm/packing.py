@@ -6,6 +6,7 @@ import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,24 @@ class Encoder:
     file does not say that it works like this is given whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_words: bool | None = None):
+        """``by_words`` spares looking through the file again where that is known."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = np.zeros(len(self.closes), bool)
-        self.marks[[i for t, i in vocabulary.items() if t.removesuffix("</w>").endswith(_SENTENCE_ENDS)]] = True
-        self.by_words = _parts_at_letters(json.loads(self.tokenizer.to_str()))
+        self.by_words = _parts_at_letters(json.loads(self.tokenizer.to_str())) if by_words is None else by_words
         self.forget()
 
+    @cached_property
+    def marks(self) -> np.ndarray:
+        """Which ids end with a sentence's mark."""
+        out = np.zeros(len(self.closes), bool)
+        out[[i for t, i in self.tokenizer.get_vocab().items() if t.removesuffix("</w>").endswith(_SENTENCE_ENDS)]] = True
+        return out
+
     def forget(self) -> None:
         self.keys, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         self.start, self.size, self.stop = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
@@ -222,9 +229,9 @@ def best_windows(places: np.ndarray, cost: np.ndarray, capacity: int, closed: bo
     return ends[::-1]
 
 
-def _pieces(tables: Iterator[pa.Table], path: str, capacity: int, first_id: int, with_ids: bool) -> Iterator[list[tuple]]:
+def _pieces(tables: Iterator[pa.Table], path: str, capacity: int, first_id: int, with_ids: bool, by_words: bool | None = None) -> Iterator[list[tuple]]:
     """Lists of pieces ``id, start, length, crc, tokens, sequence, offset[, ids]``."""
-    encoder, sequence = Encoder(path), first_id
+    encoder, sequence = Encoder(path, by_words), first_id
     ids, counts, stops, owners = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), []
     begun = 0  # tokens of the first held document that are packed already
 
@@ -298,7 +305,7 @@ def pack_documents(
     ignored. ``sequence_id`` holds the partition's number above its lower 40 bits.
     A task holds about ``CHUNK_BYTES`` of text at a time, or one longer text.
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, by_words = dict(docs.dtypes)[id_col], Encoder(tokenizer).by_words
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     arrow = [pa.int64()] * 6
     if ids:
@@ -315,7 +322,7 @@ def pack_documents(
                 id_type = table.schema.field("id").type
                 yield table
 
-        for rows in _pieces(tables(), tokenizer, capacity, first_id, ids):
+        for rows in _pieces(tables(), tokenizer, capacity, first_id, ids, by_words):
             for at in range(0, len(rows), 2_000):
                 columns = list(zip(*rows[at : at + 2_000]))
                 arrays = [pa.array(columns[0], id_type), *[pa.array(c, t) for c, t in zip(columns[1:7], arrow)]]
