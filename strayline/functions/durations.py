@@ -32,21 +32,34 @@ def to_seconds(text: Column | str) -> Column:
     return F.when(column.rlike(_QUANTITY), total)
 
 
+def _nearest(value: Column, digits: int) -> Column:
+    """The value in units of the last digit, rounded by what the double holds, ties to even.
+
+    ``F.round`` and ``%.2f`` go by the shortest decimal instead: 1.295 is below the tie. The high
+    half of the value's bits and the rest are multiplied without rounding.
+    """
+    units = F.floor(value * 10.0**digits).cast("double")
+    high = value * 134217729.0 - (value * 134217729.0 - value)
+    beyond = (high * (2 * 10.0**digits) - (units * 2 + 1)) + (value - high) * (2 * 10.0**digits)
+    return units + F.when((beyond > 0) | ((beyond == 0) & (units % 2 == 1)), 1.0).otherwise(0.0)
+
+
 def _three_digits(value: Column) -> Column:
     """Three significant digits without closing zeros, for values from 0.0001 up."""
     def fixed(digits: int) -> Column:
-        shown = F.format_string(f"%.{digits}f", F.round(value, digits))
+        shown = F.format_string(f"%.{digits}f", _nearest(value, digits) / 10.0**digits)
         bare = F.regexp_replace(shown, r"0+$", "") if digits else shown
         return F.regexp_replace(bare, r"\.$", "")
 
+    # A value that is rounded up to the next power of ten loses its zeros.
     return (
         F.when(value >= 999.5, F.lit("1e+03"))
-        .when(value >= 99.95, fixed(0))
-        .when(value >= 9.995, fixed(1))
-        .when(value >= 0.9995, fixed(2))
-        .when(value >= 0.09995, fixed(3))
-        .when(value >= 0.009995, fixed(4))
-        .when(value >= 0.0009995, fixed(5))
+        .when(value >= 100, fixed(0))
+        .when(value >= 10, fixed(1))
+        .when(value >= 1, fixed(2))
+        .when(value >= 0.1, fixed(3))
+        .when(value >= 0.01, fixed(4))
+        .when(value >= 0.001, fixed(5))
         .when(value > 0, fixed(6))
         .otherwise(F.lit("0"))
     )
