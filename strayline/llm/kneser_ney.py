@@ -26,6 +26,8 @@ TRAINED_SHARE = 0.8
 SHARDS = 32
 SLICE_BYTES, ROW_BYTES = 2 << 30, 256
 BATCH_BYTES = 4 << 20
+#: The filter of the trained pairs is filled in so many stretches.
+STRETCHES = 64
 #: A language with fewer trusted documents to measure takes the threshold of all.
 LEAST_DOCUMENTS = 50
 #: The threshold is this quantile of the log10 perplexity of trusted text of the same
@@ -147,11 +149,7 @@ def train(trusted: DataFrame, text: str) -> tuple[Words, DataFrame]:
     table = both.select("w", F.log10("follow").alias("follow"), F.log10("share").alias("share")).toArrow()
     keys = np.asarray(table.column("w")).astype(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    held = np.asarray(gains.select("key").toArrow().column("key")).astype(np.int64).view(np.uint64)
-    size = 1 << max(10, int(20 * len(held)).bit_length())
-    filled = np.zeros(size // 8, np.uint8)
-    for bit in Words.bits(held, size):
-        np.bitwise_or.at(filled, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+    filled = _filter_of(gains)
     made = Words(
         keys[order],
         np.asarray(table.column("follow"))[order],
@@ -162,6 +160,32 @@ def train(trusted: DataFrame, text: str) -> tuple[Words, DataFrame]:
     return made, gains
 
 
+def _filter_of(gains: DataFrame) -> np.ndarray:
+    """The Bloom filter of the trained pairs' keys; tasks fill its stretches, only these reach the driver."""
+    size = 1 << max(10, int(20 * gains.count()).bit_length())
+    stretch = max(1024, size // STRETCHES)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column("key")).astype(np.int64).view(np.uint64)
+            bits = np.concatenate(Words.bits(keys, size))
+            yield pa.RecordBatch.from_arrays([pa.array(bits // stretch), pa.array(bits % stretch)], ["stretch", "bit"])
+
+    def fill(part: pa.Table) -> pa.Table:
+        held = np.zeros(stretch, np.uint8)
+        held[np.asarray(part.column("bit"))] = 1
+        packed = np.packbits(held, bitorder="little").tobytes()
+        return pa.table({"stretch": part.column("stretch").slice(0, 1), "bits": pa.array([packed], pa.binary())})
+
+    marked = gains.select("key").mapInArrow(places, "stretch long, bit long")
+    filled = np.zeros(size // 8, np.uint8)
+    found = marked.groupBy("stretch").applyInArrow(fill, "stretch long, bits binary").toArrow()
+    for number, bits in zip(found.column("stretch").to_pylist(), found.column("bits")):
+        at = number * stretch // 8
+        filled[at : at + stretch // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return filled
+
+
 def score(docs: DataFrame, words: Words, gains: DataFrame, id_col: str, text: str, language: str) -> DataFrame:
     """``_id, _language, _print, n_tokens, score``: log10 probability of every row's text.
 
