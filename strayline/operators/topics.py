@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strayline.functions.text import hash_unit
-from strayline.lineage import cut
+from strayline.lineage import BROADCAST_LIMIT_BYTES, bounded_broadcast, cut
 from strayline.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 
 #: A word: what lies between ASCII blanks, in lower case.
 WORD = r"[^\x20\x09-\x0D]+"
+#: About what a word or a document takes in a broadcast beside its topics.
+ROW_BYTES = 64
 
 
 def word_counts(df: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -44,10 +46,12 @@ def topic_steps(
     hot = hot_keys(counts, ["word"], hot_rows)
     first = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: hash_unit("doc", "word", seed=c + seed * k) + F.lit(0.5))
     shared = counts.select("doc", "word", "n", F.explode(F.array(first)).alias("_w"))
-    shared = cut(shared.select("doc", "word", "n", _shared_out("_w", "n").alias("s")))
     for step in range(steps + 1):
-        of_word = cut(shared.groupBy("word").agg(_sums(k, "s").alias("topics")))
-        of_doc = cut(shared.groupBy("doc").agg(_sums(k, "s").alias("topics")))
+        # One pass sums by word and by document; the shares themselves are never written.
+        shared = shared.select("doc", "word", _shared_out("_w", "n").alias("s"))
+        sides = F.array(F.struct("word", F.lit(None).cast(counts.schema["doc"].dataType).alias("doc")), F.struct(F.lit(None).cast("string").alias("word"), "doc"))
+        found = cut(shared.select(F.inline(sides), "s").groupBy("word", "doc").agg(_sums(k, "s").alias("topics")))
+        of_word, of_doc = found.filter("word IS NOT NULL").drop("doc"), found.filter("word IS NULL").drop("word")
         if step == steps:
             break
         sums = of_word.agg(F.count(F.lit(1)).alias("words"), *[F.sum(F.get("topics", F.lit(c))).alias(f"t{c}") for c in range(k)]).first()
@@ -55,9 +59,14 @@ def topic_steps(
         share = F.zip_with(_filled("topics", beta), F.array(*[F.lit(float(t)) for t in totals]), lambda x, t: x / t)
         words = of_word.select("word", share.alias("_share"))
         docs = of_doc.select("doc", _filled("topics", alpha).alias("_own"))
-        joined = salted_join(counts, words, ["word"], ["doc"], hot=hot, counted=True).join(docs, "doc")
-        weighed = joined.select("doc", "word", "n", F.explode(F.array(F.zip_with("_share", "_own", lambda a, b: a * b))).alias("_w"))
-        shared = cut(weighed.select("doc", "word", "n", _shared_out("_w", "n").alias("s")))
+        # Small tables of documents and of words spare the shuffles of the counts.
+        row = 8 * k + ROW_BYTES
+        joined = counts.join(bounded_broadcast(docs, of_doc.count(), row), "doc")
+        if sums["words"] * row <= BROADCAST_LIMIT_BYTES:
+            joined = joined.join(F.broadcast(words), "word")
+        else:
+            joined = salted_join(joined, words, ["word"], ["doc"], hot=hot, counted=True)
+        shared = joined.select("doc", "word", "n", F.explode(F.array(F.zip_with("_share", "_own", lambda a, b: a * b))).alias("_w"))
     return of_doc, of_word
 
 
