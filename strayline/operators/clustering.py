@@ -201,12 +201,14 @@ def topics(
         vocabulary = max(1, words.select(F.explode("_words")).distinct().count())
     counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary)
     counted = counter.fit(words).transform(words)
+    # Every iteration reads the counts: written once, no text is split again.
+    vectors = cut(counted.select("_counts"))
     lda = clustering.LDA(
         featuresCol="_counts", k=k, maxIter=max_iter, seed=seed, optimizer="online"
     )
     shares = vector_to_array("topicDistribution")
     return (
-        lda.fit(counted)
+        lda.fit(vectors)
         .transform(counted)
         .withColumn("topic_weights", shares)
         .withColumn("topic", F.array_position("topic_weights", F.array_max("topic_weights")) - 1)
