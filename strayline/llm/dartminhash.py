@@ -212,32 +212,32 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFra
 
 
 def _similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``x, y, same``: the shingles that the sets of each pair share.
+    """``x, y, nx, ny, same``: the pairs and how many shingles their sets share.
 
     Pairs are gathered by x in groups of about ``COMPARED`` shingles, so a leader with
     a great many partners is many groups; its set goes once to each.
     """
     sized = pairs.groupBy("x").agg(F.greatest(F.ceil(F.sum("ny") / COMPARED), F.lit(1)).cast("int").alias("parts"))
     leaders = sized.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    left = pairs.join(sized, "x").select("x", "y", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part"))
-    left = left.join(sets.select(F.col("set").alias("y"), "keys"), "y").select("x", "part", "y", "keys")
+    left = pairs.join(sized, "x").select("x", "y", "nx", "ny", F.pmod(F.xxhash64("y"), "parts").cast("int").alias("part"))
+    left = left.join(sets.select(F.col("set").alias("y"), "keys"), "y").select("x", "part", "y", "nx", "ny", "keys")
     right = leaders.join(sets.select(F.col("set").alias("x"), "keys"), "x")
     right = right.select(F.col("x").alias("own"), F.col("part").alias("own_part"), F.col("keys").alias("own_keys"))
 
     def run(members: pa.Table, leader: pa.Table) -> pa.Table:
+        named = members.select(["x", "y", "nx", "ny"])
         if not members.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, ["x", "y", "same"])
-        own = np.sort(leader.column("own_keys")[0].values.to_numpy())
-        ys, same = members.column("y").to_pylist(), []
+            return named.append_column("same", pa.array([], pa.int64()))
+        own, same = np.sort(leader.column("own_keys")[0].values.to_numpy()), []
         for data in members.column("keys"):
             other = np.sort(data.values.to_numpy())
             small, large = (own, other) if len(own) < len(other) else (other, own)
             at = np.searchsorted(large, small)
             same.append(int((large[np.minimum(at, len(large) - 1)] == small).sum()))
-        x = members.column("x").to_pylist()
-        return pa.table([pa.array(x, pa.int64()), pa.array(ys, pa.int64()), pa.array(same, pa.int64())], ["x", "y", "same"])
+        return named.append_column("same", pa.array(same, pa.int64()))
 
-    return left.groupBy("x", "part").cogroup(right.groupBy("own", "own_part")).applyInArrow(run, "x long, y long, same long")
+    schema = "x long, y long, nx long, ny long, same long"
+    return left.groupBy("x", "part").cogroup(right.groupBy("own", "own_part")).applyInArrow(run, schema)
 
 
 def own_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -267,12 +267,17 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(classes.withColumnsRenamed({"set": "x", "class": "a"}), "x").join(
         classes.withColumnsRenamed({"set": "y", "class": "b"}), "y"
     )
-    one_way = cut(ends.filter("a != b").select("a", "b").distinct())
-    both = cut(one_way.union(one_way.select("b", "a")).distinct())
-    names = cut(both.select(F.col("a").alias("node"), F.col("a").alias("name")).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(ends.filter("a != b").select(F.inline(ways)).distinct())
+    names = None
     while True:
-        least = both.join(names.withColumnsRenamed({"node": "b", "name": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = cut(names.join(least, F.col("node") == F.col("a")).select("node", "name", F.least("name", "near").alias("new")))
+        if names is None:
+            # At first every class has its own name, so that its neighbours' are in the links.
+            least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).withColumn("name", F.col("node"))
+        else:
+            least = both.join(names.withColumnsRenamed({"node": "b", "name": "near"}), "b").groupBy("a").agg(F.min("near").alias("near"))
+            least = names.join(least, F.col("node") == F.col("a"))
+        step = cut(least.select("node", "name", F.least("name", "near").alias("new")))
         # Pointer jumping: the name of the new name.
         jump = step.select(F.col("node").alias("at"), F.col("new").alias("next"))
         moved = cut(step.join(jump, F.col("new") == F.col("at")).select("node", F.least("new", "next").alias("new"), "name"))
@@ -359,16 +364,15 @@ def classes_of(docs: DataFrame, sketched: DataFrame, id_col: str, text: str) ->
         above = F.col("rank") < F.col("rx")
         ends = {"x": ("x", "set"), "y": ("set", "x"), "nx": ("nx", "n"), "ny": ("n", "nx")}
         named_ends = [F.when(above, F.col(a)).otherwise(F.col(b)).alias(e) for e, (a, b) in ends.items()]
-        pairs = active.repartition(parts, "bucket", "split").join(everywhere, ["bucket", "split"]).filter(fits).select(*named_ends).distinct()
+        pairs = active.repartition(parts, "bucket", "split").join(everywhere, ["bucket", "split"]).filter(fits).select(*named_ends)
+        # The sizes hang on the pair; dealt out by its ends alone, it lies where those tested before do.
+        pairs = pairs.dropDuplicates(["x", "y"])
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
         pairs = cut(pairs)
         same = F.col("same")
-        found = cut(
-            _similarities(pairs, sets)
-            .join(pairs, ["x", "y"])
-            .select("x", "y", (same >= SIMILAR * (F.col("nx") + F.col("ny") - same)).alias("linked"))
-        )
+        linked = (same >= SIMILAR * (F.col("nx") + F.col("ny") - same)).alias("linked")
+        found = cut(_similarities(pairs, sets).select("x", "y", linked))
         new = found.filter("linked").select("x", "y")
         if not new.isEmpty():
             classes = merged(classes, new)

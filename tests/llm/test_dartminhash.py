@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strayline.lineage import scratch_root
 from strayline.llm import dartminhash as dm
 
 
@@ -160,3 +162,16 @@ def test_every_pair_of_a_bucket_is_met(spark):
         by_hand[c].add(i)
     assert len(by_hand) == 240
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, by_hand.values()))
+
+
+def test_links_are_merged_in_few_tables(spark):
+    classes = spark.createDataFrame([(i, i) for i in range(6)], "set long, class long")
+    links = spark.createDataFrame([(1, 0), (3, 4)], "x long, y long")
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = len(list(root.iterdir())) if root.exists() else 0
+    found = dict(dm.merged(classes, links).select("set", "class").collect())
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5}
+    # The links between classes, two for each of two rounds, and the result.
+    assert len(list(root.iterdir())) - before <= 6
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "x long, y long")
+    assert set(dict(dm.merged(classes, chain).select("set", "class").collect()).values()) == {0}
