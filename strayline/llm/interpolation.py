@@ -80,7 +80,7 @@ def different(keys: np.ndarray, learned: np.ndarray | None = None) -> tuple[np.n
     return keys[first], np.add.reduceat((marked & np.uint64(1)).astype(np.int64), first)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[int, pa.Table]]:
+def batches_of(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[int, pa.Table]]:
     """Tables of about ``BATCH_BYTES`` with a number; the lowest bit tells held-out ones.
 
     Documents that the weights are learned on go to batches of their own.
@@ -107,16 +107,21 @@ def _batches(batches: Iterator[pa.RecordBatch], task: int) -> Iterator[tuple[int
             yield flush(kind)
 
 
-def _asks(narrow: DataFrame, shards: int) -> DataFrame:
-    """``batch, shard, n, keys, counts``: what each batch holds of each shard."""
+def asks_of(narrow: DataFrame, shards: int, turns: int = 1, turn: int = 0, orders: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """``batch, shard, n, keys, counts``: what each batch holds of each shard, words first, then pairs.
+
+    Of ``turns`` only the batches whose ``turn`` it is; of words (0) and pairs (1) those of ``orders``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in _batches(batches, TaskContext.get().partitionId()):
+        for number, table in batches_of(batches, TaskContext.get().partitionId()):
+            if (number >> 1) % turns != turn:
+                continue
             token, before, sizes = tokens_of(table.column("text").combine_chunks())
             learned = np.repeat(~np.asarray(table.column("held_out").combine_chunks().to_numpy(zero_copy_only=False), bool), sizes)
-            rows = []
-            for order, keys in enumerate(keys_of(token, before)):
-                own, counts = different(keys, learned)
+            rows, keys = [], keys_of(token, before)
+            for order in orders:
+                own, counts = different(keys[order], learned)
                 bounds = _cut_up(own, shards)
                 for i in range(shards):
                     a, b = bounds[i], bounds[i + 1]
@@ -329,7 +334,7 @@ def _narrow(docs: DataFrame, id_col: str, text: str, held_out: Column) -> DataFr
 
 def _with_batch(narrow: DataFrame, kind: str, only_held_out: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in _batches(batches, TaskContext.get().partitionId()):
+        for number, table in batches_of(batches, TaskContext.get().partitionId()):
             if number & 1 or not only_held_out:
                 for part in table.select(["id", "held_out", "text"]).to_batches(max_chunksize=500):
                     yield pa.RecordBatch.from_arrays(
@@ -368,12 +373,12 @@ def score_documents(
     shards = int(max(8, -(-size // SHARD_BYTES)))
     counted = shards  # shards of either order that the counts are kept in
     if shards <= DIRECT_SHARDS:
-        answers = cut(_answers(_asks(narrow, shards), shards))
+        answers = cut(_answers(asks_of(narrow, shards), shards))
     else:
         shards = math.isqrt(shards - 1) + 1  # what batches ask is a range of so many shards
         counted = shards * shards
         blocks = max(1, int(size // (BATCH_BYTES * shards)))
-        answers = cut(_by_way_of_ranges(_asks(narrow, shards), shards, counted, blocks))
+        answers = cut(_by_way_of_ranges(asks_of(narrow, shards), shards, counted, blocks))
     stats = {
         r["words"]: (r["types"], r["total"])
         for r in answers.filter("batch = -1")

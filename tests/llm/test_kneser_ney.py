@@ -108,3 +108,15 @@ def test_limits_by_language_and_length(spark):
     for l, base in (("a", 2.0), ("b", 3.0)):
         assert got[l, 3] == got[l, 10] == pytest.approx(base + 0.97) and got[l, 900] == pytest.approx(base + 0.097)
     assert got["c", 900] == got[None, 900] < got["c", 10] == got[None, 10]
+
+
+def test_every_trusted_document_is_trained(spark, monkeypatch):
+    """As many as there are, in several passes; none is cut off by number or bytes."""
+    monkeypatch.setattr(kn, "PASS_BYTES", 0)
+    docs = spark.range(12_600).selectExpr("id AS doc_id", "concat('a', id, ' b ', id % 7) AS text", "'x' AS lang").cache()
+    rows = {r.doc_id: r for r in kn.judged(docs, docs.select("doc_id")).collect()}
+    taught = {r.doc_id for r in docs.filter(kn.unit("doc_id") < kn.TRAINED_SHARE).collect()}
+    assert len(rows) == 12_600 and len(taught) > 10_000
+    plain = Plain([f"a{i} b {i % 7}" for i in taught])
+    for i in list(range(0, 12_600, 97)):
+        assert math.log10(rows[i].perplexity) == pytest.approx(-plain.score(f"a{i} b {i % 7}") / 4, rel=1e-6)
