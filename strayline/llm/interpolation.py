@@ -147,18 +147,26 @@ def _answers(asks: DataFrame, shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         numbers = table.column("batch").to_pylist()
         sizes = table.column("n").to_pylist()
-        keys = [np.cumsum(unpack_numbers(k.as_py(), n), dtype=np.uint64) for k, n in zip(table.column("keys"), sizes)]
-        counts = np.concatenate([unpack_numbers(c.as_py(), n) for c, n in zip(table.column("counts"), sizes)]).astype(np.int64)
-        flat = np.concatenate(keys)
-        order = np.argsort(flat)
-        ordered = flat[order]
-        first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        totals = np.add.reduceat(counts[order], np.flatnonzero(first))
-        back = np.empty(len(flat), np.int64)
-        back[order] = totals[np.cumsum(first) - 1]
         at = np.cumsum([0, *sizes])
+        # A group's numbers are many: each array goes as soon as it has been read.
+        flat, marks = np.empty(at[-1], np.uint64), []
+        for i, k in enumerate(table.column("keys")):
+            np.cumsum(unpack_numbers(k.as_py(), sizes[i]), out=flat[at[i] : at[i + 1]])
+            marks.append(int(flat[at[i] : at[i + 1]].sum(dtype=np.uint64).astype(np.int64)))
+        order = np.argsort(flat)
+        flat = flat[order]
+        first = np.concatenate(([True], flat[1:] != flat[:-1]))
+        del flat
+        counts = np.empty(at[-1], np.int64)
+        for i, c in enumerate(table.column("counts")):
+            counts[at[i] : at[i + 1]] = unpack_numbers(c.as_py(), sizes[i])
+        counts = counts[order]
+        totals = np.add.reduceat(counts, np.flatnonzero(first))
+        # The counts' room serves for what each ask gets back, in order of the asks.
+        counts[order] = totals[np.cumsum(first) - 1]
+        back = counts
+        del order, first
         shard = table.column("shard")[0].as_py()
-        marks = [int(k.sum(dtype=np.uint64).astype(np.int64)) for k in keys]
         return pa.table(
             [
                 pa.array([*numbers, -1], pa.int64()),

@@ -1,10 +1,12 @@
 """Deleted interpolation against counts and weights worked out in plain Python."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strayline.llm import interpolation as lm
@@ -86,3 +88,22 @@ def test_numbers_round_trip():
 def test_no_bucket_is_open_to_the_top():
     counts = np.array([0, 1, 740_000, 10**9, 2**62])
     assert lm.bucket_of(counts).tolist() == [0, 2, 39, 60, 124] and lm.bucket_of(counts).max() < lm.BUCKETS
+
+
+def test_a_group_holds_few_arrays():
+    """Counts over batches, in less than seven arrays as long as the group's keys."""
+    class Caught:
+        groupBy = lambda self, *_: self
+        applyInArrow = lambda self, run, _: run
+
+    random, rows = np.random.default_rng(1), []
+    pool = random.integers(0, 1 << 57, 300_000).astype(np.uint64)
+    for batch in range(40):
+        keys = np.unique(random.choice(pool, 10_000))
+        rows.append((batch, 5, len(keys), lm.pack_numbers(np.diff(keys, prepend=np.uint64(0))), lm.pack_numbers(random.integers(0, 3, len(keys)))))
+    asks = pa.table([pa.array(c) for c in zip(*rows)], ["batch", "shard", "n", "keys", "counts"])
+    tracemalloc.start()
+    told = lm._answers(Caught(), 8)(asks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told.num_rows == 41 and peak < 7 * 8 * sum(r[2] for r in rows)
