@@ -9,14 +9,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import clustering
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import RegexTokenizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strayline.functions.vectors import element_sql, number_sql, squared_distance
 from strayline.lineage import BROADCAST_LIMIT_BYTES, bounded_broadcast, cut
 from strayline.operators.features import standardize
+from strayline.operators.row_ids import add_row_id
+from strayline.operators.topics import counted, dealt, online_topics
 
 # Up to this many numbers the centers are written into the expression. The plan
 # changes with the number of centers, the answer does not.
@@ -192,26 +194,19 @@ def topics(
 ) -> DataFrame:
     """Topic of each text by LDA on its words: adds ``topic`` and ``topic_weights``.
 
-    Every word counts: the vocabulary is as large as the number of different words,
-    unless a caller names a smaller one and gives up the rarest words. The model
-    holds ``k`` numbers per word on the driver, as LDA in MLlib does.
+    Every word counts: the vocabulary is all different words, unless a caller names a
+    smaller number and gives up the rarest words. The model is a table of words: MLlib's
+    holds ``k`` numbers per word on the driver several times. A text without words has weights of 0.
     """
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+").transform(df)
-    if vocabulary is None:
-        vocabulary = max(1, words.select(F.explode("_words")).distinct().count())
-    counter = CountVectorizer(inputCol="_words", outputCol="_counts", vocabSize=vocabulary)
-    counted = counter.fit(words).transform(words)
-    # Every iteration reads the counts: written once, no text is split again.
-    vectors = cut(counted.select("_counts"))
-    lda = clustering.LDA(
-        featuresCol="_counts", k=k, maxIter=max_iter, seed=seed, optimizer="online"
-    )
-    shares = vector_to_array("topicDistribution")
-    return (
-        lda.fit(vectors)
-        .transform(counted)
-        .withColumn("topic_weights", shares)
-        .withColumn("topic", F.array_position("topic_weights", F.array_max("topic_weights")) - 1)
-        .drop("_words", "_counts", "topicDistribution")
-    )
-
+    # Texts are known by a number, which must not change when they are read again.
+    rows = cut(add_row_id(df, "_row"))
+    texts = dealt(rows.select(F.col("_row").alias("doc"), F.col(text).alias("_text")), "doc")
+    words = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+").transform(texts)
+    counts = counted(words.select("doc", F.explode("_words").alias("word")))
+    if vocabulary is not None:
+        counts = cut(counts)
+        often = counts.groupBy("word").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "word").limit(vocabulary)
+        counts = counts.join(often.select("word"), "word", "left_semi")
+    shares = online_topics(counts, rows.count(), k, max_iter, seed).select(F.col("doc").alias("_row"), F.col("topics").alias("_shares"))
+    found = rows.join(shares, "_row", "left").withColumn("topic_weights", F.coalesce("_shares", F.array(*[F.lit(0.0)] * k)))
+    return found.withColumn("topic", F.array_position("topic_weights", F.array_max("topic_weights")) - 1).drop("_row", "_shares")
