@@ -20,7 +20,7 @@ from strayline.operators.moments import matrix_of
 WORD = r"[^\x20\x09-\x0D]+"
 #: About so many counts, and bytes of their words, are a batch of documents, which one task holds; small
 #: tables have some batches, too, of a few counts at least.
-BATCH_COUNTS, BATCH_BYTES, FEWEST_COUNTS = 2_000_000, 128 << 20, 50_000
+BATCH_COUNTS, BATCH_BYTES, FEWEST_COUNTS = 4_000_000, 128 << 20, 50_000
 #: Counts that a task works on at a time.
 CHUNK_COUNTS = 1 << 18
 #: Of the gamma distribution that first weights are drawn from.
